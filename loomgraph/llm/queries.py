@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bitpack, packing, shared
+from loomgraph.llm import bitpack, packing, secrets, shared, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -14,15 +14,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
     return packing.pack(shared.written(pieces, "pieces"))
 
 
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.read(warc.write(pages, shared.new_path(spark, "warc")))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.new_path(spark, "token-ids")
     return bitpack.read(bitpack.write(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), folder))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_best_fit_packing, op8_warc_bundles, op9_token_ids)}
 ORACLES: dict[str, str] = {}
