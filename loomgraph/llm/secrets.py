@@ -40,35 +40,37 @@ KINDS = [("assign", "secret", True), ("access", "id", True), ("hex", "secret", T
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _spans(df: DataFrame, kind: int, pattern: str, could: Column, least: int | None = None) -> DataFrame:
-    """Adds the column s<kind>: the pattern's leftmost non-overlapping matches."""
-    text = F.when(could, F.col("_text"))  # null where there is no match: the pattern is not run again
-    df = df.withColumn("_m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).withColumn("_g", F.split(text, pattern, -1))
-    df = df.withColumn("_l", F.expr("transform(_m, (x, i) -> struct(cast(length(_g[i]) as bigint) as gap, cast(length(x) as bigint) as len))"))
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for *body* with *name* standing for *value*, which is evaluated once (a projection may be inlined into lambdas)."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _spans(could: Column, kind: int, pattern: str, least: int | None = None) -> Column:
+    """The pattern's leftmost non-overlapping matches in _text; *could* is false only where there are none."""
+    quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    size = "(x.gap + x.len)"
+    lengths = "transform(m, (x, i) -> struct(cast(length(g[i]) as bigint) as gap, cast(length(x) as bigint) as len))"
+    block = "cast(ceil(sqrt(size(l))) as int)"
+    sums = f"transform(sequence(0, (size(l) - 1) div b), c -> aggregate(slice(l, cast(c * b + 1 as int), b), 0L, (a, x) -> a + {size}))"
+    bases = "transform(t, (x, c) -> aggregate(slice(t, 1, c), 0L, (a, y) -> a + y))"
+    start = f"s[cast(i div b as int)] + aggregate(slice(l, cast(i div b as int) * b + 1, cast(i % b as int)), 0L, (a, x) -> a + {size}) + y.gap"
+    spans = "transform(transform(l, (y, i) -> struct(" + start + f" as start, y.len as len)), z -> struct(z.start as start, {kind} as kind, z.start + z.len as end))"
     if least is not None:
-        df = df.withColumn("_v", F.regexp_extract_all(text, F.lit(pattern), F.lit(2)))
-    df = df.withColumn("_b", F.expr("cast(ceil(sqrt(size(_l))) as int)"))
-    block = "slice(_l, c * _b + 1, _b)"
-    df = df.withColumn("_s", F.expr(f"if(size(_l) > 0, transform(sequence(0, (size(_l) - 1) div _b), c -> aggregate({block}, 0L, (a, x) -> a + x.gap + x.len)), null)"))
-    df = df.withColumn("_s", F.expr("transform(_s, (x, c) -> aggregate(slice(_s, 1, c), 0L, (a, y) -> a + y))"))
-    start = "_s[cast(i div _b as int)] + aggregate(slice(_l, cast(i div _b as int) * _b + 1, i % _b), 0L, (a, y) -> a + y.gap + y.len) + x.gap"
-    df = df.withColumn("_p", F.expr(f"transform(_l, (x, i) -> struct({start} as start, {kind} as kind, 0L as end))"))
-    spans = F.expr("transform(_p, (x, i) -> struct(x.start as start, x.kind as kind, x.start + _l[i].len as end))")
-    if least is not None:
-        spans = F.filter(spans, lambda x, i: F.length(F.col("_v")[i]) >= least)
-    df = df.withColumn(f"s{kind}", F.coalesce(spans.cast(_SPAN), F.array().cast(_SPAN)))
-    return df.drop("_m", "_g", "_l", "_b", "_s", "_p", "_v")
+        value = f"regexp_extract_all(_text, {quoted}, 2)"
+        spans = _let("v", value, f"filter({spans}, (q, i) -> length(v[i]) >= {least})")
+    body = _let("b", block, _let("t", sums, _let("s", bases, spans)))
+    body = _let("m", f"regexp_extract_all(_text, {quoted}, 0)", _let("g", f"split(_text, {quoted}, -1)", _let("l", lengths, f"if(size(l) = 0, cast(array() as {_SPAN}), {body})")))
+    return F.when(could, F.expr(body).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Adds _text (null as empty), base (strong spans) and weak (candidates that meet no strong span), sorted."""
     df = docs.withColumn("_text", F.coalesce(F.col(text_column), F.lit("")))
-    df = _spans(df, 0, ASSIGN, F.col("_text").rlike(ASSIGN), least=6)
-    df = _spans(df, 1, ACCESS, F.col("_text").contains("AKIA"))
-    df = _spans(df, 2, HEX, F.col("_text").rlike(HEX))
-    df = _spans(df, 3, LOGIN, F.col("_text").rlike(LOGIN))
-    df = _spans(df, 4, TOKEN, F.col("_text").rlike(TOKEN))
-    df = _spans(df, 5, URL, F.col("_text").contains("://"))
+    text = F.col("_text")
+    df = df.withColumns({
+        "s0": _spans(text.rlike(ASSIGN), 0, ASSIGN, least=6), "s1": _spans(text.contains("AKIA"), 1, ACCESS), "s2": _spans(text.rlike(HEX), 2, HEX),
+        "s3": _spans(text.rlike(LOGIN), 3, LOGIN), "s4": _spans(text.rlike(TOKEN), 4, TOKEN), "s5": _spans(text.contains("://"), 5, URL),
+    })
     df = df.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2"))).withColumn("weak", F.concat("s3", "s4", "s5"))
     return df.drop("s0", "s1", "s2", "s3", "s4", "s5")
 
