@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bitpack, packing, secrets, shared, warc
+from loomgraph.llm import bitpack, decontaminate, langid, packing, secrets, shared, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,6 +19,18 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated pairs of documents and benchmark items."""
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("tiles", "row_key")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs.filter(~langid.in_test()))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.in_test().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
     return packing.pack(shared.written(pieces, "pieces"))
@@ -33,5 +46,5 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read(bitpack.write(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_best_fit_packing, op8_warc_bundles, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op8_warc_bundles, op9_token_ids)}
 ORACLES: dict[str, str] = {}
