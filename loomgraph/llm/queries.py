@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bitpack, decontaminate, langid, packing, secrets, shared, warc
+from loomgraph.llm import bitpack, decontaminate, langid, neardup, packing, secrets, shared, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,6 +36,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.written(pieces, "pieces"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.read(warc.write(pages, shared.new_path(spark, "warc")))
@@ -46,5 +50,5 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read(bitpack.write(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op8_warc_bundles, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids)}
 ORACLES: dict[str, str] = {}
