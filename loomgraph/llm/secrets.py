@@ -119,8 +119,11 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     )
 
 
-def redact(docs: DataFrame, text_column: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """The documents with every reported span replaced by *mark*; overlapping spans by one mark; null text stays null."""
+def redact(docs: DataFrame, text_column: str = "text", mark: str = "[SECRET]", scope: int = SCOPE, flag: str | None = None) -> DataFrame:
+    """The documents with every reported span replaced by *mark*; overlapping spans by one mark; null text stays null.
+
+    flag: name of a column to add, whether the text has changed.
+    """
     names = docs.columns
     found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_column}`").alias("_raw")), "_raw")
     found = shared.written(found.select("_row", "base", "weak", F.monotonically_increasing_id().alias("row_key")), "secret-docs")
@@ -138,7 +141,8 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[SECRET]", s
         f"concat(array_join(transform(runs, (r, i) -> concat(substring({text}, cast(if(i > 0, runs[i - 1].end, 0) + 1 as int), cast(r.start - if(i > 0, runs[i - 1].end, 0) as int)), '{mark}')), ''), "
         f"substring({text}, cast(runs[size(runs) - 1].end + 1 as int)))"
     )
-    changed = touched.withColumn("_text", F.when(F.col("runs").isNotNull(), cut).otherwise(F.col(text)))
-    clean = found.filter((F.size("base") == 0) & (F.size("weak") == 0)).select("_row", F.col(text).alias("_text"))
-    both = clean.unionByName(changed.select("_row", "_text"))
-    return both.select(*[F.col("_text").alias(c) if c == text_column else F.col(f"_row.`{c}`").alias(c) for c in names])
+    changed = touched.withColumn("_changed", F.col("runs").isNotNull()).withColumn("_text", F.when(F.col("runs").isNotNull(), cut).otherwise(F.col(text)))
+    clean = found.filter((F.size("base") == 0) & (F.size("weak") == 0)).select("_row", F.col(text).alias("_text"), F.lit(False).alias("_changed"))
+    both = clean.unionByName(changed.select("_row", "_text", "_changed"))
+    out = [F.col("_text").alias(c) if c == text_column else F.col(f"_row.`{c}`").alias(c) for c in names]
+    return both.select(*out, *([F.col("_changed").alias(flag)] if flag else []))
