@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bitpack, decontaminate, langid, neardup, packing, secrets, shared, warc
+from loomgraph.llm import bitpack, decontaminate, langid, neardup, packing, secrets, shared, suffixdedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -50,5 +50,9 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read(bitpack.write(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
