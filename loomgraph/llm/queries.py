@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bitpack, decontaminate, langid, neardup, packing, secrets, shared, suffixdedup, warc
+from loomgraph.llm import bitpack, decontaminate, katz, langid, neardup, packing, secrets, shared, suffixdedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,6 +36,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.written(pieces, "pieces"))
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.train_and_score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir), width=3, percent=85)
 
@@ -54,5 +58,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op5_katz_backoff, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
