@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 
 #: Built-in fields of every element.
 BUILT_IN = {"@ID": "id", "@Host": "host", "@Origin": "origin", "@CreatedAt": "created_at", "@UpdatedAt": "updated_at", "@DeletedAt": "deleted_at", "@Revision": "revision"}
-_NO = F.lit(False)
+
+
+def _no() -> Column:
+    return F.lit(False)
 
 
 @dataclass
@@ -67,7 +70,7 @@ class Fields:
 
     def present(self, key: str) -> Column:
         found = self.find(key)
-        return _NO if found is None else found[0].isNotNull()
+        return _no() if found is None else found[0].isNotNull()
 
     def raw(self, key: str) -> Column:
         found = self.find(key)
@@ -90,15 +93,15 @@ class Fields:
         """Whether *test* holds for the field, or for an element of a list; never null.  read: long, string or boolean."""
         found = self.find(key)
         if found is None:
-            return _NO
+            return _no()
         column, kind = found
         reader = {"long": _long, "string": _string, "boolean": _boolean}[read]
         if isinstance(kind, T.ArrayType):
-            return F.coalesce(F.exists(column, lambda x: F.coalesce(test(reader(x, kind.elementType)), _NO)), _NO) if self.lists else _NO
-        out = F.coalesce(test(reader(column, kind)), _NO)
+            return F.coalesce(F.exists(column, lambda x: F.coalesce(test(reader(x, kind.elementType)), _no())), _no()) if self.lists else _no()
+        out = F.coalesce(test(reader(column, kind)), _no())
         if isinstance(kind, T.VariantType) and self.lists:
             items = F.try_variant_get(column, "$", "array<variant>")
-            out = out | F.coalesce(F.exists(items, lambda x: F.coalesce(test(reader(x, kind)), _NO)), _NO)
+            out = out | F.coalesce(F.exists(items, lambda x: F.coalesce(test(reader(x, kind)), _no())), _no())
         return out
 
 
