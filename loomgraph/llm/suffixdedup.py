@@ -200,20 +200,25 @@ def _with_block(docs: DataFrame, by: str, blocks: int) -> DataFrame:
 SEGMENTS = "kind int, key long, segment binary, doc_id long, row long, start long"
 
 
-def _segments(docs: DataFrame, replies: DataFrame, blocks: int, buckets: int, parts: int, span: int, gram: int) -> DataFrame:
+def _segments(docs: DataFrame, replies: DataFrame, copies: DataFrame, buckets: int, parts: int, span: int, gram: int) -> DataFrame:
     """Segments of surviving anchors (kind 0: key is the anchor), and windows of hot ones (kind 1: key is the window's hash)."""
     none = F.lit(None)
     ours = docs.select("block", F.lit(1).alias("kind"), "doc_id", "row", "text", none.cast("binary").alias("docs"), none.cast("binary").alias("keys"))
     theirs = replies.select("block", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), none.cast("long").alias("row"), none.cast("string").alias("text"), "docs", "keys")
-    rows = ours.unionByName(theirs).repartition(parts, "block").sortWithinPartitions("kind").select("kind", "doc_id", "row", "text", "docs", "keys")
+    known = copies.select("block", F.lit(0).alias("kind"), "doc_id", "row", none.cast("string").alias("text"), none.cast("binary").alias("docs"), none.cast("binary").alias("keys"))
+    rows = ours.unionByName(theirs).unionByName(known).repartition(parts, "block").sortWithinPartitions("kind").select("kind", "doc_id", "row", "text", "docs", "keys")
 
     def run(batches):
-        heard_docs, heard_keys = [], []
+        heard_docs, heard_keys, copied = [], [], []
         known: dict[int, tuple[int, int]] | None = None
         keys = None
         for table in words.regroup(batches, "text", 4 << 20):
             kind = table["kind"].to_numpy()
-            for d, k in zip(table["docs"].to_pylist()[: int((kind == 0).sum())], table["keys"].to_pylist()):
+            told = int((kind == 0).sum())
+            for d, k, r in zip(table["docs"].to_pylist()[:told], table["keys"].to_pylist(), table["row"].to_pylist()):
+                if d is None:
+                    copied.append(r)
+                    continue
                 heard_docs.append(np.frombuffer(d, np.int64))
                 heard_keys.append(np.frombuffer(k, np.uint64))
             table = table.filter(pa.array(kind == 1))
@@ -227,7 +232,7 @@ def _segments(docs: DataFrame, replies: DataFrame, blocks: int, buckets: int, pa
                 head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
                 known = dict(zip(doc[head].tolist(), zip(head.tolist(), np.append(head[1:], len(doc)).tolist())))
             ids = table["doc_id"].to_numpy()
-            told = np.array([int(i) in known for i in ids], bool)
+            told = np.array([int(i) in known for i in ids], bool) & ~np.isin(table["row"].to_numpy(), np.array(copied, np.int64))
             table, ids = table.filter(pa.array(told)), ids[told]
             if not table.num_rows:
                 continue
@@ -344,36 +349,35 @@ def dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, doc_id: str = "do
     shared.tune(spark)
     parts = shared.partitions(spark)
     buckets = blocks = 2 * parts
-    extra = [F.col("text").cast("binary").alias("kept")] if keep_text else []
-    none = [F.lit(b"").alias("kept")] if keep_text else []
     last = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
     plain = docs.select(last.alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     plain = plain.withColumn("row", F.xxhash64("doc_id", "text"))  # rows that are equal have equal results
 
-    # equal texts: the smallest id stands for them
-    same = plain.select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    same = shared.written(same.filter("n > 1").drop("n"), "repeats-equal")
-    marked = plain.withColumn("sha", F.sha2("text", 256)).join(same, "sha", "left")
-    copy = F.col("doc_id") > F.col("least")
-    size = F.octet_length("text").cast("long")
-    gone = marked.filter(copy & (size >= span)).select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), *none)
-    ours = marked.filter(~F.coalesce(copy, F.lit(False)) | (size < span)).select("doc_id", "row", "text")
-    small = ours.filter(F.octet_length("text") < span)
-    ours = ours.filter(F.octet_length("text") >= span)
-    whole = small.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *extra)
-
-    requests = _requests(ours, buckets, span, gram).repartition(parts, "bucket")
+    # equal texts: the smallest id stands for them; only names of texts are shuffled
+    names = plain.filter(F.octet_length("text") >= span).select("doc_id", "row", F.unhex(F.sha2("text", 256)).alias("sha"))
+    names = shared.written(names, "repeats-names")
+    least = names.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    copies = shared.written(names.join(least, "sha").filter("doc_id > least").select("doc_id", "row").distinct(), "repeats-copies")
+    shared.dropped(names)
+
+    requests = _requests(plain.select("doc_id", "text"), buckets, span, gram).repartition(parts, "bucket")
     replies = shared.written(_replies(requests, blocks, hot), "repeats-anchors")
-    segments = shared.written(_segments(_with_block(ours, "doc_id", blocks), replies, blocks, buckets, parts, span, gram), "repeats-segments")
+    del names, least, requests
+    shared.release(spark)
+    segments = shared.written(_segments(_with_block(plain, "doc_id", blocks), replies, _with_block(copies, "doc_id", blocks), buckets, parts, span, gram), "repeats-segments")
+    shared.dropped(replies)
+    shared.release(spark)
     ranges = shared.written(_ranges(segments, parts, span, collection), "repeats-ranges")
     shared.dropped(segments)
-    shared.dropped(replies)
-    return _cut(ours, ranges, blocks, parts, keep_text).unionByName(gone).unionByName(whole).withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    shared.release(spark)
+    return _cut(plain, ranges, copies, blocks, parts, keep_text).withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
 
 
-def _cut(docs: DataFrame, ranges: DataFrame, blocks: int, parts: int, keep_text: bool) -> DataFrame:
+def _cut(docs: DataFrame, ranges: DataFrame, copies: DataFrame, blocks: int, parts: int, keep_text: bool) -> DataFrame:
     ours = _with_block(docs, "row", blocks).select("block", F.lit(1).alias("kind"), "row", "doc_id", "text", F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"))
     theirs = _with_block(ranges, "row", blocks).select("block", F.lit(0).alias("kind"), "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "begin", "end")
+    whole = copies.withColumns({"begin": F.lit(0).cast("long"), "end": F.lit(_LAST)}).select("row", "begin", "end")
+    theirs = theirs.unionByName(_with_block(whole, "row", blocks).select("block", F.lit(0).alias("kind"), "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "begin", "end"))
     rows = ours.unionByName(theirs).repartition(parts, "block").sortWithinPartitions("kind").select("kind", "row", "doc_id", "text", "begin", "end")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
@@ -402,6 +406,7 @@ def _cut(docs: DataFrame, ranges: DataFrame, blocks: int, parts: int, keep_text:
                     b, e = begin[lo:hi], np.maximum.accumulate(end[lo:hi])
                     fresh = np.concatenate([[True], b[1:] > e[:-1]])
                     b, e = b[fresh], e[np.append(np.flatnonzero(fresh)[1:], hi - lo) - 1]
+                    e = np.minimum(e, len(t))  # an equal text of a smaller document covers all
                     removed, spans = int((e - b).sum()), len(b)
                     kept = b"".join(t[x:y] for x, y in zip([0, *e.tolist()], [*b.tolist(), len(t)]))
                 out.append((d, len(t), removed, spans, hashlib.sha256(kept).hexdigest()) + ((kept,) if keep_text else ()))
