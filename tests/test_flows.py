@@ -216,3 +216,21 @@ def test_sinks_and_helpers(spark, flows):
         flowids.icmp_type(F.lit(8)).alias("a"), flowids.icmp_type(F.lit(200)).alias("b"), flowids.application(F.lit(5), F.lit(53), {53: "dns"}).alias("c"),
         (flowids.tracking_id((F.lit("x"), F.lit("y"))) == flowids.tracking_id((F.lit("y"), F.lit("x")))).alias("d")).first()
     assert tuple(row) == ("ECHO", "UNKNOWN", "DNS", True)
+
+
+def test_tcp_metrics_and_updates(spark):
+    rows = [("k", "AB", 10, 5, "SYN", 64), ("k", "BA", 14, 5, "SYN/ACK", 60), ("k", "AB", 20, 7, "ACK", 64), ("k", "BA", 70_000, 1, "FIN", 60)]
+    df = spark.createDataFrame(rows, "flow_key string, direction string, at long, bytes long, flags string, ttl long")
+    r = flowtable.tcp_metrics(df).first()
+    assert (r["ab_syn_start"], r["ba_syn_start"], r["ab_syn_ttl"], r["ba_fin_start"], r["ab_rst_start"], r["rtt"]) == (10, 14, 64, 70_000, None, 4_000_000)
+    got = [tuple(x)[1:] for x in flowtable.updates(df).orderBy("start").collect()]
+    assert got == [(0, 2, 12, 1, 5, 60_000), (60_000, 0, 0, 1, 1, 120_000)]
+    assert flowtable.batch(df).first()["finish_type"] == flowtable.TIMEOUT
+
+
+def test_schema_rules(spark):
+    from loomgraph.plans import schema
+
+    g = build(spark, {"a": {"Type": "host", "Name": "x"}, "b": {"Type": "netns", "Name": "y"}, "c": {"Name": "z"}}, [("e", "a", "b", {"RelationType": "own"}), ("f", "a", "b", {})])
+    assert sorted(r["id"] for r in schema.invalid_nodes(g.nodes).collect()) == ["b", "c"]
+    assert [r["id"] for r in schema.invalid_edges(g.edges).collect()] == ["f"]
