@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import shared
 
@@ -87,7 +88,7 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text")
     spark = docs.sparkSession
     shared.tune(spark)
     held = spark.sparkContext.broadcast(tuple(model))
-    schema = docs.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    schema = T.StructType(docs.schema.fields[:]).add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
     at = docs.columns.index(text)
 
     def run(batches):

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import bitpack, shared, tokens, words
 
@@ -190,12 +191,13 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", group:
     """
     names = items.columns
     groups = max(1, -(-items.count() // group))
-    schema = items.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType(items.schema.fields[:]).add("sequence_id", "long").add("offset", "long")
 
     def place(batches):
-        table = pa.Table.from_batches(list(batches))  # about *group* narrow rows
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]  # about *group* narrow rows
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         lengths = table[length].to_pylist()
         if min(lengths) <= 0 or max(lengths) > capacity:
             raise ValueError(f"{length} must lie in 1..{capacity}")
