@@ -360,7 +360,8 @@ def dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, doc_id: str = "do
     copies = shared.written(names.join(least, "sha").filter("doc_id > least").select("doc_id", "row").distinct(), "repeats-copies")
     shared.dropped(names)
 
-    requests = _requests(plain.select("doc_id", "text"), buckets, span, gram).repartition(parts, "bucket")
+    # without the copies, so that a text is not taken for repeated because of them alone
+    requests = _requests(plain.join(copies.select("row"), "row", "left_anti").select("doc_id", "text"), buckets, span, gram).repartition(parts, "bucket")
     replies = shared.written(_replies(requests, blocks, hot), "repeats-anchors")
     del names, least, requests
     shared.release(spark)
