@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bitpack, decontaminate, katz, langid, neardup, packing, secrets, shared, suffixdedup, warc
+from loomgraph.llm import bitpack, chroma, decontaminate, katz, langid, neardup, packing, secrets, shared, suffixdedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,6 +40,11 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.train_and_score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no recordings: each document's bytes are taken as its samples."""
+    return chroma.groups(documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("samples")))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir), width=3, percent=85)
 
@@ -58,5 +63,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op5_katz_backoff, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op5_katz_backoff, op6_chroma_fingerprints, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
