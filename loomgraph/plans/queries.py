@@ -438,6 +438,28 @@ def metrics_aggregates(s, d):
     return metrics.stored_points(graph).Aggregates(30).df.select("start", "ab_packets", "ab_bytes", "ba_packets", "ba_bytes")
 
 
+#: The same fold over the whole table, by the hour from the first point to the last.
+LENGTH = 3600
+AGGREGATES_WHOLE = f"""WITH RECURSIVE d AS (SELECT min(s) f, max(l) t, ceil((max(l)-min(s))/{LENGTH * 1000})::BIGINT n FROM points), w AS (SELECT points.*, f, n, row_number() OVER () AS r FROM points, d WHERE s < t),
+fold(r, f, n, i, pos, l, s, a, b, c, e, pa, pb, pc, pe, a0, b0, c0, e0, done) AS (
+ SELECT r, f, n, (s-f)//{LENGTH * 1000} - 1, s, l, s, abp, abb, bap, bab, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, abp, abb, bap, bab, false FROM w
+ UNION ALL
+ SELECT r, f, n, i, pos2, l, s, a-qa, b-qb, c-qc, e-qe, CASE WHEN z THEN a0 ELSE qa END, CASE WHEN z THEN b0 ELSE qb END, CASE WHEN z THEN c0 ELSE qc END, CASE WHEN z THEN e0 ELSE qe END, a0, b0, c0, e0, z OR l <= pos2 FROM (
+  SELECT *, qa=0 AND qb=0 AND qc=0 AND qe=0 AND s >= pos2-{LENGTH * 1000} AND s < pos2 AS z FROM (
+   SELECT r, f, n, i+1 AS i, f+(i+2)*{LENGTH * 1000} AS pos2, pos, l, s, a, b, c, e, a0, b0, c0, e0,
+    CASE WHEN l <= f+(i+2)*{LENGTH * 1000} THEN a ELSE CAST(trunc(a*(f+(i+2)*{LENGTH * 1000}-pos)::DOUBLE/(l-pos)) AS BIGINT) END qa,
+    CASE WHEN l <= f+(i+2)*{LENGTH * 1000} THEN b ELSE CAST(trunc(b*(f+(i+2)*{LENGTH * 1000}-pos)::DOUBLE/(l-pos)) AS BIGINT) END qb,
+    CASE WHEN l <= f+(i+2)*{LENGTH * 1000} THEN c ELSE CAST(trunc(c*(f+(i+2)*{LENGTH * 1000}-pos)::DOUBLE/(l-pos)) AS BIGINT) END qc,
+    CASE WHEN l <= f+(i+2)*{LENGTH * 1000} THEN e ELSE CAST(trunc(e*(f+(i+2)*{LENGTH * 1000}-pos)::DOUBLE/(l-pos)) AS BIGINT) END qe
+   FROM fold WHERE NOT done AND i+1 < n)))
+SELECT f+i*{LENGTH * 1000} AS start, sum(pa)::BIGINT AS ab_packets, sum(pb)::BIGINT AS ab_bytes, sum(pc)::BIGINT AS ba_packets, sum(pe)::BIGINT AS ba_bytes FROM fold WHERE i >= (s-f)//{LENGTH * 1000} GROUP BY f, i"""
+
+
+@query(AGGREGATES_WHOLE)
+def metrics_aggregates_whole(s, d):
+    return metrics.stored_points(g(s, d)).Aggregates(LENGTH).df.select("start", "ab_packets", "ab_bytes", "ba_packets", "ba_bytes")
+
+
 # sockets, links
 
 
