@@ -469,6 +469,12 @@ def sockets(s, d):
     return found.df.select(F.col("key").alias("node"), "local_address", "local_port", "remote_address", "protocol", "name")
 
 
+@query("SELECT DISTINCT tid AS node, na AS local_address, ta AS local_port, nb AS remote_address, proto AS protocol, app AS name FROM flows WHERE tb=100")
+def sockets_of_hosts(s, d):
+    found = g(s, d).V().Has("Type", "host").Sockets()
+    return found.df.select(F.col("key").alias("node"), "local_address", "local_port", "remote_address", "protocol", "name")
+
+
 @query("SELECT f.uuid, x.app AS name FROM flows f JOIN (SELECT DISTINCT tid, app, na, ta, nb, tb, proto FROM flows WHERE tb=100) x ON (f.na=x.na AND f.ta=x.ta AND f.nb=x.nb AND f.tb=x.tb AND f.proto=x.proto) WHERE f.app='R'")
 def flow_sockets(s, d):
     return g(s, d).Flows("Application", "R").Sockets().df.select(F.col("key").alias("uuid"), "name")

@@ -54,3 +54,9 @@ def test_aggregates_of_the_whole_table(spark, sf):
     got = {r["start"]: [r[c] for c in counters] for r in queries.QUERIES["metrics_aggregates_whole"](spark, f"/root/testdata/{sf}").collect()}
     assert got == expected and len(got) > 700 and beyond == 1
     assert sum(v[2] for v in got.values()) == len(points) - 1
+
+
+def test_sockets_of_all_hosts(spark, con):
+    rows = queries.QUERIES["sockets_of_hosts"](spark, LARGER).collect()
+    hosts = con.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_linenumber = 1").fetchall()[0][0]
+    assert len({r["node"] for r in rows}) == hosts > 1 and len(rows) > queries.QUERIES["sockets"](spark, LARGER).count()
