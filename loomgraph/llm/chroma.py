@@ -12,7 +12,9 @@ those with fewer than VOTES integers match only so, and those too short for one
 
 A first pass votes only with each value's smallest and largest recording; what it confirms is a match, and united
 recordings leave the quadratic part.  The second pass votes with all pairs of recordings of different groups that
-share a value; a value's occurrences are dealt into blocks, and each pair of blocks is a key of its own.
+share a value; a value's occurrences are dealt into blocks, and each pair of blocks is a key of its own.  Equal
+integers that follow each other are one occurrence with a length: two such runs vote for each offset at which they
+overlap, as often as their integers meet there.
 """
 
 from __future__ import annotations
@@ -171,28 +173,46 @@ def confirmed(votes: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("a", "b", "shift", "_a", "_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def runs(known: DataFrame) -> DataFrame:
+    """Rows (print, pos, value, length) of the runs of equal integers, of recordings that can have votes enough."""
+
+    def run(batches):
+        for batch in batches:
+            names, items = batch.column(0).to_numpy(), batch.column(1)
+            ends = items.offsets.to_numpy() - items.offsets[0].as_py()
+            values = items.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(names)), np.diff(ends))
+            new = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])])[: len(values)])
+            length = np.diff(np.append(new, len(values)))
+            columns = [pa.array(names[owner[new]], pa.int64()), pa.array(new - ends[owner[new]], pa.int32()), pa.array(values[new], pa.int32()), pa.array(length, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["print", "pos", "value", "length"])
+
+    return known.filter(F.size("items") >= VOTES).select("print", "items").mapInArrow(run, "print long, pos int, value int, length int")
+
+
 def counted(pairs: DataFrame) -> DataFrame:
-    """Offset histograms of (a, b, shift), with partial sums; what has votes enough."""
-    return pairs.groupBy("a", "b", "shift").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= VOTES).drop("n")
+    """Offset histograms of (a, b, shift, votes), with partial sums; what has votes enough."""
+    return pairs.groupBy("a", "b", "shift").agg(F.sum("votes").alias("n")).filter(F.col("n") >= VOTES).drop("n")
 
 
 def stars(posts: DataFrame) -> DataFrame:
-    """Votes of each value's occurrences with its smallest and its largest recording."""
+    """Votes of each value's occurrences with its smallest and its largest recording; of a run only its first integer's."""
     one = F.struct("print", "pos")
     ends = posts.groupBy("value").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.print <> high.print")
     rows = posts.join(ends, "value").select("print", "pos", F.explode(F.array("low", "high")).alias("e")).filter("print <> e.print")
     ours = F.col("print") < F.col("e.print")
-    return counted(rows.select(F.least("print", "e.print").alias("a"), F.greatest("print", "e.print").alias("b"), F.when(ours, F.col("e.pos") - F.col("pos")).otherwise(F.col("pos") - F.col("e.pos")).alias("shift")))
+    return counted(rows.select(F.least("print", "e.print").alias("a"), F.greatest("print", "e.print").alias("b"), F.when(ours, F.col("e.pos") - F.col("pos")).otherwise(F.col("pos") - F.col("e.pos")).alias("shift"), F.lit(1).alias("votes")))
 
 
 def crossing(posts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Votes of all pairs of occurrences of a value in different groups; posts are (value, print, pos, root)."""
+    """Votes of all pairs of occurrences of a value in different groups; posts are (value, print, pos, length, root)."""
     several = posts.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     rows = posts.join(several.select("value", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "value")
     own, all_ = F.pmod(F.xxhash64("print", "pos"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ours = rows.select("value", F.col("print").alias("a"), F.col("pos").alias("p"), F.col("root").alias("ra"), own.alias("i"), all_.alias("j"))
-    theirs = rows.select("value", F.col("print").alias("b"), F.col("pos").alias("q"), F.col("root").alias("rb"), all_.alias("i"), own.alias("j"))
-    return counted(ours.join(theirs, ["value", "i", "j"]).filter("a < b and ra <> rb").select("a", "b", (F.col("q") - F.col("p")).alias("shift")))
+    ours = rows.select("value", F.col("print").alias("a"), F.col("pos").alias("p"), F.col("length").alias("m"), F.col("root").alias("ra"), own.alias("i"), all_.alias("j"))
+    theirs = rows.select("value", F.col("print").alias("b"), F.col("pos").alias("q"), F.col("length").alias("n"), F.col("root").alias("rb"), all_.alias("i"), own.alias("j"))
+    pairs = ours.join(theirs, ["value", "i", "j"]).filter("a < b and ra <> rb").select("a", "b", "p", "q", "m", "n", F.explode(F.expr("sequence(1 - m, n - 1)")).alias("d"))
+    return counted(pairs.selectExpr("a", "b", "q - p + d as shift", "least(m, n - d) - greatest(0, -d) as votes"))
 
 
 def groups(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -202,7 +222,7 @@ def groups(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = shared.written(prints(recordings).select("doc_id", F.size("items").alias("n_items"), F.when(F.size("items") > 0, F.xxhash64("items")).alias("print"), "items"), "prints")
     known = rows.filter("n_items > 0").groupBy("print").agg(F.first("items").alias("items"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     known = shared.written(known, "distinct-prints")
-    posts = known.filter(F.size("items") >= VOTES).select("print", F.posexplode("items").alias("pos", "value"))
+    posts = runs(known)
     links = shared.written(confirmed(stars(posts), known), "links")
     roots = components.connected(links)
     shared.release(spark)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import chroma, queries
 
@@ -114,7 +115,7 @@ def test_pairs_that_no_star_proposes(spark):
     rng = random.Random(3)
     shared_, other = [rng.randrange(1 << 31) for _ in range(8)], lambda n: [rng.randrange(1 << 31) for _ in range(n)]
     known = {1: [v for x in shared_ for v in (x, *other(5))], 2: shared_ + other(1), 3: shared_ + other(1), 4: [v for x in shared_ for v in (x, *other(9))]}
-    posts = spark.createDataFrame([(v, k, p, k) for k, items in known.items() for p, v in enumerate(items)], "value int, print long, pos int, root long")
+    posts = spark.createDataFrame([(v, k, p, 1, k) for k, items in known.items() for p, v in enumerate(items)], "value int, print long, pos int, length int, root long")
     frame = spark.createDataFrame(list(known.items()), "print long, items array<int>")
     assert chroma.confirmed(chroma.stars(posts), frame).collect() == []
     for block in (1, 3, 1000):
@@ -126,3 +127,14 @@ def test_op6(spark):
     got = sorted(str(tuple(r)) for r in queries.QUERIES["op6_chroma_fingerprints"](spark, DIR).collect())
     assert got == plain_groups([(d, chroma.fingerprint(np.frombuffer((t or "").encode(), np.uint8)).tolist()) for d, t in rows])
     assert len(got) == len(rows) and any(not x.endswith(" 1)") for x in got)
+
+
+def test_runs_vote_as_their_integers_do(spark):
+    rng = random.Random(9)
+    known = {k: [rng.randrange(4) for _ in range(rng.randrange(1, 5)) for _ in [0] * rng.randrange(1, 3)] + [k % 3] * rng.randrange(9) + [3, 3] for k in range(1, 9)}
+    frame = spark.createDataFrame(list(known.items()), "print long, items array<int>")
+    posts = chroma.runs(frame).withColumn("root", F.col("print"))
+    known = {k: v for k, v in known.items() if len(v) >= chroma.VOTES}
+    expected = {(a, b, s) for a in known for b in known if a < b for s, n in Counter(q - p for p, u in enumerate(known[a]) for q, v in enumerate(known[b]) if u == v).items() if n >= chroma.VOTES}
+    for block in (2, 1000):
+        assert {tuple(r) for r in chroma.crossing(posts, block).collect()} == expected and expected
