@@ -156,21 +156,21 @@ def errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 
 
 def confirmed(votes: DataFrame, known: DataFrame) -> DataFrame:
-    """The (a, b) of votes (a, b, shift) whose bit errors are few enough at the offset."""
+    """The (a, b) of votes (a, b, shift) whose bit errors are few enough at one of the offsets; integers are joined once for each pair."""
 
     def run(batches):
         for batch in batches:
             keep = []
             ours, theirs = batch.column(3), batch.column(4)
-            for i, offset in enumerate(batch.column(2).to_pylist()):
+            for i, offsets in enumerate(batch.column(2).to_pylist()):
                 a, b = ours[i].values.to_numpy(), theirs[i].values.to_numpy()
-                overlap, bits = errors(a, b, offset)
-                keep.append(2 * overlap >= min(len(a), len(b)) and bits <= ERRORS * overlap)
+                found = (errors(a, b, x) for x in offsets)
+                keep.append(any(2 * overlap >= min(len(a), len(b)) and bits <= ERRORS * overlap for overlap, bits in found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda n, items: known.select(F.col("print").alias(n), F.col("items").alias(items))
-    rows = votes.join(side("a", "_a"), "a").join(side("b", "_b"), "b")
-    return rows.select("a", "b", "shift", "_a", "_b").mapInArrow(run, "a long, b long").distinct()
+    rows = votes.groupBy("a", "b").agg(F.collect_list("shift").alias("shifts")).join(side("a", "_a"), "a").join(side("b", "_b"), "b")
+    return rows.select("a", "b", "shifts", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
 def runs(known: DataFrame) -> DataFrame:
