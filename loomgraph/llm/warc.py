@@ -171,31 +171,55 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, frame: int = FRAME,
 
 
 def read(index: DataFrame) -> DataFrame:
-    """Read every bundle of the index from its first to its last frame: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Read every frame of the index's bundles: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A row of work is a frame; frames are dealt over shuffle-partitions tasks, and a task reads each bundle's
+    seek table once, whatever the number of bundles.
+    """
 
     def number(name: str | None) -> int | None:
         digits = name[len("<urn:page:") : -1] if name else ""
         return int(digits) if digits else None
 
+    def rows_of(data: bytes, path: str) -> pa.RecordBatch:
+        out = []
+        for headers, block in parse(data):
+            head, _, payload = block.partition(b"\r\n\r\n")
+            digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+            if headers["WARC-Type"] == "response":
+                size = len(payload)
+                if digest_of(payload) != digest:
+                    raise ValueError(f"damaged payload of {headers['WARC-Record-ID']} in {path}")
+            else:
+                size = int(head.decode().rpartition("Content-Length: ")[2])
+            out.append((number(headers["WARC-Record-ID"]), size, digest, headers["WARC-Type"], number(headers.get("WARC-Refers-To"))))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
     def load(batches):
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with files.opened(path) as file:
-                    for offset, packed, _ in seek_table(file):
-                        out = []
-                        for headers, block in parse(frame_bytes(file, offset, packed)):
-                            head, _, payload = block.partition(b"\r\n\r\n")
-                            digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                            if headers["WARC-Type"] == "response":
-                                size = len(payload)
-                                if digest_of(payload) != digest:
-                                    raise ValueError(f"damaged payload of {headers['WARC-Record-ID']} in {path}")
-                            else:
-                                size = int(head.decode().rpartition("Content-Length: ")[2])
-                            out.append((number(headers["WARC-Record-ID"]), size, digest, headers["WARC-Type"], number(headers.get("WARC-Refers-To"))))
-                        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-
-    paths = index.select("path").distinct()
-    return paths.mapInArrow(load, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        last, file, table = None, None, []
+        try:
+            for batch in batches:
+                for path, frame in zip(*(c.to_pylist() for c in batch.columns)):
+                    if path != last:
+                        if file is not None:
+                            file.close()
+                        last, file = path, files.opened(path)
+                        table = seek_table(file)
+                    offset, packed, _ = table[frame]
+                    yield rows_of(frame_bytes(file, offset, packed), path)
+        finally:
+            if file is not None:
+                file.close()
+
+    return frames(index).mapInArrow(load, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def frames(index: DataFrame) -> DataFrame:
+    """Rows (path, frame) of the index, dealt over an explicit number of partitions and sorted in each.
+
+    Dealt by a hash of its own: with the columns of distinct() Spark would take its exchange for this one and coalesce it.
+    """
+    parts = shared.partitions(index.sparkSession)
+    return index.select("path", "frame").distinct().repartition(parts, F.xxhash64("path", "frame")).sortWithinPartitions("path", "frame")
