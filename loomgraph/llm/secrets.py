@@ -81,8 +81,10 @@ def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     ids = F.col("kind").isin(number["access"], number["login"])
     secret = F.col("kind").isin(number["assign"], number["hex"], number["token"])
     parts = scanned.filter(F.size("weak") > 0).select("row_key", F.explode(F.concat("base", "weak")).alias("p")).select("row_key", "p.*")
-    order = W.partitionBy("row_key").orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    order = [F.col(c) for c in ("start", "end", "kind")]
+    key = W.partitionBy("row_key")
+    before = key.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    after = key.orderBy(*[c.desc() for c in order]).rowsBetween(W.unboundedPreceding, -1)  # running on from the end, so linear
 
     def near(role: Column) -> Column:
         left = F.max(F.when(role, F.col("end"))).over(before) >= F.col("start") - scope
