@@ -26,6 +26,23 @@ def secrets(text):
     return len(a), len(b), len(c), hashlib.sha256(spans.encode()).hexdigest()
 
 
+def linked_secrets(text, scope=200):
+    """All spans of a text: the base ones, and the weak ones that lie within *scope* of their complements, by trying all pairs."""
+    t = text or ""
+    from loomgraph.llm.secrets import LOGIN, TOKEN, URL
+
+    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    weak = [(m.start(), k, m.end()) for k, p in ((3, LOGIN), (4, TOKEN), (5, URL)) for m in re.finditer(p, t)]
+    parts = base + weak
+    near = lambda x, kinds: any(y is not x and y[1] in kinds and y[0] <= x[2] + scope and y[2] >= x[0] - scope for y in parts)
+    needs = {3: [(0, 2, 4)], 4: [(1, 3)], 5: [(1, 3), (0, 2, 4)]}
+    told = [x for x in weak if all(near(x, k) for k in needs[x[1]]) and not any(y[0] < x[2] and y[2] > x[0] for y in base)]
+    names = ("assign", "access", "hex", "login", "token", "url")
+    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + told))
+
+
 def near_duplicates(rows, width, percent):
     sets = {}
     for d, t in rows:
