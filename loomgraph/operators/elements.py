@@ -133,7 +133,7 @@ class Nodes(Elements):
         kind = self.df.schema["metadata"].dataType
         built_in = F.array(*[F.lit(k) for k in BUILT_IN])
         if isinstance(kind, T.VariantType):
-            own = self.df.select(F.explode(F.concat(built_in, _variant_paths("metadata"))).alias("value"))
+            own = self.df.select(F.explode(built_in).alias("value")).unionByName(_variant_paths(self.df.select("metadata")))
         else:
             paths = list(_struct_paths(kind, F.col("metadata"), ""))
             own = self.df.select(F.explode(F.concat(built_in, F.filter(F.array(*[F.when(c.isNotNull(), F.lit(p)) for p, c in paths]), lambda x: x.isNotNull()))).alias("value"))
@@ -312,20 +312,14 @@ def _struct_paths(kind: T.StructType, column: Column, before: str):
             yield from _struct_paths(f.dataType, column[f.name], before + f.name + ".")
 
 
-@F.udf("array<string>")
-def _paths_of(text: str | None) -> list[str]:
-    """Dotted paths of a JSON object; the keys of open metadata are known to no schema."""
-    import json
-
-    out, todo = [], [("", json.loads(text) if text else {})]
-    while todo:
-        before, value = todo.pop()
-        for k, v in value.items():
-            out.append(before + k)
-            if isinstance(v, dict):
-                todo.append((f"{before}{k}.", v))
-    return out
-
-
-def _variant_paths(column: str) -> Column:
-    return _paths_of(F.to_json(F.col(column)))
+def _variant_paths(rows: DataFrame) -> DataFrame:
+    """Dotted paths (value) of the objects in a VARIANT column, level by level: the keys of open metadata are known to no schema."""
+    spark, out = rows.sparkSession, None
+    level = rows.select(F.lit("").alias("_before"), F.col("metadata").alias("_v"))
+    while True:
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).filter("key is not null")
+        inner = inner.select(F.concat("_before", "key").alias("value"), F.col("value").alias("_v"))
+        out = inner.select("value") if out is None else out.unionByName(inner.select("value"))
+        level = inner.filter(F.schema_of_variant("_v").startswith("OBJECT")).select(F.concat("value", F.lit(".")).alias("_before"), "_v")
+        if not level.take(1):
+            return out

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.functions.flowids import uuid5
+
 if TYPE_CHECKING:
     from loomgraph.operators.elements import Nodes
     from loomgraph.plans.graph import Graph
@@ -15,7 +17,7 @@ if TYPE_CHECKING:
 
 def edge_id(parent: Column, child: Column, kind: Column) -> Column:
     """A name-based id of an edge, the same in every run."""
-    return F.sha1(F.concat_ws("/", parent, child, kind))
+    return uuid5(F.concat_ws("/", parent, child, kind))
 
 
 def index(nodes: "Nodes", *keys: str) -> DataFrame:
@@ -48,6 +50,13 @@ def are_linked(graph: "Graph", parent: str, child: str, *args: Any) -> bool:
     return bool(graph.E()._maybe(args).filter(ends).df.take(1))
 
 
+def first_links(graph: "Graph", pairs: DataFrame, *args: Any) -> DataFrame:
+    """For rows (parent, child), the edge with the smallest id that joins them, whichever way: (parent, child, id)."""
+    edges = graph.E()._maybe(args).df.select("id", F.least("parent", "child").alias("_a"), F.greatest("parent", "child").alias("_b"))
+    keyed = pairs.select("parent", "child", F.least("parent", "child").alias("_a"), F.greatest("parent", "child").alias("_b")).distinct()
+    return keyed.join(edges, ["_a", "_b"]).groupBy("parent", "child").agg(F.min("id").alias("id"))
+
+
 def edge_rule(source: "Nodes", target: "Nodes", relation: str) -> DataFrame:
     """An edge from the first source to the first target, unless they are linked: one row at most."""
     graph = source.graph

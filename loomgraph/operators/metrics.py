@@ -139,6 +139,21 @@ def sub(a, b, counters: list[str] = COUNTERS):
     return F.struct(*[(a[c] - b[c]).alias(c) for c in counters], a["start"].alias("start"), a["last"].alias("last"))
 
 
+def split(a, cut, counters: list[str] = COUNTERS):
+    """The parts of a metric before and after an instant, as a struct of two; a part is null where the metric lies on one side.
+
+    The earlier part's counters are its share by time, cut off to integers; the later part is the rest.
+    """
+    ratio = (cut - a["start"]).cast("double") / (a["last"] - a["start"])
+    share = lambda c: (a[c].cast("double") * ratio).cast("bigint")
+    left = F.struct(*[share(c).alias(c) for c in counters], a["start"].alias("start"), cut.alias("last"))
+    right = F.struct(*[(a[c] - share(c)).alias(c) for c in counters], cut.alias("start"), a["last"].alias("last"))
+    whole = F.struct(*[a[c].alias(c) for c in counters], a["start"].alias("start"), a["last"].alias("last"))
+    early = cut <= a["start"]
+    late = ~early & ((cut >= a["last"]) | (a["start"] == a["last"]))
+    return F.struct(F.when(late, whole).when(~early, left).alias("before"), F.when(early, whole).when(~late, right).alias("after"))
+
+
 def is_zero(a, counters: list[str] = COUNTERS):
     out = F.lit(True)
     for c in counters:

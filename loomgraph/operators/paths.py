@@ -7,7 +7,6 @@ a round's work is the frontier's edges, not the graph's.  Cycles end by themselv
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from typing import TYPE_CHECKING, Any
 
@@ -26,10 +25,13 @@ OWNERSHIP = ("RelationType", "ownership")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a temporary one only where none is set."""
+    """A checkpoint in the cluster's shared folder, spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -111,8 +113,9 @@ class Paths:
 def shortest(nodes: "Nodes", target: dict, edge: dict) -> Paths:
     """For every node that reaches the target, a path of the fewest edges, whichever way they point.
 
-    The target is the matching node with the smallest id.  A breadth-first search from the target
-    notes each node's next one, the smallest of equals; the paths are then followed from the starts.
+    The target is the matching node with the smallest id.  A breadth-first search from the target keeps
+    each node's path, over the smallest of equal neighbours; a level is stored once, and only the last one
+    is joined with the edges.
     """
     graph = nodes.graph
     seen = graph.V()
@@ -120,26 +123,17 @@ def shortest(nodes: "Nodes", target: dict, edge: dict) -> Paths:
     goal = seen.df.filter(condition).agg(F.min("id").alias("id")).filter("id is not null")
     on = predicates.has(Fields.of(graph.E().df, roots={"Parent": "parent", "Child": "child"}, lists=False), tuple(x for kv in edge.items() for x in kv)) if edge else None
     edges = _edges(graph, on, True, True)
-    starts = nodes.df.select("id")
-    reached = stored(goal.select("id", F.lit(None).cast("string").alias("next"), F.lit(0).alias("step")))
-    frontier, step = reached, 0
+    starts = stored(nodes.df.select("id").withColumn("path_id", F.monotonically_increasing_id()))
+    frontier = stored(goal.select("id", F.array("id").alias("path")))
+    reached, left, step = frontier, starts.select("id").distinct(), 0
     while frontier.take(1):
-        # done once every start is reached
-        if not starts.join(reached, "id", "left_anti").take(1):
+        left = stored(left.join(frontier, "id", "left_anti"))
+        if not left.take(1):  # every start is reached
             break
         step += 1
-        found = frontier.join(edges, frontier["id"] == edges["a"]).select(F.col("b").alias("id"), F.col("a").alias("next"))
-        found = found.groupBy("id").agg(F.min("next").alias("next")).join(reached, "id", "left_anti").withColumn("step", F.lit(step))
-        frontier = stored(found)
-        reached = stored(reached.unionByName(frontier))
-    walk = starts.withColumn("path_id", F.monotonically_increasing_id())
-    walk = stored(walk.join(reached.select("id"), "id", "left_semi").select("path_id", F.lit(0).alias("step"), "id"))
-    parts, at = [walk], 0
-    while at < step:
-        at += 1
-        walk = walk.join(reached.select("id", "next"), "id").filter("next is not null").select("path_id", F.lit(at).alias("step"), F.col("next").alias("id"))
-        parts.append(walk)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return Paths(graph, out)
+        found = frontier.join(edges, frontier["id"] == edges["a"]).select(F.col("b").alias("id"), F.col("a").alias("next"), "path")
+        found = found.groupBy("id").agg(F.min_by("path", "next").alias("path")).join(reached.select("id"), "id", "left_anti")
+        frontier = stored(found.select("id", F.concat(F.array("id"), "path").alias("path")))
+        reached = reached.unionByName(frontier) if step % 8 else stored(reached.unionByName(frontier))
+    walk = starts.join(reached, "id").select("path_id", F.posexplode("path").alias("step", "id"))
+    return Paths(graph, walk)

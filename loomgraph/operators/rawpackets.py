@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from typing import TYPE_CHECKING
@@ -9,16 +10,13 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.packets import IPV4, IPV6, PROTOCOLS, bytes_at, network, number, protocol, tagged, transport, version
 from loomgraph.functions.predicates import ipv4
 
 if TYPE_CHECKING:
     from loomgraph.operators.flows import Flows
     from loomgraph.plans.graph import Graph
 
-#: IP protocol numbers, and bytes before the IP header by link type (Ethernet, raw IP, null).
-PROTOCOLS = {"icmp": 1, "tcp": 6, "udp": 17, "sctp": 132}
-HEADERS = {1: 14, 101: 0, 12: 0, 0: 4}
-
 
 @dataclass
 class RawPackets:
@@ -29,34 +27,75 @@ class RawPackets:
         return self.df.agg(F.count(F.lit(1)).alias("count"))
 
     def BPF(self, expression: str) -> "RawPackets":
-        """Packets that meet all conditions, joined by ``and``: ip, tcp, udp, icmp, sctp, [src|dst] host A, [src|dst] net A/N, [src|dst] port N."""
-        terms = [_term(t.split()) for t in expression.split(" and ")]
-        return RawPackets(self.graph, self.df.filter(F.coalesce(reduce(lambda a, b: a & b, terms), F.lit(False))))
+        """Packets that meet the expression: conditions with ``not``, ``and``, ``or`` and parentheses.
+
+        Conditions: ip, ip6, arp, tcp, udp, icmp, icmp6, sctp, vlan [N], [src|dst] host A, [src|dst] net A/N, [src|dst] port N,
+        ether [src|dst] [host] MAC, less N, greater N.  ``not`` binds closest; ``and`` and ``or`` bind alike, from the left.
+        """
+        words = re.findall(r"[()]|[^\s()]+", expression.replace("&&", " and ").replace("||", " or ").replace("!", " not "))
+        condition, rest = _expression(words)
+        if rest:
+            raise ValueError(f"unexpected: {' '.join(rest)}")
+        return RawPackets(self.graph, self.df.filter(F.coalesce(condition, F.lit(False))))
+
+
+def _expression(words: list[str]) -> tuple[Column, list[str]]:
+    out, rest = _factor(words)
+    while rest and rest[0] in ("and", "or"):
+        joint = rest[0]
+        right, rest = _factor(rest[1:])
+        out = out & right if joint == "and" else out | right
+    return out, rest
+
+
+def _factor(words: list[str]) -> tuple[Column, list[str]]:
+    if words and words[0] == "not":
+        inner, rest = _factor(words[1:])
+        return ~F.coalesce(inner, F.lit(False)), rest
+    if words and words[0] == "(":
+        inner, rest = _expression(words[1:])
+        if not rest or rest[0] != ")":
+            raise ValueError("a parenthesis isn't closed")
+        return inner, rest[1:]
+    end = next((i for i, w in enumerate(words) if w in ("and", "or", "not", "(", ")")), len(words))
+    return F.coalesce(_term(words[:end]), F.lit(False)), words[end:]
 
 
-def _number(at: Column, size: int) -> Column:
-    return F.conv(F.hex(F.substring("data", at + 1, F.lit(size))), 16, 10).cast("bigint")
+def _any(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, columns)
 
 
 def _term(words: list[str]) -> Column:
-    base = reduce(lambda c, kv: c.when(F.col("link_type") == kv[0], F.lit(kv[1])), HEADERS.items(), F.when(F.lit(False), F.lit(0)))
-    version = F.floor(_number(base, 1) / 16)
-    is_ip = version == 4
+    base = network()
+    ethernet = F.col("link_type") == 1
+    if words and words[0] == "ether":
+        sides = {"src": [6], "dst": [0]}.get(words[1] if len(words) > 1 else "", [0, 6])
+        mac = words[-1].replace(":", "").lower()
+        return ethernet & _any([bytes_at(F.lit(s), 6) == mac for s in sides])
+    if words and words[0] == "vlan" and len(words) <= 2:
+        return tagged() & (number(F.lit(14), 2) % 4096 == int(words[1])) if len(words) == 2 else tagged()
+    kind = number(base - 2, 2)
     if words == ["ip"]:
-        return is_ip
+        return F.when(ethernet, kind == IPV4).otherwise(version() == 4)
+    if words == ["ip6"]:
+        return F.when(ethernet, kind == IPV6).otherwise(version() == 6)
+    if words == ["arp"]:
+        return ethernet & (kind == 0x0806)
     if len(words) == 1 and words[0] in PROTOCOLS:
-        return is_ip & (_number(base + 9, 1) == PROTOCOLS[words[0]])
-    way, rest = (words[0], words[1:]) if words[0] in ("src", "dst") else ("", words)
+        return protocol() == PROTOCOLS[words[0]]
+    if len(words) == 2 and words[0] in ("less", "greater"):
+        size = F.octet_length("data")
+        return size <= int(words[1]) if words[0] == "less" else size >= int(words[1])
+    way, rest = (words[0], words[1:]) if words and words[0] in ("src", "dst") else ("", words)
     sides = {"src": [0], "dst": [1], "": [0, 1]}[way]
     if len(rest) == 2 and rest[0] in ("host", "net"):
         address, _, bits = rest[1].partition("/")
         size = 1 << (32 - int(bits or 32))
         wanted = F.floor(ipv4(F.lit(address)) / size)
-        return is_ip & reduce(lambda a, b: a | b, [F.floor(_number(base + 12 + 4 * s, 4) / size) == wanted for s in sides])
+        return (version() == 4) & _any([F.floor(number(base + 12 + 4 * s, 4) / size) == wanted for s in sides])
     if len(rest) == 2 and rest[0] == "port":
-        start = base + (_number(base, 1) % 16).cast("int") * 4
-        able = _number(base + 9, 1).isin(PROTOCOLS["tcp"], PROTOCOLS["udp"], PROTOCOLS["sctp"])
-        return is_ip & able & reduce(lambda a, b: a | b, [_number(start + 2 * s, 2) == int(rest[1]) for s in sides])
+        able = protocol().isin(PROTOCOLS["tcp"], PROTOCOLS["udp"], PROTOCOLS["sctp"])
+        return able & _any([number(transport() + 2 * s, 2) == int(rest[1]) for s in sides])
     raise ValueError(f"unknown condition: {' '.join(words)}")
 
 

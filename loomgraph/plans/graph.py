@@ -13,7 +13,6 @@ from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import timeparse
@@ -49,6 +48,8 @@ class Graph:
     #: Flows count as active this long after their last packet (ms).
     flow_expire: int = 600_000
     saved: dict = field(default_factory=dict)
+    #: For stored graphs: gives a table's rows that a slice can need, so that folders of other days aren't read.
+    prune: Callable[[str, Slice], DataFrame] | None = None
 
     def __getattribute__(self, name: str):
         value = object.__getattribute__(self, name)
@@ -97,9 +98,14 @@ class Graph:
             raise ValueError("the graph has no history")
         last = timeparse.instant_ms(at, int(time.time() * 1000) if now_ms is None else now_ms)
         if duration is None:
-            return replace(self, slice=Slice(last, last, True))
+            return self._sliced(Slice(last, last, True))
         length = timeparse.length_ms(duration)
-        return replace(self, slice=Slice(0 if length is None else last - length, last, False))
+        return self._sliced(Slice(0 if length is None else last - length, last, False))
+
+    def _sliced(self, s: Slice) -> "Graph":
+        if self.prune is None:
+            return replace(self, slice=s)
+        return replace(self, slice=s, **{name: (lambda name=name: self.prune(name, s)) for name in ("nodes", "edges", "flows", "flow_metrics")})
 
     At = Context
 
@@ -113,8 +119,9 @@ class Graph:
         )
         if not s.point:
             return rows
-        newest = W.partitionBy("id").orderBy(F.col("revision").desc())
-        return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+        # partial maxima move one row of an id from each task, not all revisions
+        best = F.max_by(F.struct(*rows.columns), F.struct("revision", "updated_at"))
+        return rows.groupBy(F.col("id").alias("_id")).agg(best.alias("_row")).select("_row.*")
 
     def with_elements(self, nodes: DataFrame, edges: DataFrame) -> "Graph":
         """A graph of just these elements."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions.flowids import uuid5
 from loomgraph.plans.graph import Graph
 
 _COLUMNS = ["id", "host", "origin", "created_at", "updated_at", "deleted_at", "archived_at", "revision"]
@@ -19,7 +20,7 @@ _COLUMNS = ["id", "host", "origin", "created_at", "updated_at", "deleted_at", "a
 
 def node_id(*parts: Column) -> Column:
     """A name-based id of its parts."""
-    return F.sha1(F.concat_ws("/", *parts))
+    return uuid5(F.concat_ws("/", *parts))
 
 
 def added(rows: DataFrame, now: int, host: str = "", origin: str = "") -> DataFrame:
@@ -62,7 +63,10 @@ def update(log: DataFrame, changes: DataFrame, now: int) -> DataFrame:
 
 
 def with_fields(metadata: str, **fields: Column) -> Column:
-    """A struct of metadata with fields set, added or (None) taken away."""
+    """A struct of metadata with fields set, added or (None) taken away; a name may be a dotted path into nested structs.
+
+    One call is a transaction: with :func:`update` it makes one revision, and none where nothing changes.
+    """
     out = F.col(metadata)
     for name, value in fields.items():
         out = out.dropFields(name) if value is None else out.withField(name, value)
@@ -119,3 +123,12 @@ def flush(log: DataFrame, origin: str, now: int) -> DataFrame:
     at = F.lit(now).cast("bigint")
     mine = F.col("archived_at").isNull() & (F.col("origin") == origin)
     return log.withColumns({"deleted_at": F.when(mine, at).otherwise(F.col("deleted_at")), "archived_at": F.when(mine, at).otherwise(F.col("archived_at"))})
+
+
+def synced(log: DataFrame, origin: str, current: DataFrame, now: int) -> DataFrame:
+    """The log after an origin has told all that it holds: rows *current* (id, revision 1 and up).
+
+    Live rows of the origin that it no longer holds are closed, newer revisions take the place of older ones.
+    """
+    gone = log.filter((F.col("archived_at").isNull()) & (F.col("origin") == origin)).select("id").join(current.select("id"), "id", "left_anti")
+    return merge(delete(log, gone, now), current)

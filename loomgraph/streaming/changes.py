@@ -22,9 +22,15 @@ SCHEMA = "op string, kind string, id string, parent string, child string, at lon
 
 
 def revisions(changes: DataFrame) -> DataFrame:
-    """Revision log of a whole set of changes: each row is closed by the next change of its element."""
-    order = W.partitionBy("kind", "id").orderBy("revision", "at")
-    rows = changes.withColumns({"_next": F.lead("at").over(order), "_op": F.lead("op").over(order), "created_at": F.min("at").over(W.partitionBy("kind", "id"))})
+    """Revision log of a whole set of changes: each row is closed by the next change of its element.
+
+    Changes are in order of their time, then revision: an element that is deleted and added again begins at
+    revision 1 anew.  Deletes so far number its lives, and each life has a creation time of its own.
+    """
+    order = W.partitionBy("kind", "id").orderBy("at", "revision")
+    deletes = F.coalesce(F.count_if(F.col("op") == "delete").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = changes.withColumns({"_next": F.lead("at").over(order), "_op": F.lead("op").over(order), "_life": deletes})
+    rows = rows.withColumn("created_at", F.min("at").over(W.partitionBy("kind", "id", "_life")))
     gone = F.col("_op") == "delete"
     return rows.filter("op <> 'delete'").select(
         "kind", "id", "parent", "child", F.lit("").alias("host"), F.lit("").alias("origin"), "created_at", F.col("at").alias("updated_at"),
@@ -75,16 +81,61 @@ class Alert:
         return new
 
 
+def advance(live: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """The live rows after a set of changes, from the live rows before it: (kind, SCHEMA's columns, created_at)."""
+    rows = changes.withColumn("created_at", F.lit(None).cast("long"))
+    if live is not None:
+        rows = rows.unionByName(live)
+    order = W.partitionBy("kind", "id").orderBy("at", "revision")
+    deletes = F.coalesce(F.count_if(F.col("op") == "delete").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"_last": F.lead("op").over(order).isNull(), "_life": deletes})
+    rows = rows.withColumn("created_at", F.min(F.coalesce("created_at", "at")).over(W.partitionBy("kind", "id", "_life")))
+    return rows.filter("_last and op <> 'delete'").drop("_last", "_life")
+
+
+def _graph_of_live(live: DataFrame) -> Graph:
+    null = F.lit(None).cast("long")
+    log = live.select(
+        "kind", "id", "parent", "child", F.lit("").alias("host"), F.lit("").alias("origin"), "created_at", F.col("at").alias("updated_at"),
+        null.alias("deleted_at"), null.alias("archived_at"), "revision", F.parse_json("metadata").alias("metadata"))
+    return Graph(log.filter("kind = 'node'").drop("kind", "parent", "child"), log.filter("kind = 'edge'").drop("kind"), history=False)
+
+
 def follow(stream: DataFrame, log_path: str, checkpoint: str, *watchers: Subscription | Alert, once: bool = True):
-    """Appends the stream's changes to the log and lets the watchers see the graph after each micro-batch."""
+    """Appends the stream's changes to the log and lets the watchers see the live graph after each micro-batch.
+
+    The live rows after each epoch are a table beside the log, made from those before it and the batch alone, so a
+    batch's work doesn't grow with the log.  For the past, read the log with :func:`graph_of`.
+    """
+    live_path = f"{log_path.rstrip('/')}-live"
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        # a batch that runs again overwrites its own folder
+        # a batch that runs again overwrites its own folders, and starts from the epoch before it
         batch.write.mode("overwrite").parquet(f"{log_path}/epoch={epoch}")
-        graph = graph_of(spark.read.parquet(log_path).drop("epoch"))
+        before = _epochs(spark, live_path)
+        last = max((e for e in before if e < epoch), default=None)
+        live = None if last is None else spark.read.parquet(f"{live_path}/epoch={last}")
+        advance(live, spark.read.parquet(f"{log_path}/epoch={epoch}")).write.mode("overwrite").parquet(f"{live_path}/epoch={epoch}")
+        for old in before:
+            if last is not None and old < last:
+                _path(spark, f"{live_path}/epoch={old}")[1].delete(_path(spark, f"{live_path}/epoch={old}")[0], True)
+        graph = _graph_of_live(spark.read.parquet(f"{live_path}/epoch={epoch}"))
         for watcher in watchers:
             watcher.check(graph)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _path(spark, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _epochs(spark, folder: str) -> list[int]:
+    """Epochs that have a folder with a finished table."""
+    path, files = _path(spark, folder)
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    found = [int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=")]
+    return sorted(e for e in found if files.exists(_path(spark, f"{folder}/epoch={e}/_SUCCESS")[0]))
