@@ -39,9 +39,9 @@ FLOWS = """flows AS (SELECT l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey)"""
 POINTS = """points AS (SELECT user_id::VARCHAR k, (epoch_us(ts)//1000) s, CAST(round(value*100) AS BIGINT) abp, CAST(json_extract_string(props,'$.k') AS BIGINT) abb, 1::BIGINT bap, (event_id%7)::BIGINT bab,
  coalesce(lead((epoch_us(ts)//1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts)//1000), event_id), (epoch_us(ts)//1000)) l FROM events)"""
-#: Epoch ms of the contexts, and of the metric window: ten minutes of the events.
+#: Epoch ms of the contexts, and of the metric window: ten days of the events, by the hour.
 POINT, FROM, TO = 880_000_000_000, 870_000_000_000, 880_000_000_000
-WINDOW_START, WINDOW = 1_704_070_800_000, 600
+WINDOW_START, WINDOW, BUCKET = 1_704_499_200_000, 864_000, 3600
 
 
 def query(sql: str | None = None):
@@ -419,23 +419,23 @@ def metrics_sum(s, d):
 #: A point's share of each bucket, cut off again and again: the recursion goes from bucket to bucket.
 AGGREGATES = f"""WITH RECURSIVE w AS (SELECT *, row_number() OVER () AS r FROM points WHERE s < {WINDOW_START + WINDOW * 1000} AND l >= {WINDOW_START} AND s >= {WINDOW_START} AND l <= {WINDOW_START + WINDOW * 1000}),
 fold(r, i, pos, l, s, a, b, c, e, pa, pb, pc, pe, a0, b0, c0, e0, done) AS (
- SELECT r, least((s-{WINDOW_START})//30000, {WINDOW // 30 - 1}) - 1, s, l, s, abp, abb, bap, bab, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, abp, abb, bap, bab, false FROM w
+ SELECT r, least((s-{WINDOW_START})//{BUCKET * 1000}, {WINDOW // BUCKET - 1}) - 1, s, l, s, abp, abb, bap, bab, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, abp, abb, bap, bab, false FROM w
  UNION ALL
  SELECT r, i, pos2, l, s, a-qa, b-qb, c-qc, e-qe, CASE WHEN z THEN a0 ELSE qa END, CASE WHEN z THEN b0 ELSE qb END, CASE WHEN z THEN c0 ELSE qc END, CASE WHEN z THEN e0 ELSE qe END, a0, b0, c0, e0, z OR l <= pos2 FROM (
-  SELECT *, qa=0 AND qb=0 AND qc=0 AND qe=0 AND s >= pos2-30000 AND s < pos2 AS z FROM (
-   SELECT r, i+1 AS i, {WINDOW_START}+(i+2)*30000 AS pos2, pos, l, s, a, b, c, e, a0, b0, c0, e0,
-    CASE WHEN l <= {WINDOW_START}+(i+2)*30000 THEN a ELSE CAST(trunc(a*({WINDOW_START}+(i+2)*30000-pos)::DOUBLE/(l-pos)) AS BIGINT) END qa,
-    CASE WHEN l <= {WINDOW_START}+(i+2)*30000 THEN b ELSE CAST(trunc(b*({WINDOW_START}+(i+2)*30000-pos)::DOUBLE/(l-pos)) AS BIGINT) END qb,
-    CASE WHEN l <= {WINDOW_START}+(i+2)*30000 THEN c ELSE CAST(trunc(c*({WINDOW_START}+(i+2)*30000-pos)::DOUBLE/(l-pos)) AS BIGINT) END qc,
-    CASE WHEN l <= {WINDOW_START}+(i+2)*30000 THEN e ELSE CAST(trunc(e*({WINDOW_START}+(i+2)*30000-pos)::DOUBLE/(l-pos)) AS BIGINT) END qe
-   FROM fold WHERE NOT done AND i+1 < {WINDOW // 30})))
-SELECT {WINDOW_START}+i*30000 AS start, sum(pa)::BIGINT AS ab_packets, sum(pb)::BIGINT AS ab_bytes, sum(pc)::BIGINT AS ba_packets, sum(pe)::BIGINT AS ba_bytes FROM fold WHERE pos <> s OR i >= (s-{WINDOW_START})//30000 GROUP BY i"""
+  SELECT *, qa=0 AND qb=0 AND qc=0 AND qe=0 AND s >= pos2-{BUCKET * 1000} AND s < pos2 AS z FROM (
+   SELECT r, i+1 AS i, {WINDOW_START}+(i+2)*{BUCKET * 1000} AS pos2, pos, l, s, a, b, c, e, a0, b0, c0, e0,
+    CASE WHEN l <= {WINDOW_START}+(i+2)*{BUCKET * 1000} THEN a ELSE CAST(trunc(a*({WINDOW_START}+(i+2)*{BUCKET * 1000}-pos)::DOUBLE/(l-pos)) AS BIGINT) END qa,
+    CASE WHEN l <= {WINDOW_START}+(i+2)*{BUCKET * 1000} THEN b ELSE CAST(trunc(b*({WINDOW_START}+(i+2)*{BUCKET * 1000}-pos)::DOUBLE/(l-pos)) AS BIGINT) END qb,
+    CASE WHEN l <= {WINDOW_START}+(i+2)*{BUCKET * 1000} THEN c ELSE CAST(trunc(c*({WINDOW_START}+(i+2)*{BUCKET * 1000}-pos)::DOUBLE/(l-pos)) AS BIGINT) END qc,
+    CASE WHEN l <= {WINDOW_START}+(i+2)*{BUCKET * 1000} THEN e ELSE CAST(trunc(e*({WINDOW_START}+(i+2)*{BUCKET * 1000}-pos)::DOUBLE/(l-pos)) AS BIGINT) END qe
+   FROM fold WHERE NOT done AND i+1 < {WINDOW // BUCKET})))
+SELECT {WINDOW_START}+i*{BUCKET * 1000} AS start, sum(pa)::BIGINT AS ab_packets, sum(pb)::BIGINT AS ab_bytes, sum(pc)::BIGINT AS ba_packets, sum(pe)::BIGINT AS ba_bytes FROM fold WHERE pos <> s OR i >= (s-{WINDOW_START})//{BUCKET * 1000} GROUP BY i"""
 
 
 @query(AGGREGATES)
 def metrics_aggregates(s, d):
     graph = g(s, d).Context((WINDOW_START + WINDOW * 1000), WINDOW)
-    return metrics.stored_points(graph).Aggregates(30).df.select("start", "ab_packets", "ab_bytes", "ba_packets", "ba_bytes")
+    return metrics.stored_points(graph).Aggregates(BUCKET).df.select("start", "ab_packets", "ab_bytes", "ba_packets", "ba_bytes")
 
 
 #: The same fold over the whole table, by the hour from the first point to the last.
@@ -504,3 +504,6 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) n FROM e)
 SELECT user_id::VARCHAR AS flow_key, min(t) AS start, max(t) AS last, sum(ab)::BIGINT AS ab_packets, sum(ab*v)::BIGINT AS ab_bytes, sum(1-ab)::BIGINT AS ba_packets, sum((1-ab)*v)::BIGINT AS ba_bytes FROM s GROUP BY user_id, n""")
 def flow_table_batch(s, d):
     return flowtable.batch(flowtable.packets_of_events(s.read.parquet(f"{d}/events.parquet"))).select("flow_key", "start", "last", "ab_packets", "ab_bytes", "ba_packets", "ba_bytes")
+
+
+from loomgraph.plans import more_queries  # noqa: E402,F401  adds to QUERIES and ORACLES

@@ -24,6 +24,8 @@ FIELDS = {
 }
 #: Time from an order's first revision to its second.
 REVISED = 30 * 86_400_000
+#: Start of the first interface metric.
+MEASURED = 1_704_067_200_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +128,53 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
         flow_metrics=lambda: flow_metrics(spark, sf_dir), sockets=lambda: sockets(flows(spark, sf_dir)))
 
 
+def routed(spark: SparkSession, sf_dir: str) -> Graph:
+    """Suppliers as hosts with nested metadata: an MTU, interface metrics, routing tables and neighbours; host k lies below host k div 2."""
+    k = "s_suppkey"
+    route = lambda prefix, hop: f"named_struct('Prefix', {prefix}, 'NextHops', array({hop}))"
+    hop = lambda ip_, index: f"named_struct('IP', cast({ip_} as string), 'IfIndex', cast({index} as bigint), 'Priority', 0L)"
+    routes = (
+        f"concat(if({k} % 4 = 1, array({route(repr('10.1.1.0/24'), hop(f'concat({chr(39)}10.9.0.{chr(39)}, cast({k} % 250 as string))', 2))}), array()), "
+        f"if({k} % 4 = 2, array({route(repr('10.1.0.0/16'), hop('null', 3))}), array()), "
+        f"if({k} % 3 <> 0, array({route(repr('0.0.0.0/0'), hop(f'concat({chr(39)}10.9.1.{chr(39)}, cast({k} % 250 as string))', 4))}), array()))"
+    )
+    near = ", ".join(f"named_struct('IP', concat('10.9.{n}.', cast({k} % 250 as string)), 'MAC', concat('gw-{n}-', cast({k} % 250 as string)))" for n in (0, 1))
+    meta = (
+        f"named_struct('Type', 'host', 'Name', s_name, 'Key', cast({k} as bigint), 'Level', if({k} between 2 and 3, 1L, null), 'MTU', cast(1500 - 100 * ({k} % 3) as bigint), "
+        f"'LastUpdateMetric', named_struct('RxBytes', cast({k} * 10 as bigint), 'TxBytes', cast(round(s_acctbal * 100) as bigint), 'Start', {MEASURED}L + 1000 * ({k} % 50), 'Last', {MEASURED}L + 1000 * ({k} % 50) + 60000), "
+        f"'RoutingTables', array(named_struct('Id', 254L, 'Src', '', 'Routes', {routes})), 'Neighbors', array({near}))"
+    )
+    hosts = _table(spark, sf_dir, "supplier").filter(f"{k} > 0")
+    links = hosts.filter(f"{k} > 1")
+    edges_ = _elements(links, _name("up", k), "0", "named_struct('RelationType', 'layer2')", f"{_name('host', f'{k} div 2')} as parent", f"{_name('host', k)} as child")
+    return Graph(_elements(hosts, _name("host", k), "0", meta), edges_)
+
+
+def users(spark: SparkSession, sf_dir: str) -> Graph:
+    """A flow for each user of the events, with the user's points as its stored metrics."""
+    points = flow_metrics(spark, sf_dir)
+    rows = points.groupBy(F.col("flow_uuid").alias("uuid")).agg(F.min("start").alias("start"), F.max("last").alias("last"))
+    rows = rows.selectExpr("uuid", "if(cast(uuid as bigint) % 2 = 0, 'even', 'odd') as application", "uuid as tracking_id", "start", "last")
+    return Graph(lambda: nodes(spark, sf_dir), lambda: edges(spark, sf_dir), flows=rows, flow_metrics=points)
+
+
+def with_packets(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph with a raw packet for each flow: Ethernet, IPv4 and the first eight bytes of TCP or UDP."""
+    def packets() -> DataFrame:
+        byte = lambda n: f"lpad(hex({n}), 2, '0')"
+        address = lambda c: " , ".join(byte(f"cast(split_part({c}, '.', {i}) as int)") for i in (1, 2, 3, 4))
+        word = lambda c: f"lpad(hex({c}), 4, '0')"
+        data = (
+            "unhex(concat('020000000001', '020000000002', '0800', '450000000000000040', if(transport.protocol = 'TCP', '06', '11'), '0000'"
+            + f", {address('network.a')}, {address('network.b')}, {word('transport.a')}, {word('transport.b')}, '00000000'))"
+        )
+        return flows(spark, sf_dir).selectExpr("uuid as flow_uuid", "start as timestamp", "0L as index", f"{data} as data", "1 as link_type")
+
+    base = graph(spark, sf_dir)
+    base.raw_packets = packets()
+    return base
+
+
 def history(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders with two revisions: new at the order date, and with their status later."""
     rows, at = _table(spark, sf_dir, "orders"), ms("o_orderdate")

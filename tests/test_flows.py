@@ -1,4 +1,4 @@
-"""Metrics' golden buckets, flow steps, sockets, next hops, packets and the flow table."""
+"""Metrics' buckets, flow steps, sockets, next hops, packets and the flow table."""
 
 import json
 import random
@@ -17,13 +17,11 @@ from loomgraph.sources.store import Store
 from loomgraph.streaming import changes, flowtable
 from tests.test_graph import build, ids, n
 
-AA = [(6000, 0, 15), (6000, 15, 30)]
-BB = [(6000, 5, 10), (6000, 10, 20)]
+#: Series of (counter, start, last), a window, and the buckets of ten seconds worked out by hand.
 GOLDEN = [
-    ([[(1000, 0, 10)]], (0, 10), [1000]), ([[(1000, 0, 20)]], (0, 10), [500]), ([[(1000, 0, 20)]], (10, 20), [500]), ([[(1000, 10, 20)]], (5, 15), [500]),
-    ([[(1000, 10, 20)]], (15, 25), [500]), ([[(1000, 1, 5)]], (0, 10), [1000]), ([[(1, 0, 60)]], (0, 10), [1]), ([[(1, 0, 60)]], (10, 20), [0]),
-    ([[(18000, 0, 30)]], (0, 30), [6000] * 3), ([[(18000, 0, 30)]], (10, 30), [6000] * 2), ([AA], (10, 30), [4000, 4000]), ([AA, BB], (5, 30), [13000, 7000, 2000]),
-    ([AA, [*BB, (2000, 20, 30)]], (5, 30), [13000, 8000, 3000]),
+    ([[(900, 0, 30)]], (0, 30), [300] * 3), ([[(7, 0, 40)]], (0, 40), [1, 2, 2, 2]), ([[(500, 4, 24)]], (0, 30), [150, 250, 100]), ([[(500, 4, 24)]], (10, 30), [250, 100]),
+    ([[(1, 0, 90)]], (0, 10), [1]), ([[(1, 0, 90)]], (10, 20), [0]), ([[(64, 12, 19)]], (10, 20), [64]), ([[(900, 0, 30)], [(500, 4, 24)]], (0, 30), [450, 550, 400]),
+    ([[(80, 0, 8), (40, 8, 16), (20, 16, 40)]], (0, 40), [90, 33, 8, 9]),
 ]
 
 
@@ -199,6 +197,79 @@ def test_changes_alerts_and_subscriptions(spark, tmp_path):
     assert ids(old.V()) == ["a"]
 
 
+def test_lives_of_an_element(spark):
+    """Deleted and added again, an element begins at revision 1: it is live, with a creation time of its own."""
+    rows = [("add", "node", "a", None, None, 100, 1, "{}"), ("update", "node", "a", None, None, 150, 2, "{}"), ("delete", "node", "a", None, None, 200, 3, "{}"), ("add", "node", "a", None, None, 300, 1, "{}"),
+            ("add", "node", "b", None, None, 120, 1, "{}"), ("delete", "node", "b", None, None, 310, 2, "{}")]
+    log = spark.createDataFrame(rows, changes.SCHEMA)
+    got = sorted(tuple(r) for r in changes.revisions(log).select("id", "created_at", "updated_at", "deleted_at", "archived_at").collect())
+    assert got == [("a", 100, 100, None, 150), ("a", 100, 150, 200, 200), ("a", 300, 300, None, None), ("b", 120, 120, 310, 310)]
+    assert ids(changes.graph_of(log).V()) == ["a"]
+    live = None
+    for at in range(0, len(rows), 2):  # in any cut, the live rows are those of the whole log
+        live = changes.advance(live, spark.createDataFrame(sorted(rows, key=lambda r: r[5])[at : at + 2], changes.SCHEMA))
+        whole = changes.revisions(spark.createDataFrame(sorted(rows, key=lambda r: r[5])[: at + 2], changes.SCHEMA)).filter("archived_at is null")
+        assert sorted(map(tuple, live.select("id", "at", "created_at", "revision").collect())) == sorted(map(tuple, whole.select("id", "updated_at", "created_at", "revision").collect()))
+
+
+def test_packet_filters_and_decoding(spark):
+    from loomgraph.functions import packets
+    from loomgraph.operators.rawpackets import RawPackets
+
+    def frame(source, target, proto, a, b, tag=None, flags=0x12, macs="0200000000aa0200000000bb"):
+        body = bytes([0x45, 0, 0, 40, 0, 0, 0, 0, 64, proto, 0, 0]) + bytes(map(int, source.split("."))) + bytes(map(int, target.split("."))) + struct.pack(">HHIIBB", a, b, 0, 0, 0x50, flags)
+        vlan = struct.pack(">HH", 0x8100, tag) if tag is not None else b""
+        return bytes.fromhex(macs) + vlan + struct.pack(">H", 0x0800) + body
+
+    six = bytes.fromhex("0200000000aa" "0200000000bb" "86dd") + bytes([0x60, 0, 0, 0, 0, 8, 17, 64]) + bytes(15) + b"\1" + bytes(15) + b"\2" + struct.pack(">HHHH", 53, 4000, 8, 0)
+    data = [frame("10.0.0.1", "10.0.0.2", 6, 1000, 80), frame("10.0.0.2", "10.0.0.1", 6, 80, 1000, flags=0x11, macs="0200000000bb0200000000aa"), frame("10.0.1.9", "10.0.0.2", 17, 53, 53, tag=7), six]
+    raw = spark.createDataFrame([(f"f{i}", i * 10, i, bytearray(x), 1) for i, x in enumerate(data)], "flow_uuid string, timestamp long, index long, data binary, link_type int")
+    seen = lambda text: sorted(r["index"] for r in RawPackets(None, raw).BPF(text).df.collect())
+    assert seen("tcp") == [0, 1] and seen("udp") == [2, 3] and seen("ip6") == [3] and seen("ip") == [0, 1, 2] and seen("vlan 7") == [2] and seen("vlan") == [2]
+    assert seen("tcp or vlan") == [0, 1, 2] and seen("not tcp") == [2, 3] and seen("not (tcp or ip6)") == [2] and seen("port 53 and not vlan") == [3]
+    assert seen("src host 10.0.0.1 or dst host 10.0.0.1") == [0, 1] and seen("net 10.0.1.0/24") == [2] and seen("ether src 02:00:00:00:00:bb") == [0, 2, 3] and seen("ether dst 02:00:00:00:00:bb") == [1]
+    for wrong in ("tcp and", "(tcp", "tcp)", "port", "frob 1"):
+        with pytest.raises(ValueError):
+            seen(wrong)
+    rows = {r["at"] // 10: r for r in packets.rows(raw, "L3").collect()}
+    assert rows[0]["flow_key"] == rows[1]["flow_key"] == "10.0.0.1/10.0.0.2/TCP/1000/80" and (rows[0]["direction"], rows[1]["direction"]) == ("AB", "BA")
+    assert rows[0]["flags"] == "SYN|ACK" and rows[1]["flags"] == "FIN|ACK" and rows[3]["network_b"].endswith("02") and rows[3]["transport_a"] == 53
+    two = packets.rows(raw, "L2").collect()
+    assert len({r["flow_key"] for r in two}) == 3 and all("02:00:00:00:00:aa" in r["flow_key"] for r in two)
+    flows = flowtable.batch(packets.rows(raw, "L3")).filter("ab_packets + ba_packets = 2").collect()
+    assert [(r["ab_packets"], r["ba_packets"], r["start"], r["last"]) for r in flows] == [(1, 1, 0, 10)]
+
+
+def test_update_stream_equals_updates(spark, tmp_path):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(f"k{rng.randrange(3)}", rng.choice(["AB", "BA"]), rng.randrange(0, 600_000), rng.randrange(100)) for _ in range(300)], "flow_key string, direction string, at long, bytes long")
+    rows.write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("end", "AB", 10_000_000, 0)], rows.schema).write.parquet(str(tmp_path / "in2"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    flowtable.update_stream(source, delay="10 minutes").writeStream.format("memory").queryName("gained").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    told = spark.table("gained")
+    whole = flowtable.updates(rows).select(*told.columns)
+    assert flowtable.subscribed(told.withColumn("capture_id", F.lit("x")), "y").count() == 0
+    key = lambda r: tuple(r)
+    assert sorted(map(key, told.collect())) == sorted(map(key, whole.collect()))
+
+
+def test_contexts_of_a_store_prune_days(spark, tmp_path):
+    day = 86_400_000
+    base = "id string, host string, origin string, created_at long, updated_at long, deleted_at long, archived_at long, revision long, metadata struct<Type:string>"
+    rows = [(f"n{i}", "", "", i * day, i * day, None, None, 1, ("host",)) for i in range(6)]
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("nodes", spark.createDataFrame(rows, base))
+    store.write("edges", spark.createDataFrame([(*r[:8], r[8], "n0", r[0]) for r in rows], base + ", parent string, child string"))
+    raw = spark.createDataFrame([(f"f{i}", i * day, 0, bytearray(b"x"), 1) for i in range(6)], "flow_uuid string, timestamp long, index long, data binary, link_type int")
+    store.write("raw_packets", raw)
+    g = store.graph().Context(2 * day + 3_000_000_000)  # ms, as it is larger than seconds can be
+    assert ids(store.graph().Context(f"-{4 * 24}h", now_ms=6 * day).V()) == ["n0", "n1", "n2"]
+    plan = store.graph().Context(f"-{4 * 24}h", now_ms=6 * day).V().df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and g.prune is not None
+    assert sorted(r["flow_uuid"] for r in store.search_raw_packets(day, 3 * day, spark.createDataFrame([("f1",), ("f3",), ("f5",)], "uuid string")).collect()) == ["f1", "f3"]
+
+
 def test_store_rolls(spark, flows, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     day = 86_400_000

@@ -44,3 +44,44 @@ def test_merge_keeps_the_higher_revision(spark):
     log = M.update(M.added(rows(spark, ("a", 1), ("b", 1)), 1), rows(spark, ("a", 2)), 2)
     remote = M.added(rows(spark, ("a", 7), ("b", 8)), 5).withColumn("revision", F.lit(2).cast("bigint"))
     assert live(M.merge(log, remote)) == {"a": (2, 2), "b": (2, 8)}
+
+
+def test_name_based_ids(spark):
+    import uuid
+
+    from loomgraph.functions.flowids import tid, uuid5
+
+    names = ["", "a", "host-1", "é/x", "a" * 300]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", uuid5(F.col("n")).alias("u"), M.node_id(F.col("n"), F.lit("b")).alias("i"), tid(F.lit("r"), F.col("n"), F.lit("t")).alias("t")).collect()
+    for r in rows:
+        assert r["u"] == str(uuid.uuid5(uuid.NAMESPACE_OID, r["n"]))
+        assert r["i"] == str(uuid.uuid5(uuid.NAMESPACE_OID, f"{r['n']}/b")) and r["t"] == str(uuid.uuid5(uuid.NAMESPACE_OID, f"r{r['n']}t"))
+
+
+def test_nested_metadata_is_one_transaction(spark):
+    row = spark.range(1).selectExpr("named_struct('a', named_struct('b', 1, 'c', 2), 'd', 3) as metadata")
+    out = row.select(M.with_fields("metadata", **{"a.b": F.lit(9), "a.e": F.lit("x"), "a.c": None, "d": None}).alias("m")).first()["m"].asDict(True)
+    assert out == {"a": {"b": 9, "e": "x"}}
+
+
+def test_topology_ids(spark):
+    import json
+    import uuid
+
+    from loomgraph.plans.graph import Graph
+    from loomgraph.plans.topology import topology_ids
+
+    named = lambda text: str(uuid.uuid5(uuid.NAMESPACE_OID, text))
+    meta = {
+        "h": {"Type": "host", "Name": "alpha"}, "ns": {"Type": "netns", "Path": "/run/x", "Name": "x"}, "br": {"Type": "ovsbridge", "UUID": "u-1", "Name": "br0"},
+        "i": {"Type": "veth", "Name": "eth0"}, "j": {"Type": "device", "Name": "sub"}, "f": {"Type": "switch", "Probe": "fabric", "Name": "s"}, "k": {"Type": "device", "TID": "fixed", "Name": "k"}, "o": {"Type": "device", "Name": "alone"}, "z": {"Type": "netns"},
+    }
+    base = "host string, origin string, created_at long, updated_at long, deleted_at long, archived_at long, revision long"
+    nodes = spark.createDataFrame([(n, "me", "o", 0, 0, None, None, 1, json.dumps(m)) for n, m in meta.items()], f"id string, {base}, m string").withColumn("metadata", F.parse_json("m")).drop("m")
+    links = [("e1", "ns", "i", "ownership"), ("e2", "i", "j", "ownership"), ("e3", "h", "o", "layer2"), ("e4", "k", "f", "ownership"), ("e5", "j", "i", "ownership")]
+    edges = spark.createDataFrame([(e, p, c, "me", "o", 0, 0, None, None, 1, json.dumps({"RelationType": r})) for e, p, c, r in links], f"id string, parent string, child string, {base}, m string").withColumn("metadata", F.parse_json("m")).drop("m")
+    host = named("alpha")
+    space = named(host + "/run/xnetns")
+    inner = named(space + "eth0veth")
+    got = {r["id"]: r["tid"] for r in topology_ids(Graph(nodes, edges)).collect()}
+    assert got == {"h": host, "ns": space, "br": named(host + "u-1ovsbridge"), "i": inner, "j": named(inner + "subdevice"), "f": "f", "k": "fixed"}

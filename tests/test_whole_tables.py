@@ -21,7 +21,8 @@ def con():
 
 def test_results_are_not_empty(con):
     empty = [name for name, sql in queries.ORACLES.items() if not con.execute(f"SELECT count(*) FROM ({sql})").fetchall()[0][0]]
-    assert empty == ["metrics_aggregates"]  # no point lies inside its ten minutes; metrics_aggregates_whole has all points
+    assert empty == []
+    assert con.execute(f"SELECT count(*) FROM ({queries.ORACLES['metrics_aggregates']})").fetchall()[0][0] > 100
 
 
 @pytest.mark.parametrize("name", ["v_ipv4range", "v_flows"])
