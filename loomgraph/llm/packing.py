@@ -5,7 +5,8 @@ are cut, and the first piece takes what doesn't fill a sequence.  Pieces are dea
 groups of about GROUP pieces.  Inside a group they are placed best-fit in decreasing order; then a
 local search works on the underfull bins: it takes the emptiest bin and moves its pieces into other
 bins, exchanges a piece, or two, for a smaller one of another bin, whenever that increases the sum
-of squared fills, until bins become empty or nothing improves.
+of squared fills, until bins become empty and no such move exists any more.  Every move raises a whole
+number that is at most bins * capacity**2, so the search ends; it has no other bound.
 
 A group loses about one bin, so the count of sequences stays within 1 / (bins of a group) of what
 one group over all pieces would give, whatever the input's size; no group grows with the input.
@@ -16,6 +17,7 @@ row.  Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 
@@ -30,8 +32,6 @@ from loomgraph.llm import bitpack, shared, tokens, words
 
 #: Pieces packed together in one task.
 GROUP = 50_000
-#: Improving moves of the local search, as a multiple of a group's pieces; bounds its time, drops nothing.
-MOVES = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -91,13 +91,18 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class Search:
-    """Local search over underfull bins."""
+    """Local search over underfull bins, to a local optimum.
+
+    A move brings one or two pieces of a bin, the donor, to another bin, for nothing or for a smaller piece in
+    exchange, where that raises the sum of squared fills.  Donors are taken from a queue, the emptiest first; a bin
+    that a move changes is queued again, and the search ends when a pass over all underfull bins finds no move.
+    """
 
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
         self.room = [capacity - sum(lengths[i] for i in b) for b in bins]
         self.by_room: dict[int, set[int]] = defaultdict(set)
-        self.by_reach: dict[int, set[tuple[int, int]]] = defaultdict(set)  # length + room of its bin -> (length, bin)
+        self.by_reach: dict[int, dict[int, set[int]]] = defaultdict(dict)  # length + room of its bin -> length -> bins
         self.rooms = self.reaches = 0
         for b in range(len(bins)):
             self._show(b)
@@ -108,27 +113,30 @@ class Search:
             return
         self.by_room[room].add(b)
         self.rooms |= 1 << room
-        for i in self.bins[b]:
-            self.by_reach[self.lengths[i] + room].add((self.lengths[i], b))
-            self.reaches |= 1 << (self.lengths[i] + room)
+        for length in {self.lengths[i] for i in self.bins[b]}:
+            self.by_reach[length + room].setdefault(length, set()).add(b)
+            self.reaches |= 1 << (length + room)
 
     def _hide(self, b: int) -> None:
         room = self.room[b]
+        if room <= 0 or not self.bins[b]:
+            return
         self.by_room[room].discard(b)
         if not self.by_room[room]:
             self.rooms &= ~(1 << room)
-        for i in self.bins[b]:
-            reach = self.lengths[i] + room
-            self.by_reach[reach].discard((self.lengths[i], b))
-            if not self.by_reach[reach]:
-                self.reaches &= ~(1 << reach)
-
-    def _take(self, donor: int, give: list[int]) -> bool:
-        """Bring *give* (one or two pieces of the donor) to another bin, for nothing or for a smaller piece; the fullest result wins."""
-        size = sum(self.lengths[i] for i in give)
+        for length in {self.lengths[i] for i in self.bins[b]}:
+            reach = self.by_reach[length + room]
+            reach[length].discard(b)
+            if not reach[length]:
+                del reach[length]
+            if not reach:
+                self.reaches &= ~(1 << (length + room))
+
+    def _find(self, donor: int, size: int, single: bool) -> tuple[int, int, int | None] | None:
+        """The move of *size* ids that fills another bin best: what stays free, the bin, and the length that comes back."""
         fill = self.capacity - self.room[donor]
         best = None
-        if len(give) == 1 and (fit := self.rooms >> size):
+        if single and (fit := self.rooms >> size):
             room = size + (fit & -fit).bit_length() - 1
             if self.capacity - room + size > fill:  # the sum of squares grows
                 best = (room - size, min(self.by_room[room]), None)
@@ -137,20 +145,17 @@ class Search:
             reach += (fit & -fit).bit_length() - 1
             if best is not None and reach - size >= best[0]:
                 break
-            for length, b in sorted(self.by_reach[reach], reverse=True):
-                if length < size and self.capacity - self.room[b] + size - length > fill:
-                    best = (reach - size, b, length)
-                    break
-            if best is not None:
-                break
+            # with this reach the bin ends as full whatever comes back; that is more than the donor's fill now, or no move does it
+            if self.capacity - (reach - size) > fill:
+                length = max((x for x in self.by_reach[reach] if x < size), default=None)
+                if length is not None:
+                    return reach - size, min(self.by_reach[reach][length]), length
             reach += 1
-            if reach - size > self.tries:
-                break
-        if best is None:
-            return False
-        _, b, length = best
-        self._hide(b)
+        return best
+
+    def _move(self, donor: int, give: list[int], b: int, length: int | None) -> None:
         back = None
+        self._hide(b)
         if length is not None:
             back = next(i for i in self.bins[b] if self.lengths[i] == length)
             self.bins[b].remove(back)
@@ -162,26 +167,47 @@ class Search:
         for x in (donor, b):
             self.room[x] = self.capacity - sum(self.lengths[i] for i in self.bins[x])
         self._show(b)
-        return True
-
-    def run(self, moves: int, tries: int = 256) -> None:
-        """Empty the emptiest bins first.  tries: how far from an exact fill an exchange is looked for."""
-        self.tries = tries
-        order = sorted((b for b in range(len(self.bins)) if self.room[b] > 0), key=lambda b: -self.room[b])
-        for donor in order:
-            if self.room[donor] <= 0 or not self.bins[donor]:
-                continue
-            self._hide(donor)
-            improved = True
-            while improved and self.bins[donor] and moves > 0:
-                improved = False
-                own = sorted(self.bins[donor], key=lambda i: -self.lengths[i])
-                pairs = [[a, b] for x, a in enumerate(own[:8]) for b in own[x + 1 : 8]]
-                for give in [[i] for i in own] + pairs:
-                    if self._take(donor, give):
-                        improved, moves = True, moves - 1
-                        break
-            self._show(donor)
+
+    def _improve(self, donor: int) -> int | None:
+        """One move of the donor, which is hidden; the bin that it changed."""
+        by_length: dict[int, list[int]] = {}
+        for i in self.bins[donor]:
+            by_length.setdefault(self.lengths[i], []).append(i)
+        own = sorted(by_length, reverse=True)
+        for x in own:
+            if move := self._find(donor, x, True):
+                self._move(donor, [by_length[x][0]], *move[1:])
+                return move[1]
+        top = self.reaches.bit_length()  # no piece with its bin's room reaches further
+        for n, x in enumerate(own):
+            for y in own[n:]:
+                if x + y >= top or x == y and len(by_length[x]) < 2:
+                    continue
+                if move := self._find(donor, x + y, False):
+                    self._move(donor, [by_length[x][0], by_length[y][-1]], *move[1:])
+                    return move[1]
+        return None
+
+    def run(self) -> int:
+        """Search until no donor has a move; the number of moves."""
+        moves, changed = 0, True
+        while changed:
+            changed = False
+            queue = [(-self.room[b], b) for b in range(len(self.bins)) if self.room[b] > 0 and self.bins[b]]
+            heapq.heapify(queue)
+            while queue:
+                room, donor = heapq.heappop(queue)
+                if -room != self.room[donor] or not self.bins[donor]:
+                    continue  # changed since; it is queued with its new room
+                self._hide(donor)
+                found = self._improve(donor)
+                self._show(donor)
+                if found is not None:
+                    changed, moves = True, moves + 1
+                    for b in (donor, found):
+                        if self.room[b] > 0 and self.bins[b]:
+                            heapq.heappush(queue, (-self.room[b], b))
+        return moves
 
 
 def pack(items: DataFrame, capacity: int = 2048, length: str = "length", group: int = GROUP) -> DataFrame:
@@ -202,7 +228,7 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", group:
         if min(lengths) <= 0 or max(lengths) > capacity:
             raise ValueError(f"{length} must lie in 1..{capacity}")
         search = Search(lengths, best_fit(lengths, capacity), capacity)
-        search.run(MOVES * len(lengths))
+        search.run()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         base = TaskContext.get().partitionId() << 40
         for n, b in enumerate(b for b in search.bins if b):
