@@ -6,7 +6,7 @@ dictionary, and the language that makes it smallest is predicted.  A prediction
 the second language is narrow is rejected, unless the text is too short to tell.
 
 Training takes at most SAMPLE documents of a language, those with the smallest hashes of their ids,
-and EXCERPT characters of each; a dictionary holds at most DICT bytes, and all of them ALL bytes.
+and EXCERPT characters of each, from a place given by the same hash; a dictionary holds at most DICT bytes, and all of them ALL bytes.
 Prediction reads whole texts and needs no shuffle; the dictionaries are broadcast.
 
 Null text, or text without a letter: ``und``, score 0, rejected.  Equal sizes: the language with
@@ -46,7 +46,9 @@ def normal(text: str | None) -> bytes:
 
 def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> list[tuple[str, bytes]]:
     """Dictionaries of the languages of *labelled*, the most frequent language first."""
-    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.substring(F.coalesce(text, F.lit("")), 1, EXCERPT).alias("text"), F.col(key).alias("key"))
+    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"), F.col(key).alias("key"))
+    place = F.pmod(F.xxhash64(F.col("key").cast("string")), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int") + 1
+    rows = rows.withColumn("text", F.substr("text", place, F.lit(EXCERPT)))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string")), "key", "text")
     sample = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE).select("lang", "text", "r").collect()
@@ -84,23 +86,37 @@ def predict_one(model: tuple[tuple[str, bytes], ...], text: str) -> tuple[str, f
 
 
 def predict(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
-    """Adds lang_pred, lang_score and lang_rejected to every row."""
+    """Adds lang_pred, lang_score and lang_rejected to every row; columns of these names give way to them."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED]
+    return _predicted(docs, model, text).select(*kept, *ADDED)
+
+
+def accepted(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
+    """The rows whose prediction isn't rejected, with all their columns as they are, whatever their names."""
+    return _predicted(docs, model, text).filter("not lang_rejected").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+ADDED = ("lang_pred", "lang_score", "lang_rejected")
+
+
+def _predicted(docs: DataFrame, model: list[tuple[str, bytes]], text: str) -> DataFrame:
+    """Rows (row, ADDED): the caller's columns stay in a struct, so that no name can clash."""
     spark = docs.sparkSession
     shared.tune(spark)
     held = spark.sparkContext.broadcast(tuple(model))
-    schema = T.StructType(docs.schema.fields[:]).add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
-    at = docs.columns.index(text)
+    letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"), letter.alias("letter"))
+    schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
 
     def run(batches):
         known = held.value
         for batch in batches:
-            found = [predict_one(known, t) if letter else (UNKNOWN, 0.0, True) for t, letter in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            found = [predict_one(known, t) if letter else (UNKNOWN, 0.0, True) for t, letter in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             names, scores, rejected = zip(*found) if found else ((), (), ())
-            columns = batch.columns[:-1] + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("*", letter.alias("_letter")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def in_test(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
