@@ -12,7 +12,8 @@ The benchmark's seed index is broadcast if its texts hold at most INDEX_BYTES; t
 then read once without a shuffle.  A larger benchmark is joined on the seeds by a shuffle, and
 tiling runs on the joined pairs.  Both give the same rows.
 
-Null or empty texts, and items of fewer than MIN_MATCH words, match nothing.  Repeated rows are
+An item of fewer than MIN_MATCH words is matched as a whole: its runs have all its words.  Null or empty
+texts, and items without a word, match nothing.  Repeated rows are
 each reported.  Empty tables give no rows.  Other columns are ignored.
 """
 
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import shared, words
 
@@ -33,6 +35,7 @@ INDEX_BYTES = 64 << 20
 
 _SPACES = bytes(b for b in range(128) if not chr(b).isalnum())
 _P = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 20) - 1)
 _TILE = "array<struct<doc_start:int,item_start:int,words:int>>"
 PAIRS = f"doc_id long, item_id long, item_words int, covered int, coverage double, n_tiles int, tiles {_TILE}, row_key long"
 
@@ -113,24 +116,35 @@ class Index:
         data, offsets = words.column_bytes(pa.array(texts, pa.large_string()))
         _, _, self.hashes, self.first = words.split_words(data, offsets, _SPACES)
         self.ids, self.n = ids, n
-        seed, item = seeds(self.hashes, self.first, n)
-        keep = item >= 0
-        where = np.flatnonzero(keep) - self.first[item[keep]]
-        order = np.argsort(seed[keep], kind="stable")
-        self.seed, self.item, self.where = seed[keep][order], item[keep][order], where[order]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.seed & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        size = np.diff(self.first)
+        self.parts = []  # by run length: seeds, items, places, and a table of the seeds' low bits
+        for m in range(1, n + 1):
+            seed, item = seeds(self.hashes, self.first, m)
+            keep = item >= 0
+            keep[keep] = np.minimum(size[item[keep]], n) == m
+            if not keep.any():
+                continue
+            where = np.flatnonzero(keep) - self.first[item[keep]]
+            order = np.argsort(seed[keep], kind="stable")
+            bits = np.zeros(1 << 20, bool)
+            bits[(seed[keep] & _LOW).astype(np.int64)] = True
+            self.parts.append((m, seed[keep][order], item[keep][order], where[order], bits))
 
     def pairs(self, texts: pa.Array, threshold: float):
         """(text number, item number, words of the item, tiles) of the contaminated pairs."""
         data, offsets = words.column_bytes(texts)
         _, _, hashes, first = words.split_words(data, offsets, _SPACES)
-        seed, text = seeds(hashes, first, self.n)
-        at = np.flatnonzero(self.bits[(seed & np.uint64((1 << 20) - 1)).astype(np.int64)] & (text >= 0))
-        lo, hi = np.searchsorted(self.seed, seed[at], "left"), np.searchsorted(self.seed, seed[at], "right")
+        for part in self.parts:
+            yield from self._pairs(hashes, first, part, threshold)
+
+    def _pairs(self, hashes: np.ndarray, first: np.ndarray, part: tuple, threshold: float):
+        n, known, items, places, bits = part
+        seed, text = seeds(hashes, first, n)
+        at = np.flatnonzero(bits[(seed & _LOW).astype(np.int64)] & (text >= 0))
+        lo, hi = np.searchsorted(known, seed[at], "left"), np.searchsorted(known, seed[at], "right")
         at, lo, count = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         hit, d = words.ragged(lo, count), np.repeat(at, count)
-        doc, item, where = text[d], self.item[hit], self.where[hit]
+        doc, item, where = text[d], items[hit], places[hit]
         order = np.lexsort((where, d, item, doc))
         doc, item, where, d = doc[order], item[order], where[order], d[order]
         cut = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(item, prepend=-1))
@@ -139,11 +153,11 @@ class Index:
             own = self.hashes[self.first[i] : self.first[i + 1]]
             # a word is covered only if a seed covers it
             reach = np.unique(where[a:b])
-            could = int(np.minimum(np.diff(reach), self.n).sum()) + self.n
+            could = int(np.minimum(np.diff(reach), n).sum()) + n
             if could < threshold * len(own):
                 continue
             starts = list(zip((d[a:b] - first[t]).tolist(), where[a:b].tolist()))
-            tiles = tile(hashes[first[t] : first[t + 1]], own, starts, self.n)
+            tiles = tile(hashes[first[t] : first[t + 1]], own, starts, n)
             if sum(x[2] for x in tiles) >= threshold * len(own):
                 yield t, i, len(own), tiles
 
@@ -193,17 +207,33 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = MIN_MATCH, threshold: f
     items = benchmark.select(F.col(item_id).cast("long").alias("key"), F.monotonically_increasing_id().alias("row_key"), _lower(benchmark, item_text).alias("text"))
     items = shared.written(items, "decontaminate-items")
 
-    def grams(batches):
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            _, _, hashes, first = words.split_words(*words.column_bytes(batch.column(1)), _SPACES)
-            seed, of = seeds(hashes, first, n)
-            both = np.unique(np.stack([key[of[of >= 0]].astype(np.uint64), seed[of >= 0]], axis=1), axis=0)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(both[:, 0].astype(np.int64)), "seed": pa.array(both[:, 1].view(np.int64))})
-
-    ours = keyed.select("row_key", "text").mapInArrow(grams, "doc_key long, seed long")
-    theirs = items.select("row_key", "text").mapInArrow(grams, "item_key long, seed long")
-    pairs = ours.join(theirs, "seed").select("doc_key", "item_key").distinct()
+    def grams(whole: bool):
+        """Each text's distinct seeds of every length (of an item: of its own length), with the seed's places and the text's words."""
+
+        def run(batches):
+            for batch in batches:
+                key = batch.column(0).to_numpy()
+                _, _, hashes, first = words.split_words(*words.column_bytes(batch.column(1)), _SPACES)
+                size = np.diff(first)
+                for m in range(1, n + 1):
+                    seed, of = seeds(hashes, first, m)
+                    keep = of >= 0
+                    if not whole:
+                        keep[keep] = np.minimum(size[of[keep]], n) == m
+                    both, times = np.unique(np.stack([of[keep].astype(np.uint64), seed[keep]], axis=1), axis=0, return_counts=True)
+                    of_ = both[:, 0].astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({
+                        "key": pa.array(key[of_]), "m": pa.array(np.full(len(of_), m, np.int32)), "seed": pa.array(both[:, 1].view(np.int64)),
+                        "places": pa.array(times, pa.int64()), "size": pa.array(size[of_], pa.int64()),
+                    })
+
+        return run
+
+    theirs = shared.written(items.select("row_key", "text").mapInArrow(grams(False), "item_key long, m int, seed long, places long, size long"), "decontaminate-seeds")
+    ours = keyed.select("row_key", "text").mapInArrow(grams(True), "doc_key long, m int, seed long, places long, size long").select("doc_key", "m", "seed")
+    # a place covers m words at most: pairs that can't reach the threshold go before any text is joined, by partial sums
+    shared_seeds = ours.join(theirs, ["m", "seed"]).groupBy("doc_key", "item_key").agg(F.sum(F.col("places") * F.col("m")).alias("could"), F.first("size").alias("size"))
+    pairs = shared_seeds.filter(F.col("could") >= threshold * F.col("size")).select("doc_key", "item_key")
     pairs = pairs.join(items.select(F.col("row_key").alias("item_key"), F.col("key").alias("item_id"), F.col("text").alias("item_text")), "item_key")
     pairs = pairs.join(keyed.withColumnRenamed("row_key", "doc_key"), "doc_key").select("doc_id", "doc_key", "text", "item_id", "item_text")
 
@@ -228,12 +258,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = MIN_MATCH, threshold:
         bad = find(stored, benchmark, n, threshold, index_bytes, item_id=item_id, item_text=item_text).select("doc_id").distinct()
         return stored.join(bad, "doc_id", "left_anti").select("_row.*")
     held = _broadcast(benchmark, item_id, item_text, n)
-    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _lower(docs, text).alias("text"))
 
     def keep(batches):
         for batch in batches:
-            bad = {t for t, _, _, _ in held.value.pairs(batch.column(batch.num_columns - 1), threshold)}
+            bad = {t for t, _, _, _ in held.value.pairs(batch.column(1), threshold)}
             mask = pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(mask)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(mask)
 
-    return docs.select("*", _lower(docs, text).alias("_lower")).mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, T.StructType([rows.schema["row"]])).select("row.*")
