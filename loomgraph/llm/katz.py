@@ -1,27 +1,33 @@
-"""Operator 5: Katz back-off bigram language model over words.
+"""Operator 5: Katz back-off language model over words, of any order; trigrams by default.
 
 Tokens are a text's words, lower-cased in A-Z, and one end.  P(w | h) is the Good-Turing discounted
-relative frequency if (h, w) occurs in training, and else alpha(h) P(w): the recursion ends with the
-discounted unigrams, whose left-over is the probability of the one class of unknown words.  alpha(h)
-spreads just what the discounts leave over the words that don't follow h, so every distribution,
-also that of the unigrams with the unknown class, sums to exactly one.  Where no count of h is
-discounted, its counts are taken over c(h) + 1; without any training text every P is 1.
-
-Counts live in two tables, partitioned by bucket of the word and of the history.  Texts are handled
-in batches of about TEXT bytes, which are written as a table of word numbers.  A batch asks each
-bucket for what it needs as one row of packed numbers, with its own counts to be added, and gets one
-row back: first ids and counts of its distinct words, then counts of its distinct bigrams and each
-history's sums.  So a pair of words costs a few bytes in a shuffle, once for each batch and not for
-each occurrence; a frequent word is added up inside the batches beforehand.  A history with more than
-a bucket's share of all tokens is split over several buckets by its successor; what is left of it
-for the driver is one row of sums for each part, at most two for each bucket.
-
-Words are named by 64-bit hashes until they have ids.  Null text is empty: only the end.  A null id
-is in training.  Repeated rows count and are scored each.  An empty table gives no rows.
+relative frequency if (h, w) occurs in training, and else alpha(h) P(w | h'), where h' is h without its
+oldest word; each order has discounts of its own.  The recursion ends with the discounted unigrams, whose
+left-over is the probability of the one class of unknown words.  alpha(h) spreads just what the discounts
+leave over the words that don't follow h, so every distribution, also that of the unigrams with the
+unknown class, sums to exactly one.  Histories reach over a text's start as start marks.  Where no count
+of h is discounted, its counts are taken over c(h) + 1; without any training text every P is 1.
+
+Counts live in a table for each order, partitioned by bucket of the word or of the history.  Texts are
+handled in batches of about TEXT bytes, whose word numbers are files in the shared folder.  For each order, from
+the lowest, a batch asks each bucket for what it needs as one row of packed numbers, with its own counts
+to be added and the probabilities of the next lower order, and gets one row back: ids and counts of
+its distinct words, then counts of its distinct n-grams and each history's sums.  From these it evaluates
+the order at every token, which the next order takes as its lower one.  So an n-gram costs a few
+bytes in a shuffle, once for each batch and not for each occurrence; a frequent one is added up inside
+the batches beforehand.  A history with more than a bucket's share of all tokens is split over several
+buckets by its successor; what is left of it for the driver is one row of sums for each part, a few for each bucket.
+
+Words are named by 64-bit hashes until they have ids of 64 bits; with n distinct words the chance that any
+two share a hash is below n**2 / 2**64.  Null text is empty: only the end.  A null id is in training.
+Repeated rows count and are scored each.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import struct
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,18 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import shared, words
+from loomgraph.llm import files, shared, words
 
 #: Bytes of text in a batch.
 TEXT = 12 << 20
 #: Counts up to this are discounted.
 K = 5
-END, START = np.uint64(0xE2D0E2D0E2D0E2D1), np.uint64(0xFFFFFFFF)
-#: Ids are below this; two fit a 64-bit number.
-MOST = 0xFFFFFFF0
+END, START = np.uint64(0xE2D0E2D0E2D0E2D1), np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The order of the model: words of its longest n-grams.
+ORDER = 3
 _ROWS = "kind int, batch long, bucket int, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary"
 _BLOBS = 5
-_STATE, _WORD, _WORDS, _PAIR, _PAIRS, _STAT, _SPLIT = range(7)
+_STATE, _WORD, _WORDS, _GRAM, _GRAMS, _STAT, _SPLIT, _HOT = range(8)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -129,16 +135,29 @@ class History:
         self.alpha = np.where(c > 0, left / np.maximum(1 - followed, 1e-300), 1.0)
 
 
-def pairs_of(histories: np.ndarray, successors: np.ndarray, train: np.ndarray):
-    """Distinct (h, w), each one's training count, and the number of each token's pair."""
-    key = (histories.astype(np.uint64) << np.uint64(32)) | successors.astype(np.uint64)
-    uniq, inverse = np.unique(key, return_inverse=True)
-    count = np.bincount(inverse, weights=train, minlength=len(uniq)).astype(np.int64)
-    return (uniq >> np.uint64(32)).astype(np.uint32), (uniq & np.uint64(0xFFFFFFFF)).astype(np.uint32), count, inverse
+def save(folder: str, arrays: dict[str, np.ndarray]) -> bytes:
+    """A batch's arrays as a file in the shared folder; its URI."""
+    blobs = {k: pack(v) for k, v in arrays.items()}
+    head = json.dumps({k: [arrays[k].dtype.str, len(blobs[k])] for k in arrays}).encode()
+    uri, out = files.create(folder, "batch")
+    with out:
+        out.write(struct.pack("<I", len(head)) + head + b"".join(blobs.values()))
+    return uri.encode()
+
 
+def load(uri: bytes) -> dict[str, np.ndarray]:
+    with files.opened(uri.decode()) as file:
+        raw = file.read()
+    (size,) = struct.unpack_from("<I", raw)
+    at, out = 4 + size, {}
+    for name, (kind, length) in json.loads(raw[4 : 4 + size]).items():
+        out[name] = unpack(raw[at : at + length], kind)
+        at += length
+    return out
 
-def _batches(docs: DataFrame, text: int) -> DataFrame:
-    """One row for each batch: ids, null flags and held-out flags, token counts, tokens as numbers of the batch's words, their hashes."""
+
+def _batches(docs: DataFrame, text: int, folder: str) -> DataFrame:
+    """One row for each batch, naming its file: ids, flags (null id, held out), token counts, tokens as numbers of the batch's words, their hashes."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -156,53 +175,104 @@ def _batches(docs: DataFrame, text: int) -> DataFrame:
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             flags = key.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) + 2 * table["held"].to_numpy(zero_copy_only=False).astype(np.uint8)
-            yield _batch([(_STATE, (part << 24) | n, -1, pack(key.fill_null(0).to_numpy(zero_copy_only=False)), pack(flags), pack(count.astype(np.uint32)), pack(place[inverse]), pack(uniq[order]))])
+            uri = save(folder, {"ids": key.fill_null(0).to_numpy(zero_copy_only=False), "flags": flags, "count": count.astype(np.uint32), "tokens": place[inverse], "hashes": uniq[order]})
+            yield _batch([(_STATE, (part << 24) | n, -1, uri)])
 
     return docs.mapInArrow(run, _ROWS)
 
 
-class State:
-    """A batch's row, unpacked."""
+def _word_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers by bucket, and where each bucket ends."""
+    bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def numbered(columns: list[np.ndarray]) -> np.ndarray:
+    """Equal rows of the columns get equal numbers from 0, in order of the first column, then the next."""
+    out = np.unique(columns[0], return_inverse=True)[1].astype(np.uint64)
+    for column in columns[1:]:
+        values, inverse = np.unique(column, return_inverse=True)
+        out = np.unique(out * np.uint64(max(1, len(values))) + inverse.astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
+    return out
 
-    def __init__(self, row: tuple):
-        self.batch = row[1]
-        self.ids, self.flags, self.count, self.tokens, self.hashes = (unpack(b, k) for b, k in zip(row[3:8], ("i8", "u1", "u4", "u4", "u8")))
+
+class Batch:
+    """A batch's tokens with the ids of their words."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.__dict__.update(arrays)
+        self.count = self.count.astype(np.int64)
+        self.starts = np.cumsum(self.count) - self.count
         self.held = self.flags >= 2
         self.train = np.repeat(~self.held, self.count)
-
-    def word_order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The words' numbers by bucket, and where each bucket ends."""
-        bucket = ((self.hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-    def learn(self, replies: dict[int, tuple], buckets: int) -> None:
-        """Ids and counts of the words from the buckets' replies."""
-        order, cut = self.word_order(buckets)
-        self.word_ids, self.word_counts = np.zeros(len(order), np.uint32), np.zeros(len(order), np.int64)
-        for bucket, row in replies.items():
-            mine = order[cut[bucket] : cut[bucket + 1]]
-            self.word_ids[mine] = unpack(row[3], "u4")
-            self.word_counts[mine] = _counts(row[4], len(mine))
-
-    def pairs(self):
-        successors = self.word_ids[self.tokens]
-        histories = np.empty_like(successors)
-        histories[1:] = successors[:-1]
-        histories[np.cumsum(self.count) - self.count] = np.uint32(START)
-        return pairs_of(histories, successors, self.train)
-
-
-def _pair_order(h: np.ndarray, w: np.ndarray, buckets: int, split: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs by bucket (of the history, or of a part of it), then as they were; where each bucket ends."""
-    sub = np.zeros(len(h), np.uint64)
-    if split:
-        names = np.array(sorted(split), np.uint32)
-        parts = np.array([split[x] for x in names.tolist()], np.uint64)
-        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-        hot = names[at] == h
-        sub[hot] = words.mix(w[hot].astype(np.uint64) + np.uint64(99)) % parts[at[hot]]
-    bucket = (words.mix((h.astype(np.uint64) << np.uint64(24)) + sub + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.count)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each token's k-gram, in order of its history's, and the first token of each."""
+        name = self.tokens.astype(np.int64) + 1
+        words_ = np.int64(len(self.word_ids) + 1)
+        first, inverse = np.empty(0, np.int64), name
+        for _ in range(k - 1):
+            history = np.empty_like(name)
+            history[1:] = name[:-1]
+            history[self.starts] = 0
+            _, first, inverse = np.unique(history * words_ + self.tokens + 1, return_index=True, return_inverse=True)
+            name = inverse.astype(np.int64) + 1
+        return inverse, first
+
+    def histories(self, at: np.ndarray, k: int) -> list[np.ndarray]:
+        """Ids of the k - 1 words before the tokens *at*, the nearest first; START before a text's start."""
+        out = []
+        for back in range(1, k):
+            column = np.full(len(at), START, np.uint64)
+            inside = self.place[at] >= back
+            column[inside] = self.word_ids[self.tokens[at[inside] - back]]
+            out.append(column)
+        return out
+
+
+def _name(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of histories, by which they are dealt out."""
+    out = np.full(len(columns[0]), 0x51AB, np.uint64)
+    with np.errstate(over="ignore"):
+        for column in columns:
+            out = words.mix(out * np.uint64(0xD6E8FEB86659FD93) + column)
+    return out
+
+
+class Hot:
+    """Histories that are split: rows (ids of the words, parts)."""
+
+    def __init__(self, rows: list[tuple[tuple[int, ...], int]]):
+        self.ids = np.array([r[0] for r in rows], np.uint64).reshape(len(rows), len(rows[0][0]) if rows else 0)
+        self.parts = np.array([r[1] for r in rows], np.uint64)
+        if len(rows):
+            names = _name(list(self.ids.T))
+            order = np.argsort(names)
+            self.names, self.ids, self.parts = names[order], self.ids[order], self.parts[order]
+
+    def find(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The row of each history, or -1."""
+        if not len(self.parts):
+            return np.full(len(columns[0]), -1)
+        names = _name(columns)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        hit = self.names[at] == names
+        for c, column in enumerate(columns):
+            hit &= self.ids[at, c] == column
+        return np.where(hit, at, -1)
+
+
+def _dealt(columns: list[np.ndarray], w: np.ndarray, buckets: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams by bucket (of the history, or of a part of it), then as they were; where each bucket ends."""
+    sub = np.zeros(len(w), np.uint64)
+    at = hot.find(columns)
+    found = at >= 0
+    if found.any():
+        sub[found] = words.mix(w[found] + np.uint64(99)) % hot.parts[at[found]]
+    with np.errstate(over="ignore"):
+        bucket = (words.mix(_name(columns) + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -211,189 +281,277 @@ def _heads(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
 
 
+def _lengths(heads: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(heads, n))
+
+
 def _histogram(counts: np.ndarray) -> np.ndarray:
     return np.bincount(counts[(counts > 0) & (counts <= K + 1)], minlength=K + 2)[1:].astype(np.int64)
 
 
-def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = TEXT, tables: dict | None = None) -> DataFrame:
+def _columns(columns: list[np.ndarray]) -> bytes:
+    return pack(np.concatenate(columns).astype(np.uint64))
+
+
+def _coded(values: np.ndarray) -> tuple[bytes, bytes]:
+    uniq, inverse = np.unique(values, return_inverse=True)
+    return pack(uniq), pack(inverse.astype(np.uint32))
+
+
+class Order:
+    """The exchange of one order: what a batch asks, what a bucket tells, and what a batch makes of it."""
+
+    def __init__(self, k: int, buckets: int, hot: Hot, share: float):
+        self.k, self.buckets, self.hot, self.share = k, buckets, hot, share
+
+    def of_batch(self, batch: Batch):
+        inverse, first = batch.grams(self.k)
+        columns = batch.histories(first, self.k)
+        w = batch.word_ids[batch.tokens[first]]
+        # a history's grams lie together: numbered by the local history, which is the same as by its ids
+        before = np.where(batch.place[first] > 0, batch.grams(self.k - 1)[0][np.maximum(first - 1, 0)] + 1, 0)
+        return inverse, first, columns, w, before, *_dealt(columns, w, self.buckets, self.hot)
+
+    def ask(self, number: int, batch: Batch, lower: np.ndarray) -> list[tuple]:
+        inverse, first, columns, w, before, order, cut = self.of_batch(batch)
+        count = np.bincount(inverse, weights=batch.train, minlength=len(first)).astype(np.int64)
+        out = []
+        for b in range(self.buckets):
+            mine = order[cut[b] : cut[b + 1]]
+            if len(mine):
+                heads = _heads(before[mine])
+                values, codes = _coded(lower[first[mine]])
+                head = struct.pack("<II", len(heads), len(mine)) + pack(_lengths(heads, len(mine)).astype(np.uint32))
+                out.append((_GRAM, number, b, head, _columns([c[mine[heads]] for c in columns]), pack(w[mine]), pack(narrow(count[mine])), struct.pack("<I", len(values)) + values + codes))
+        return out
+
+    def tell(self, bucket: int, rows: list[tuple]) -> list[tuple]:
+        sizes, heads, ws, counts, lowers, repeats = [], [], [], [], [], []
+        for r in rows:
+            n_heads, n = struct.unpack_from("<II", r[3])
+            lengths = unpack(r[3][8:], "u4").astype(np.int64)
+            (size,) = struct.unpack_from("<I", r[7])
+            sizes.append((n_heads, n))
+            heads.append(unpack(r[4], "u8").reshape(self.k - 1, -1))
+            repeats.append(lengths)
+            ws.append(unpack(r[5], "u8"))
+            counts.append(_counts(r[6], n))
+            lowers.append(unpack(r[7][4 : 4 + size], "f8")[unpack(r[7][4 + size :], "u4")])
+        columns = list(np.concatenate(heads, axis=1))
+        of_head = numbered(columns)
+        _, sample = np.unique(of_head, return_index=True)
+        names = [c[sample] for c in columns]
+        w = np.concatenate(ws)
+        words_, of_word = np.unique(w, return_inverse=True)
+        label = np.repeat(of_head, np.concatenate(repeats)) * np.uint64(len(words_)) + of_word.astype(np.uint64)
+        uniq, at, inverse = np.unique(label, return_index=True, return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
+        lower = np.concatenate(lowers)[at]
+        h = (uniq // np.uint64(len(words_))).astype(np.int64)
+        begin = _heads(h)
+        seen = total > 0
+        sums = np.zeros((len(begin), K + 1), np.int64)
+        sums[:, 0] = np.add.reduceat(total, begin)
+        for r in range(1, K + 1):
+            sums[:, r] = np.add.reduceat((total == r).astype(np.int64), begin)
+        followed = np.add.reduceat(np.where(seen, lower, 0.0), begin)
+        out, row_at, head_at = [], 0, 0
+        for r, (n_heads, n) in zip(rows, sizes):
+            own = of_head[head_at : head_at + n_heads].astype(np.int64)
+            out.append((_GRAMS, r[1], bucket, pack(narrow(total[inverse[row_at : row_at + n]])), pack(sums[own].T.reshape(-1)), pack(followed[own])))
+            row_at, head_at = row_at + n, head_at + n_heads
+        model = np.flatnonzero(seen)
+        runs = _heads(h[model])
+        of_w = words_[(uniq % np.uint64(len(words_))).astype(np.int64)]
+        out.append((_GRAM, -1, bucket, _columns([c[h[model][runs]] for c in names]), pack(_lengths(runs, len(model)).astype(np.uint32)), pack(of_w[model]), pack(narrow(total[model]))))
+        out.append((_STAT, -1, bucket, _histogram(total).tobytes()))
+        for x in np.flatnonzero(self.hot.find(names) >= 0):
+            out.append((_SPLIT, -1, bucket, np.array([c[x] for c in names], np.uint64).tobytes(), sums[x].tobytes(), np.float64(followed[x]).tobytes()))
+        large = np.flatnonzero(total > self.share)  # histories of the next order; a bucket has few
+        if len(large):
+            out.append((_HOT, -1, bucket, np.stack([of_w[large], *[c[h[large]] for c in names]], axis=1).astype(np.uint64).tobytes(), total[large].tobytes()))
+        return out
+
+    def learn(self, batch: Batch, replies: list[tuple], lower: np.ndarray, turing: GoodTuring, whole: tuple[Hot, np.ndarray, np.ndarray]) -> np.ndarray:
+        """P of each token, by this order or backed off to *lower*, that of the order below."""
+        inverse, first, columns, w, before, order, cut = self.of_batch(batch)
+        total, c, alpha = np.zeros(len(first), np.int64), np.zeros(len(first)), np.ones(len(first))
+        hot, hot_sums, hot_followed = whole
+        for r in replies:
+            mine = order[cut[r[2]] : cut[r[2] + 1]]
+            total[mine] = _counts(r[3], len(mine))
+            heads = _heads(before[mine])
+            sums, followed = unpack(r[4], "i8").reshape(K + 1, -1).T.copy(), unpack(r[5], "f8").copy()
+            at = hot.find([x[mine[heads]] for x in columns])
+            sums[at >= 0], followed[at >= 0] = hot_sums[at[at >= 0]], hot_followed[at[at >= 0]]
+            history = History(turing, sums[:, 0], sums[:, 1:], followed)
+            each = _lengths(heads, len(mine))
+            c[mine], alpha[mine] = np.repeat(np.maximum(history.total, 1), each), np.repeat(history.alpha, each)
+        direct = turing.discounted(total) / np.maximum(c, 1)
+        return np.where(total[inverse] > 0, direct[inverse], alpha[inverse] * lower)
+
+
+def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, batch_bytes: int = TEXT, tables: dict | None = None) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    held_out: Column, true for documents that aren't learned from.  tables: gets the paths of the count tables.
+    held_out: Column, true for documents that aren't learned from.  tables: gets the count tables, by order.
     """
+    if order < 1:
+        raise ValueError("order must be at least 1")
     spark = docs.sparkSession
     shared.tune(spark)
     parts = shared.partitions(spark)
     buckets = 2 * parts
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    states = shared.written(_batches(plain, batch_bytes), "katz-batches")
+    folders = [shared.new_path(spark, "katz-files") for _ in range(order + 1)]
+    states = shared.written(_batches(plain, batch_bytes, folders[0]), "katz-batches")
 
     def by(df: DataFrame, key: str) -> DataFrame:
         return df.repartition(parts, key).sortWithinPartitions(key, "kind", "bucket", "batch")
 
+    def each_row(f):
+        def run(batches):
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield _batch(f(row))
+
+        return run
+
+    def each_group(key: int, f):
+        def run(batches):
+            for name, rows in _grouped(batches, key):
+                yield _batch(f(name, rows))
+
+        return run
+
     # words: their training counts and ids
-    def ask_words(batches):
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                state = State(row)
-                count = np.bincount(state.tokens, weights=state.train, minlength=len(state.hashes)).astype(np.int64)
-                order, cut = state.word_order(buckets)
-                yield _batch([
-                    (_WORD, state.batch, b, pack(state.hashes[mine]), pack(narrow(count[mine])))
-                    for b in range(buckets) if len(mine := order[cut[b] : cut[b + 1]])
-                ])
-
-    def tell_words(batches):
-        for bucket, rows in _grouped(batches, 2):
-            hashes = [unpack(r[3], "u8") for r in rows]
-            counts = [_counts(r[4], len(x)) for r, x in zip(rows, hashes)]
-            uniq, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.zeros(len(uniq), np.int64)
-            np.add.at(total, inverse, np.concatenate(counts))
-            rank = np.empty(len(uniq), np.int64)
-            rank[np.argsort(-total, kind="stable")] = np.arange(len(uniq))
-            ids = rank * buckets + bucket
-            if int(ids.max()) >= MOST:
-                raise ValueError("more words than 32-bit ids; raise spark.sql.shuffle.partitions so that buckets are even")
-            at = 0
-            out = []
-            for r, x in zip(rows, hashes):
-                mine = inverse[at : at + len(x)]
-                at += len(x)
-                out.append((_WORDS, r[1], bucket, pack(ids[mine].astype(np.uint32)), pack(narrow(total[mine]))))
-            seen = total > 0
-            out.append((_WORD, -1, bucket, pack(uniq[seen]), pack(ids[seen].astype(np.uint32)), pack(narrow(total[seen]))))
-            out.append((_STAT, -1, bucket, np.array([total.sum(), seen.sum(), *_histogram(total)], np.int64).tobytes()))
-            yield _batch(out)
-
-    told = shared.written(by(states.mapInArrow(ask_words, _ROWS), "bucket").mapInArrow(tell_words, _ROWS), "katz-words", partition_by="kind").select(*states.columns)
+    def ask_words(row):
+        s = load(row[3])
+        count = np.bincount(s["tokens"], weights=np.repeat(s["flags"] < 2, s["count"].astype(np.int64)), minlength=len(s["hashes"])).astype(np.int64)
+        by_bucket, cut = _word_order(s["hashes"], buckets)
+        return [(_WORD, row[1], b, pack(s["hashes"][mine]), pack(narrow(count[mine]))) for b in range(buckets) if len(mine := by_bucket[cut[b] : cut[b + 1]])]
+
+    def tell_words(bucket, rows):
+        hashes = [unpack(r[3], "u8") for r in rows]
+        counts = [_counts(r[4], len(x)) for r, x in zip(rows, hashes)]
+        uniq, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
+        rank = np.empty(len(uniq), np.uint64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(uniq), dtype=np.uint64)
+        ids = rank * np.uint64(buckets) + np.uint64(bucket)
+        at, out = 0, []
+        for r, x in zip(rows, hashes):
+            mine = inverse[at : at + len(x)]
+            at += len(x)
+            out.append((_WORDS, r[1], bucket, pack(ids[mine]), pack(narrow(total[mine]))))
+        seen = total > 0
+        out.append((_WORD, -1, bucket, pack(uniq[seen]), pack(ids[seen]), pack(narrow(total[seen]))))
+        out.append((_STAT, -1, bucket, np.array([total.sum(), seen.sum(), *_histogram(total)], np.int64).tobytes()))
+        return out
+
+    told = shared.written(by(states.mapInArrow(each_row(ask_words), _ROWS), "bucket").mapInArrow(each_group(2, tell_words), _ROWS), "katz-words", partition_by="kind").select(*states.columns)
     stats = sum(np.frombuffer(r["b0"], np.int64) for r in told.filter(f"kind = {_STAT}").select("b0").collect()) + np.zeros(K + 3, np.int64)  # a row for each bucket
     n_tokens, n_types = int(stats[0]), int(stats[1])
     unigrams = Unigrams(n_tokens, n_types, stats[2:].tolist())
-
-    # histories with more than a bucket's share: at most one for each bucket
     share = max(1.0, n_tokens / buckets)
-
-    def large(batches):
-        for batch in batches:
-            ids, counts = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                i = unpack(row[4], "u4")
-                c = _counts(row[5], len(i))
-                ids.append(i[c > share].astype(np.int64))
-                counts.append(c[c > share])
-            yield pa.RecordBatch.from_pydict({"id": pa.array(np.concatenate(ids) if ids else [], pa.int64()), "n": pa.array(np.concatenate(counts) if counts else [], pa.int64())})
-
-    split = {r["id"]: int(r["n"] // share) + 1 for r in told.filter(f"kind = {_WORD}").mapInArrow(large, "id long, n long").collect()}
     n_docs = plain.filter("not held").count()
-    if n_docs > share:
-        split[int(START)] = int(n_docs // share) + 1
-
-    # bigrams: their training counts, and sums of each history
-    replies = told.filter(f"kind = {_WORDS}")
-    states_and_words = by(states.unionByName(replies), "batch")
-
-    def heard(rows):
-        state = State(rows[0])
-        state.learn({r[2]: r for r in rows if r[0] == _WORDS}, buckets)
-        return state
-
-    def ask_pairs(batches):
-        for _, rows in _grouped(batches, 1):
-            state = heard(rows)
-            h, w, count, _ = state.pairs()
-            of_word = np.zeros(len(w), np.int64)
-            sorted_ids = np.argsort(state.word_ids)
-            of_word = state.word_counts[sorted_ids[np.searchsorted(state.word_ids[sorted_ids], w)]]
-            order, cut = _pair_order(h, w, buckets, split)
-            out = []
-            for b in range(buckets):
-                mine = order[cut[b] : cut[b + 1]]
-                if len(mine):
-                    heads = _heads(h[mine])
-                    out.append((_PAIR, state.batch, b, pack(h[mine][heads]), pack(np.diff(np.append(heads, len(mine))).astype(np.uint32)), pack(w[mine]), pack(narrow(count[mine])), pack(narrow(of_word[mine]))))
-            yield _batch(out)
-
-    def tell_pairs(batches):
-        for bucket, rows in _grouped(batches, 2):
-            asked, counts, of_word, places = [], [], [], []
-            for r in rows:
-                w = unpack(r[5], "u4")
-                h = np.repeat(unpack(r[3], "u4"), unpack(r[4], "u4"))
-                asked.append((h.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64))
-                counts.append(_counts(r[6], len(w)))
-                of_word.append(_counts(r[7], len(w)))
-                places.append(len(w))
-            uniq, sample, inverse = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-            total = np.zeros(len(uniq), np.int64)
-            np.add.at(total, inverse, np.concatenate(counts))
-            word_count = np.concatenate(of_word)[sample]
-            h = (uniq >> np.uint64(32)).astype(np.uint32)
-            heads = _heads(h)
-            seen = total > 0
-            sums = np.zeros((len(heads), K + 1), np.int64)
-            sums[:, 0] = np.add.reduceat(total, heads)
-            for r in range(1, K + 1):
-                sums[:, r] = np.add.reduceat((total == r).astype(np.int64), heads)
-            followed = np.add.reduceat(np.where(seen, unigrams.p(word_count), 0.0), heads)
-            names = h[heads]
-            out, at = [], 0
-            for r, n in zip(rows, places):
-                mine = inverse[at : at + n]
-                at += n
-                own = np.searchsorted(names, unpack(r[3], "u4"))
-                out.append((_PAIRS, r[1], bucket, pack(narrow(total[mine])), pack(sums[own].T.reshape(-1).astype(np.int64)), pack(followed[own])))
-            model = np.flatnonzero(seen)
-            runs = _heads(h[model])
-            out.append((_PAIR, -1, bucket, pack(h[model][runs]), pack(np.diff(np.append(runs, len(model))).astype(np.uint32)), pack((uniq[model] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), pack(narrow(total[model]))))
-            out.append((_STAT, -1, bucket, _histogram(total).tobytes()))
-            for x in np.flatnonzero([int(x) in split for x in names]):
-                out.append((_SPLIT, int(names[x]), bucket, sums[x].tobytes(), np.float64(followed[x]).tobytes()))
-            yield _batch(out)
-
-    counted = shared.written(by(states_and_words.mapInArrow(ask_pairs, _ROWS), "bucket").mapInArrow(tell_pairs, _ROWS), "katz-pairs", partition_by="kind").select(*states.columns)
-    if tables is not None:
-        tables |= {"words": told.filter(f"kind = {_WORD}"), "pairs": counted.filter(f"kind = {_PAIR}"), "unigrams": unigrams}
-    histogram = sum(np.frombuffer(r["b0"], np.int64) for r in counted.filter(f"kind = {_STAT}").select("b0").collect()) + np.zeros(K + 1, np.int64)
-    turing = GoodTuring(histogram.tolist())
-    whole: dict[int, tuple[np.ndarray, float]] = {}
-    for r in counted.filter(f"kind = {_SPLIT}").select("batch", "b0", "b1").collect():  # at most two for each bucket
-        c, f = whole.get(r["batch"], (np.zeros(K + 1, np.int64), 0.0))
-        whole[r["batch"]] = (c + np.frombuffer(r["b0"], np.int64), f + float(np.frombuffer(r["b1"])[0]))
+
+    def learn_words(number, rows):
+        s = load(rows[0][3])
+        by_bucket, cut = _word_order(s.pop("hashes"), buckets)
+        s["word_ids"], s["word_counts"] = np.zeros(len(by_bucket), np.uint64), np.zeros(len(by_bucket), np.int64)
+        for r in rows[1:]:
+            mine = by_bucket[cut[r[2]] : cut[r[2] + 1]]
+            s["word_ids"][mine] = unpack(r[3], "u8")
+            s["word_counts"][mine] = _counts(r[4], len(mine))
+        return [(_STATE, number, -1, save(folders[1], s))]
+
+    learnt = shared.written(by(states.unionByName(told.filter(f"kind = {_WORDS}")), "batch").mapInArrow(each_group(1, learn_words), _ROWS), "katz-batches")
+    shared.removed(spark, folders[0])
+    shared.release(spark)
     if tables is not None:
-        tables |= {"turing": turing, "split": whole}
-
-    def score(batches):
-        for _, rows in _grouped(batches, 1):
-            state = heard(rows)
-            h, w, _, inverse = state.pairs()
-            order, cut = _pair_order(h, w, buckets, split)
-            total = np.zeros(len(h), np.int64)
-            sums, followed = np.zeros((len(h), K + 1), np.int64), np.zeros(len(h))
-            for r in rows:
-                if r[0] == _PAIRS:
-                    mine = order[cut[r[2]] : cut[r[2] + 1]]
-                    total[mine] = _counts(r[3], len(mine))
-                    heads = _heads(h[mine])
-                    each = np.diff(np.append(heads, len(mine)))
-                    sums[mine] = np.repeat(unpack(r[4], "i8").reshape(K + 1, -1).T, each, axis=0)
-                    followed[mine] = np.repeat(unpack(r[5], "f8"), each)
-            for name, (c, f) in whole.items():
-                mine = slice(*np.searchsorted(h, [name, name + 1]))
-                sums[mine], followed[mine] = c, f
-            history = History(turing, sums[:, 0], sums[:, 1:], followed)
-            known = state.word_counts[state.tokens]
-            lower = np.log10(unigrams.p(known))
-            direct = np.log10(np.where(total > 0, turing.discounted(total) / np.maximum(history.total, 1), 1.0))
-            back = np.log10(history.alpha)
-            each = np.where(total[inverse] > 0, direct[inverse], back[inverse] + lower)
-            base = np.log10((known + 1) / (n_tokens + n_types + 1))
-            starts = np.cumsum(state.count.astype(np.int64)) - state.count
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(state.ids, pa.int64(), mask=(state.flags & 1).astype(bool)), "held_out": pa.array(state.held),
-                "n_tokens": pa.array(state.count.astype(np.int64)), "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64), starts)),
-                "train_tokens": pa.array(np.full(len(starts), n_tokens, np.int64)),
-                "base_score": pa.array(np.add.reduceat(base, starts)), "score": pa.array(np.add.reduceat(each, starts)),
-            })
-
-    everything = by(states.unionByName(replies).unionByName(counted.filter(f"kind = {_PAIRS}")), "batch")
-    return everything.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        tables |= {1: told.filter(f"kind = {_WORD}"), "unigrams": unigrams}
+
+    # words with more than a bucket's share are histories that are split; at most one for each bucket
+    def large(row):
+        ids = unpack(row[4], "u8")
+        c = _counts(row[5], len(ids))
+        return [(_HOT, -1, row[2], ids[c > share].tobytes(), c[c > share].tobytes())] if (c > share).any() else []
+
+    hot_rows = told.filter(f"kind = {_WORD}").mapInArrow(each_row(large), _ROWS) if order > 1 else None
+    scored = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def lower_of(batch: Batch, row: tuple, k: int) -> np.ndarray:
+        """P of each token by order k, stored by its number of the k-gram."""
+        if k == 1:
+            return unigrams.p(batch.word_counts)[batch.tokens]
+        return load(row[4])["p"][batch.grams(k)[0]]
+
+    def result(batch: Batch, p: np.ndarray) -> pa.RecordBatch:
+        known = batch.word_counts[batch.tokens]
+        base = np.log10((known + 1) / (n_tokens + n_types + 1))
+        return pa.RecordBatch.from_pydict({
+            "doc_id": pa.array(batch.ids, pa.int64(), mask=(batch.flags & 1).astype(bool)), "held_out": pa.array(batch.held),
+            "n_tokens": pa.array(batch.count), "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64), batch.starts)),
+            "train_tokens": pa.array(np.full(len(batch.starts), n_tokens, np.int64)),
+            "base_score": pa.array(np.add.reduceat(base, batch.starts)), "score": pa.array(np.add.reduceat(np.log10(p), batch.starts)),
+        })
+
+    if order == 1:
+
+        def plainly(batches):
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    b = Batch(load(row[3]))
+                    yield result(b, lower_of(b, row, 1))
+
+        return learnt.mapInArrow(plainly, scored)
+
+    for k in range(2, order + 1):
+        found = [((int(START),) * (k - 1), int(n_docs // share) + 1)] if n_docs > share else []
+        for r in hot_rows.select("b0", "b1").collect():  # n-grams with more than a bucket's share of all tokens
+            ids, c = np.frombuffer(r["b0"], np.uint64).reshape(-1, k - 1), np.frombuffer(r["b1"], np.int64)
+            found += [(tuple(int(x) for x in i), int(n // share) + 1) for i, n in zip(ids, c)]
+        step = Order(k, buckets, Hot(found), share)
+
+        def ask(row, k=k, step=step):
+            b = Batch(load(row[3]))
+            return step.ask(row[1], b, lower_of(b, row, k - 1))
+
+        counted = by(learnt.mapInArrow(each_row(ask), _ROWS), "bucket").mapInArrow(each_group(2, step.tell), _ROWS)
+        counted = shared.written(counted, "katz-grams", partition_by="kind").select(*states.columns)
+        shared.release(spark)
+        if tables is not None:
+            tables[k] = counted.filter(f"kind = {_GRAM}")
+        histogram = sum(np.frombuffer(r["b0"], np.int64) for r in counted.filter(f"kind = {_STAT}").select("b0").collect()) + np.zeros(K + 1, np.int64)
+        turing = GoodTuring(histogram.tolist())
+        sums: dict[tuple, tuple[np.ndarray, float]] = {}
+        for r in counted.filter(f"kind = {_SPLIT}").select("b0", "b1", "b2").collect():  # a few for each bucket
+            name = tuple(int(x) for x in np.frombuffer(r["b0"], np.uint64))
+            c, f = sums.get(name, (np.zeros(K + 1, np.int64), 0.0))
+            sums[name] = (c + np.frombuffer(r["b1"], np.int64), f + float(np.frombuffer(r["b2"])[0]))
+        hot = Hot([(name, 1) for name in sums])
+        values = [sums[tuple(int(x) for x in row)] for row in hot.ids] if sums else []
+        whole = (hot, np.array([v[0] for v in values], np.int64).reshape(-1, K + 1), np.array([v[1] for v in values], np.float64))
+        replied = by(learnt.unionByName(counted.filter(f"kind = {_GRAMS}")), "batch")
+
+        def evaluated(rows, k=k, step=step, turing=turing, whole=whole):
+            b = Batch(load(rows[0][3]))
+            return b, step.learn(b, rows[1:], lower_of(b, rows[0], k - 1), turing, whole)
+
+        if k < order:
+
+            def learn(number, rows, k=k, evaluated=evaluated):
+                b, p = evaluated(rows)
+                return [(_STATE, number, -1, rows[0][3], save(folders[k], {"p": p[b.grams(k)[1]]}))]
+
+            learnt = shared.written(replied.mapInArrow(each_group(1, learn), _ROWS), "katz-batches")
+            shared.release(spark)
+            hot_rows = counted.filter(f"kind = {_HOT}")
+        else:
+
+            def score(batches, evaluated=evaluated):
+                for _, rows in _grouped(batches, 1):
+                    yield result(*evaluated(rows))
+
+            return replied.mapInArrow(score, scored)

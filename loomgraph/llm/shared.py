@@ -54,9 +54,13 @@ def dropped(df: DataFrame) -> None:
     """Delete the files behind a frame of :func:`written` that nothing reads any more."""
     path = getattr(df, "_loomgraph_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        removed(df.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
