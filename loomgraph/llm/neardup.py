@@ -400,6 +400,7 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85, doc_id: str = "do
     classes = shared.written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "neardup-classes")
     copies = shared.written(full.select("doc_id", *same).join(classes, same).filter("doc_id <> rep"), "neardup-copies")
     signed = full.join(copies.drop("rep"), ["doc_id", *same], "left_anti").select("doc_id", "n_shingles", "signature", "keys")
+    signed = shared.written(signed, "neardup-signed")  # read for the keys, and again for the signatures
     family, near = families(signed, far)
     family = shared.written(family, "neardup-families")
     sizes = profile.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
