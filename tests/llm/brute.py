@@ -43,6 +43,26 @@ def linked_secrets(text, scope=200):
     return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + told))
 
 
+def tiled(doc, item, least=5):
+    """Words of *item* that plain greedy string tiling marks: of all longest common runs of unmarked words the first by (place in doc, place in item), again and again."""
+    least = min(least, len(item))
+    in_doc, in_item, covered = [False] * len(doc), [False] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                k = 0
+                while d + k < len(doc) and i + k < len(item) and doc[d + k] == item[i + k] and not in_doc[d + k] and not in_item[i + k]:
+                    k += 1
+                best = max(best, (k, -d, -i))
+        k, d, i = best[0], -best[1], -best[2]
+        if k < least or not k:
+            return covered
+        for j in range(k):
+            in_doc[d + j] = in_item[i + j] = True
+        covered += k
+
+
 def near_duplicates(rows, width, percent):
     sets = {}
     for d, t in rows:
@@ -101,40 +121,53 @@ def warc(rows, min_bytes=0):
     return out
 
 
-def katz(rows):
-    """(held out, tokens, known, N, base, score) by id, and the sums of all distributions."""
+def katz(rows, order=3):
+    """(held out, tokens, known, N, base, score) by id, and the sums of distributions of all orders."""
     from loomgraph.llm.katz import K, GoodTuring
 
     texts = [(d, [*words(t), None], d is not None and zlib.crc32(str(d).encode()) % 7 == 2) for d, t in rows]
-    c, b, h = collections.Counter(), collections.Counter(), collections.Counter()
+    grams = [collections.Counter() for _ in range(order + 1)]
     for _, w, held in texts:
         if not held:
-            c.update(w)
-            for x, y in zip(["<s>", *w], w):
-                b[x, y] += 1
-                h[x] += 1
+            padded = ["<s>"] * (order - 1) + w
+            for k in range(1, order + 1):
+                for i in range(order - 1, len(padded)):
+                    grams[k][tuple(padded[i - k + 1 : i + 1])] += 1
+    c = grams[1]
     n, v = sum(c.values()), len(c)
-    of = lambda counts: GoodTuring([sum(1 for x in counts.values() if x == r) for r in range(1, K + 2)])
-    one, two = of(c), of(b)
-    cut = lambda t, r: r * (t.ratio[r] if r <= K else 1)
-    left = n - sum(cut(one, x) for x in c.values())
+    turing = [GoodTuring([sum(1 for x in g.values() if x == r) for r in range(1, K + 2)]) for g in grams]
+    cut = lambda k, r: r * (turing[k].ratio[r] if r <= K else 1)
+    after = [collections.defaultdict(list) for _ in grams]
+    for k in range(2, order + 1):
+        for g, r in grams[k].items():
+            after[k][g[:-1]].append((g[-1], r))
+    left = n - sum(cut(1, x) for x in c.values())
     total = n if left > 1e-9 else n + 1
     unknown = (left if left > 1e-9 else 1) / total
-    p = lambda w: cut(one, c[w]) / total if w in c else unknown
-    after = collections.defaultdict(list)
-    for (x, y), k in b.items():
-        after[x].append((y, k))
     back = {}
-    for x, found in after.items():
-        rest = sum(k - cut(two, k) for _, k in found)
-        whole = h[x] if rest > 1e-9 else h[x] + 1
-        back[x] = (whole, (rest if rest > 1e-9 else 1) / whole / (1 - sum(p(y) for y, _ in found)))
-    sums = [sum(p(w) for w in c) + unknown]
-    for x, found in list(after.items())[:40]:
-        seen = {y for y, _ in found}
-        sums.append(sum(cut(two, k) / back[x][0] for _, k in found) + back[x][1] * (sum(p(w) for w in c if w not in seen) + unknown))
+
+    def p(h, w):
+        if not h:
+            return cut(1, c[(w,)]) / total if (w,) in c else unknown
+        k = len(h) + 1
+        found = after[k].get(h)
+        if not found:
+            return p(h[1:], w)
+        if h not in back:
+            rest = sum(r - cut(k, r) for _, r in found)
+            whole = sum(r for _, r in found) + (0 if rest > 1e-9 else 1)
+            back[h] = (whole, (rest if rest > 1e-9 else 1) / whole / (1 - sum(p(h[1:], y) for y, _ in found)))
+        whole, alpha = back[h]
+        r = grams[k].get((*h, w), 0)
+        return cut(k, r) / whole if r else alpha * p(h[1:], w)
+
+    sums = [sum(p((), w) for (w,) in c) + unknown]
+    for k in range(2, order + 1):
+        for h in list(after[k])[:25]:
+            sums.append(sum(p(h, w) for (w,) in c) + p(h, "never seen"))
     out = {}
     for d, w, held in texts:
-        score = sum(math.log10(cut(two, b[x, y]) / back[x][0] if (x, y) in b else (back[x][1] if x in back else 1) * p(y)) for x, y in zip(["<s>", *w], w))
-        out[d] = (held, len(w), sum(y in c for y in w), n, sum(math.log10((c[y] + 1) / (n + v + 1)) for y in w), score)
+        padded = ["<s>"] * (order - 1) + w
+        score = sum(math.log10(p(tuple(padded[i - order + 1 : i]), padded[i])) for i in range(order - 1, len(padded)))
+        out[d] = (held, len(w), sum((y,) in c for y in w), n, sum(math.log10((c[(y,)] + 1) / (n + v + 1)) for y in w), score)
     return out, sums

@@ -130,14 +130,31 @@ def test_local_search_beats_best_fit():
         lengths = [rng.randrange(250, 620) for _ in range(150)]
         before = packing.best_fit(lengths, 1000)
         search = packing.Search(lengths, [list(b) for b in before], 1000)
-        search.run(10_000)
+        search.run()
         bins = [b for b in search.bins if b]
         assert sorted(i for b in bins for i in b) == list(range(150)) and all(sum(lengths[i] for i in b) <= 1000 for b in bins)
         assert len(bins) <= len(before)
         wins += len(bins) < len(before)
+        assert packing.Search(lengths, [list(b) for b in bins], 1000).run() == 0  # a local optimum
+        assert no_move(lengths, bins, 1000)
     assert wins
 
 
+def no_move(lengths, bins, capacity):
+    """By trying all: no one-for-nothing, one-for-one, two-for-nothing or two-for-one move raises the sum of squared fills."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for d, donor in enumerate(bins):
+        gives = [(x,) for x in donor] + [(x, y) for n, x in enumerate(donor) for y in donor[n + 1 :]]
+        for give in gives:
+            size = sum(lengths[i] for i in give)
+            for b, other in enumerate(bins):
+                for back in [0] * (len(give) == 1) + [lengths[i] for i in other]:
+                    grown = fill[b] + size - back
+                    if b != d and back < size and grown <= capacity and fill[d] < capacity and fill[b] < capacity and grown > fill[d]:
+                        return False
+    return True
+
+
 def test_op1(spark, docs, texts):
     for r in secrets.report(docs).collect():
         assert tuple(r)[1:5] == brute.secrets(dict(texts)[r["doc_id"]])
@@ -229,14 +246,67 @@ def test_op3(spark, odd, empty):
     assert langid.predict_one(tuple(two), "Zyx wvu, tsr qpo!") [0] == "bb" and langid.predict_one(tuple(two), "1 2")[1] >= 0
 
 
+def test_clashing_names_reach_no_operator(spark):
+    """Columns named like those that operators add: they give way in results, and filters keep them as they are."""
+    rows = [(1, "the quick brown fox jumps over the lazy dog again", "en", "p", 1.0, False, "l", "t", "r", 0), (2, None, "en", "p", 1.0, True, "l", "t", "r", 0), (3, "a b c d e f g h", None, "p", 1.0, True, "l", "t", "r", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, lang_score double, lang_rejected boolean, _letter string, _lower string, row string, letter int")
+    model = langid.train(docs)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == 3 and {r["doc_id"]: r["lang_pred"] for r in got} == {1: "en", 2: "und", 3: "en"} and got[0]["_letter"] == "l"
+    kept = langid.accepted(docs, model)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted(r for r in rows if r[1])
+    items = spark.createDataFrame([(None, "quick brown fox jumps over"), (None, "quick brown fox jumps over")], "item_id long, text string")
+    for limit in (decontaminate.INDEX_BYTES, 0):
+        clean = decontaminate.clean(docs, items, index_bytes=limit)
+        assert clean.columns == docs.columns and sorted(tuple(r) for r in clean.collect()) == sorted(rows[1:], key=lambda r: r[0])
+        assert decontaminate.find(docs, items, index_bytes=limit).count() == 2
+
+
+def test_op3_ties_and_held_out_excerpts(spark):
+    text = "same words in both languages"
+    docs = spark.createDataFrame([(1, text, "bb"), (2, text, "aa"), (3, text, "bb")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert [m[0] for m in model] == ["bb", "aa"]
+    equal = (("bb", model[0][1]), ("aa", model[0][1]))
+    assert langid.predict_one(equal, text)[:2] == ("bb", 0.0)  # equal sizes: the language with more documents
+    long = " ".join("".join(chr(97 + int(c)) for c in str(i)) + "z" for i in range(3000))
+    one = langid.train(spark.createDataFrame([(i, long, "xx") for i in range(20)], "doc_id long, text string, lang string"))
+    assert len({one[0][1][at : at + 200] for at in range(0, 19_000, 1000)}) > 10  # excerpts from all over the texts
+
+
+def test_op2_items_shorter_than_a_run(spark):
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "one two three four"), (4, "...")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta y"), (2, "beta alpha"), (3, "Gamma!"), (4, "one two three"), (5, "zero one two three four five"), (6, None)], "doc_id long, text string")
+    for limit in (decontaminate.INDEX_BYTES, 0):
+        got = {(r["doc_id"], r["item_id"], r["covered"]) for r in decontaminate.find(docs, items, index_bytes=limit).collect()}
+        assert got == {(1, 1, 2), (3, 2, 1), (5, 3, 4)}
+
+
+def test_op2_equals_plain_greedy_string_tiling(spark):
+    rng = random.Random(31)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    items = [(i, text(rng.randrange(1, 40))) for i in range(25)]
+    docs = []
+    for d in range(60):
+        own = items[rng.randrange(25)][1].split()
+        cut = rng.randrange(len(own) + 1)
+        docs.append((d, " ".join([text(rng.randrange(8)), *own[cut:], text(rng.randrange(4)), *own[:cut], text(rng.randrange(8))])))
+    expected = {(d, i): c for d, t in docs for i, u in items if (c := brute.tiled(t.split(), u.split())) >= 0.8 * len(u.split())}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontaminate.INDEX_BYTES, 0):
+        got = {(r["doc_id"], r["item_id"]): r["covered"] for r in decontaminate.find(*frames, index_bytes=limit).collect()}
+        assert got == expected and len(got) > 60
+
+
 def test_op5(spark, texts, odd, empty):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     frame, rows = odd
     plain = spark.createDataFrame(texts, "doc_id long, text string")
-    for df, pairs, size in ((plain, texts, katz.TEXT), (plain, texts, 20_000), (frame, rows, 500)):
-        expected, sums = brute.katz(pairs)
+    cases = ((plain, texts, katz.TEXT, 3), (plain, texts, 20_000, 3), (frame, rows, 500, 2), (frame, rows, 500, 4), (frame, rows, 500, 1))
+    for df, pairs, size, order in cases:
+        expected, sums = brute.katz(pairs, order)
         assert all(abs(s - 1) < 1e-9 for s in sums)
-        got = katz.train_and_score(df, held, batch_bytes=size).collect()
+        got = katz.train_and_score(df, held, batch_bytes=size, order=order).collect()
         assert len(got) == len(pairs)
         for r in got:
             if r["doc_id"] != 5:
