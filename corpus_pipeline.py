@@ -25,8 +25,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.train(docs))
-    return found.filter(~F.col("lang_rejected")).select(*docs.columns)
+    return langid.accepted(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
