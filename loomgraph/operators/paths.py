@@ -7,6 +7,7 @@ a round's work is the frontier's edges, not the graph's.  Cycles end by themselv
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from typing import TYPE_CHECKING, Any
 
@@ -25,12 +26,13 @@ OWNERSHIP = ("RelationType", "ownership")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder, spark.checkpoint.dir."""
+    """A checkpoint in the cluster's shared folder, spark.checkpoint.dir; only a session on one machine may leave it unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = folder or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
