@@ -64,4 +64,31 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op5_katz_backoff, op6_chroma_fingerprints, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup)}
-ORACLES: dict[str, str] = {}
+#: Words, lower-cased in A-Z, of each document; distinct runs of three words; pairs that share one; what is reachable over links.
+OP7 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, least(sets.doc_id, coalesce(min(b), sets.doc_id)) AS component_id, sets.doc_id = least(sets.doc_id, coalesce(min(b), sets.doc_id)) AS kept
+FROM sets LEFT JOIN reach ON reach.a = sets.doc_id GROUP BY sets.doc_id, s"""
+
+#: Base 32 of the SHA-1: eight letters for every ten hexadecimal digits.
+OP8 = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS least_id FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (10 * (i // 8) + 1)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = least_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least_id THEN least_id END AS refers_to FROM f"""
+
+#: Bytes as two hexadecimal digits; windows of 50 bytes that also start in a smaller document; their unions; what is left between them.
+OP10 = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS i FROM t)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS least_id FROM w) WHERE least_id < doc_id),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true)::INT AS fresh FROM c)),
+s AS (SELECT doc_id, run, min(i) AS b, max(i) + 50 AS e FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS b, b AS e FROM s UNION ALL SELECT doc_id, max(e), 1000000000 FROM s GROUP BY doc_id),
+kept AS (SELECT k.doc_id, string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b) AS h FROM k JOIN t ON t.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT t.doc_id, (len(t.h) // 2)::BIGINT AS n_bytes, coalesce(g.removed, 0)::BIGINT AS n_removed, coalesce(g.n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
+FROM t LEFT JOIN (SELECT doc_id, sum(e - b) AS removed, count(*) AS n FROM s GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept ON kept.doc_id = t.doc_id"""
+
+ORACLES: dict[str, str] = {"op7_minhash_near_dedup": OP7, "op8_warc_bundles": OP8, "op10_suffix_array_dedup": OP10}

@@ -24,9 +24,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The shared folder of ``spark.checkpoint.dir``; a session on one machine that leaves it unset (tests) gets a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
