@@ -37,7 +37,7 @@ METRICS = {"Metric": "metric", "LastUpdateMetric": "last_update_metric"}
 NAMES = ROOTS | {f"{a}.{b}": f"{LAYERS[a]}.{LAYER_FIELDS[b]}" for a in LAYERS for b in LAYER_FIELDS} | {f"{a}.{b}": f"{METRICS[a]}.{METRIC_FIELDS[b]}" for a in METRICS for b in METRIC_FIELDS}
 #: A layer's name alone means either side.
 SIDES = {"Link": ("Link.A", "Link.B"), "Network": ("Network.A", "Network.B"), "Transport": ("Transport.A", "Transport.B")}
-#: Types of nodes on which flows can be captured.
+#: Types of nodes on which flows can be captured.
 CAPTURE_TYPES = ["afpacket", "bond", "bridge", "can", "device", "dummy", "gre", "gretap", "host", "intel-xdp", "internal", "ipvlan", "macvlan", "ovsbridge", "ovsport", "patch", "tap", "tun", "tuntap", "veth", "vlan", "vxlan"]
 ASC, DESC = "ASC", "DESC"
 

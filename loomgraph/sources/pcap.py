@@ -1,12 +1,13 @@
 """Capture files in and out.
 
 Reading takes whole files as binary rows (they come in bounded sizes from a capture's rotation) and
-cuts their packets inside tasks.  Writing makes one file for each partition of packets, as a row with
-the file's bytes, for any sink that takes binaries.
+cuts their packets inside tasks, some thousands at a time.  Writing makes files of about FILE bytes from each
+partition's packets, as rows with the file's bytes, for any sink that takes binaries.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the public capture file format: magic numbers of micro- and nanosecond files.
 MICRO, NANO = 0xA1B2C3D4, 0xA1B23C4D
+#: Bytes of packets after which another file begins.
+FILE = 64 << 20
 SCHEMA = "path string, timestamp long, index long, data binary, link_type int"
 
 
@@ -39,26 +42,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(name, *p) for p in packets(content)]
-                for at in range(0, len(rows), 10_000):
-                    columns = list(zip(*rows[at : at + 10_000]))
+                found = packets(content)
+                while part := list(itertools.islice(found, 10_000)):
+                    columns = list(zip(*((name, *p) for p in part)))
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "timestamp", "index", "data", "link_type"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def write(raw: DataFrame, link_type: int = 1) -> DataFrame:
-    """Rows (link_type, packets, content): a capture file for each partition's packets of the link type."""
+def write(raw: DataFrame, link_type: int = 1, size: int = FILE) -> DataFrame:
+    """Rows (link_type, packets, content): capture files of each partition's packets of the link type, in order of time."""
+    head = struct.pack("<IHHiIII", MICRO, 2, 4, 0, 0, 262_144, link_type)
+
+    def file(parts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"link_type": pa.array([link_type], pa.int32()), "packets": [len(parts) // 2], "content": pa.array([head + b"".join(parts)], pa.binary())})
 
     def run(batches):
-        parts, n = [struct.pack("<IHHiIII", MICRO, 2, 4, 0, 0, 262_144, link_type)], 0
+        parts, have = [], 0
         for batch in batches:
             for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts += [struct.pack("<IIII", at // 1000, at % 1000 * 1000, len(data), len(data)), data]
-                n += 1
-        if n:
-            yield pa.RecordBatch.from_pydict({"link_type": pa.array([link_type], pa.int32()), "packets": [n], "content": pa.array([b"".join(parts)], pa.binary())})
+                have += 16 + len(data)
+                if have >= size:
+                    yield file(parts)
+                    parts, have = [], 0
+        if parts:
+            yield file(parts)
 
     rows = raw.filter(F.col("link_type") == link_type).select("timestamp", "data").sortWithinPartitions("timestamp")
     return rows.mapInArrow(run, "link_type int, packets long, content binary")

@@ -137,6 +137,7 @@ def test_capture_files(spark, flows, tmp_path):
     (tmp_path / "a.pcap").write_bytes(content)
     rows = pcap.read(spark, str(tmp_path)).orderBy("index").collect()
     assert [(r["timestamp"], r["link_type"], len(r["data"])) for r in rows] == [(5, 1, 38), (6, 1, 1)]
+    assert [r["packets"] for r in pcap.write(flows.raw_packets.coalesce(1), size=40).collect()] == [1, 1]  # another file begins
 
 
 def test_next_hop(spark):
