@@ -336,7 +336,8 @@ def _ranges(segments: DataFrame, parts: int, span: int, collection: int) -> Data
 
     found = cold.mapInArrow(run, "row long, begin long, end long")
     warm = segments.filter("kind = 1").select("segment", "doc_id", "row", "start")
-    least = warm.groupBy("segment").agg(F.min("doc_id").alias("least"))
+    # stored, so that the join's sides are shuffles of their own and adaptive execution can split a common window's rows
+    least = shared.written(warm.groupBy("segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "repeats-least")
     warm = warm.join(least, "segment").filter("least < doc_id").select("row", F.col("start").alias("begin"), (F.col("start") + span).alias("end"))
     return found.unionByName(warm)
 
