@@ -51,8 +51,9 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     rows = rows.withColumn("text", F.substr("text", place, F.lit(EXCERPT)))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string")), "key", "text")
-    sample = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE).select("lang", "text", "r").collect()
     size = min(DICT, ALL // max(1, len(counts)))
+    most = min(SAMPLE, max(1, 2 * size // EXCERPT))  # with very many languages fewer excerpts of each: all of them stay within a few ALL
+    sample = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("lang", "text", "r").collect()
     texts: dict[str, bytes] = dict.fromkeys(counts, b"")
     for row in sorted(sample, key=lambda r: (r["lang"], r["r"])):
         texts[row["lang"]] += normal(row["text"])
