@@ -59,7 +59,9 @@ def test_token_ids_are_the_library_s():
     enc = tokens.encoder(TOKENIZER)
     rng = random.Random(1)
     more = ["".join(rng.choice(["a", "the", " ", "\n", ".", ",", "é", "'s", "1", "«", "\t", "\xa0"]) for _ in range(30)) for _ in range(300)]
-    for batch in (ODD, more):
+    letters = [chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x10000), rng.randrange(0x10000, 0x20000)])) for _ in range(4000)]
+    points = ["".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice(" ab1.\n") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    for batch in (ODD, more, points):
         ids, offsets = enc.encode(*W.column_bytes(pa.array(batch)))
         for i, t in enumerate(batch):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
