@@ -207,19 +207,23 @@ class Batch:
         self.held = self.flags >= 2
         self.train = np.repeat(~self.held, self.count)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.count)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of each token's k-gram, in order of its history's, and the first token of each."""
-        name = self.tokens.astype(np.int64) + 1
-        words_ = np.int64(len(self.word_ids) + 1)
-        first, inverse = np.empty(0, np.int64), name
-        for _ in range(k - 1):
-            history = np.empty_like(name)
-            history[1:] = name[:-1]
+        if k == 1:
+            return self.tokens.astype(np.int64), np.empty(0, np.int64)
+        if k not in self.known:
+            history = np.zeros(len(self.tokens), np.int64)
+            history[1:] = self.grams(k - 1)[0][:-1] + 1
             history[self.starts] = 0
-            _, first, inverse = np.unique(history * words_ + self.tokens + 1, return_index=True, return_inverse=True)
-            name = inverse.astype(np.int64) + 1
-        return inverse, first
+            name = history * np.int64(len(self.word_ids)) + self.tokens
+            order = np.argsort(name, kind="stable")
+            heads = _heads(name[order])
+            inverse = np.empty(len(name), np.int64)
+            inverse[order] = np.repeat(np.arange(len(heads)), _lengths(heads, len(name)))
+            self.known[k] = inverse, order[heads]
+        return self.known[k]
 
     def histories(self, at: np.ndarray, k: int) -> list[np.ndarray]:
         """Ids of the k - 1 words before the tokens *at*, the nearest first; START before a text's start."""
@@ -264,16 +268,24 @@ class Hot:
         return np.where(hit, at, -1)
 
 
-def _dealt(columns: list[np.ndarray], w: np.ndarray, buckets: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams by bucket (of the history, or of a part of it), then as they were; where each bucket ends."""
+def _dealt(columns: list[np.ndarray], w: np.ndarray, buckets: int, hot: Hot, words_: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams by bucket, then by the history's nearest word, then as they were; where each bucket ends.
+
+    The bucket is that of the nearest word, so that a bucket names few of these.  A word with more than a bucket's share
+    is split by the words before it, and a history with more than that by its successor.
+    """
+    part = lambda of, seed, parts: words.mix(of + np.uint64(seed)) % parts
     sub = np.zeros(len(w), np.uint64)
-    at = hot.find(columns)
-    found = at >= 0
-    if found.any():
-        sub[found] = words.mix(w[found] + np.uint64(99)) % hot.parts[at[found]]
     with np.errstate(over="ignore"):
-        bucket = (words.mix(_name(columns) + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+        if len(columns) > 1:
+            at = words_.find(columns[:1])
+            found = at >= 0
+            sub[found] = part(_name([c[found] for c in columns[1:]]), 7, words_.parts[at[found]])
+        at = hot.find(columns)
+        found = at >= 0
+        sub[found] += np.uint64(1 << 32) + part(w[found], 99, hot.parts[at[found]])
+        bucket = (words.mix(_name(columns[:1]) + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((columns[0], bucket))
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
@@ -301,8 +313,8 @@ def _coded(values: np.ndarray) -> tuple[bytes, bytes]:
 class Order:
     """The exchange of one order: what a batch asks, what a bucket tells, and what a batch makes of it."""
 
-    def __init__(self, k: int, buckets: int, hot: Hot, share: float):
-        self.k, self.buckets, self.hot, self.share = k, buckets, hot, share
+    def __init__(self, k: int, buckets: int, hot: Hot, words_: Hot, share: float):
+        self.k, self.buckets, self.hot, self.words, self.share = k, buckets, hot, words_, share
 
     def of_batch(self, batch: Batch):
         inverse, first = batch.grams(self.k)
@@ -310,7 +322,7 @@ class Order:
         w = batch.word_ids[batch.tokens[first]]
         # a history's grams lie together: numbered by the local history, which is the same as by its ids
         before = np.where(batch.place[first] > 0, batch.grams(self.k - 1)[0][np.maximum(first - 1, 0)] + 1, 0)
-        return inverse, first, columns, w, before, *_dealt(columns, w, self.buckets, self.hot)
+        return inverse, first, columns, w, before, *_dealt(columns, w, self.buckets, self.hot, self.words)
 
     def ask(self, number: int, batch: Batch, lower: np.ndarray) -> list[tuple]:
         inverse, first, columns, w, before, order, cut = self.of_batch(batch)
@@ -320,7 +332,8 @@ class Order:
             mine = order[cut[b] : cut[b + 1]]
             if len(mine):
                 heads = _heads(before[mine])
-                values, codes = _coded(lower[first[mine]])
+                # of n-grams that don't occur in training here nobody needs the lower probability
+                values, codes = _coded(np.where(count[mine] > 0, lower[first[mine]], 0.0))
                 head = struct.pack("<II", len(heads), len(mine)) + pack(_lengths(heads, len(mine)).astype(np.uint32))
                 out.append((_GRAM, number, b, head, _columns([c[mine[heads]] for c in columns]), pack(w[mine]), pack(narrow(count[mine])), struct.pack("<I", len(values)) + values + codes))
         return out
@@ -344,9 +357,13 @@ class Order:
         w = np.concatenate(ws)
         words_, of_word = np.unique(w, return_inverse=True)
         label = np.repeat(of_head, np.concatenate(repeats)) * np.uint64(len(words_)) + of_word.astype(np.uint64)
-        uniq, at, inverse = np.unique(label, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
-        lower = np.concatenate(lowers)[at]
+        order = np.argsort(label, kind="stable")
+        place = _heads(label[order])
+        uniq = label[order[place]]
+        inverse = np.empty(len(label), np.int64)
+        inverse[order] = np.repeat(np.arange(len(place)), _lengths(place, len(label)))
+        total = np.add.reduceat(np.concatenate(counts)[order], place)
+        lower = np.maximum.reduceat(np.concatenate(lowers)[order], place)
         h = (uniq // np.uint64(len(words_))).astype(np.int64)
         begin = _heads(h)
         seen = total > 0
@@ -356,9 +373,12 @@ class Order:
             sums[:, r] = np.add.reduceat((total == r).astype(np.int64), begin)
         followed = np.add.reduceat(np.where(seen, lower, 0.0), begin)
         out, row_at, head_at = [], 0, 0
-        for r, (n_heads, n) in zip(rows, sizes):
+        for r, lengths, (n_heads, n) in zip(rows, repeats, sizes):
             own = of_head[head_at : head_at + n_heads].astype(np.int64)
-            out.append((_GRAMS, r[1], bucket, pack(narrow(total[inverse[row_at : row_at + n]])), pack(sums[own].T.reshape(-1)), pack(followed[own])))
+            told = total[inverse[row_at : row_at + n]]
+            # who backs off from a history needs what follows it
+            backs = np.add.reduceat((told == 0).astype(np.int64), np.cumsum(lengths) - lengths) > 0
+            out.append((_GRAMS, r[1], bucket, pack(narrow(told)), pack(sums[own].T.reshape(-1)), pack(np.where(backs, followed[own], 0.0))))
             row_at, head_at = row_at + n, head_at + n_heads
         model = np.flatnonzero(seen)
         runs = _heads(h[model])
@@ -403,7 +423,7 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
     parts = shared.partitions(spark)
     buckets = 2 * parts
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    folders = [shared.new_path(spark, "katz-files") for _ in range(order + 1)]
+    folders = [shared.new_path(spark, "katz-files") for _ in range(2)]
     states = shared.written(_batches(plain, batch_bytes, folders[0]), "katz-batches")
 
     def by(df: DataFrame, key: str) -> DataFrame:
@@ -449,7 +469,9 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
         out.append((_STAT, -1, bucket, np.array([total.sum(), seen.sum(), *_histogram(total)], np.int64).tobytes()))
         return out
 
-    told = shared.written(by(states.mapInArrow(each_row(ask_words), _ROWS), "bucket").mapInArrow(each_group(2, tell_words), _ROWS), "katz-words", partition_by="kind").select(*states.columns)
+    told = shared.written(by(states.mapInArrow(each_row(ask_words), _ROWS), "bucket").mapInArrow(each_group(2, tell_words), _ROWS), "katz-words", partition_by="kind")
+    told_at = told._loomgraph_path
+    told = told.select(*states.columns)
     stats = sum(np.frombuffer(r["b0"], np.int64) for r in told.filter(f"kind = {_STAT}").select("b0").collect()) + np.zeros(K + 3, np.int64)  # a row for each bucket
     n_tokens, n_types = int(stats[0]), int(stats[1])
     unigrams = Unigrams(n_tokens, n_types, stats[2:].tolist())
@@ -468,6 +490,7 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
 
     learnt = shared.written(by(states.unionByName(told.filter(f"kind = {_WORDS}")), "batch").mapInArrow(each_group(1, learn_words), _ROWS), "katz-batches")
     shared.removed(spark, folders[0])
+    shared.removed(spark, f"{told_at}/kind={_WORDS}")  # the batches have them
     shared.release(spark)
     if tables is not None:
         tables |= {1: told.filter(f"kind = {_WORD}"), "unigrams": unigrams}
@@ -481,12 +504,6 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
     hot_rows = told.filter(f"kind = {_WORD}").mapInArrow(each_row(large), _ROWS) if order > 1 else None
     scored = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def lower_of(batch: Batch, row: tuple, k: int) -> np.ndarray:
-        """P of each token by order k, stored by its number of the k-gram."""
-        if k == 1:
-            return unigrams.p(batch.word_counts)[batch.tokens]
-        return load(row[4])["p"][batch.grams(k)[0]]
-
     def result(batch: Batch, p: np.ndarray) -> pa.RecordBatch:
         known = batch.word_counts[batch.tokens]
         base = np.log10((known + 1) / (n_tokens + n_types + 1))
@@ -503,24 +520,37 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns)):
                     b = Batch(load(row[3]))
-                    yield result(b, lower_of(b, row, 1))
+                    yield result(b, unigrams.p(b.word_counts)[b.tokens])
 
         return learnt.mapInArrow(plainly, scored)
 
+    hot_words = None
+    told_orders: list[tuple[Order, GoodTuring, tuple]] = []
+    replies = None
+
+    def evaluated(rows: list[tuple], orders: list[tuple]) -> tuple[Batch, np.ndarray]:
+        """A batch and P of each of its tokens, order by order from the lowest."""
+        b = Batch(load(rows[0][3]))
+        p = unigrams.p(b.word_counts)[b.tokens]
+        for step, turing, whole in orders:
+            p = step.learn(b, [r for r in rows[1:] if r[0] == _GRAMS + step.k * 10], p, turing, whole)
+        return b, p
+
     for k in range(2, order + 1):
         found = [((int(START),) * (k - 1), int(n_docs // share) + 1)] if n_docs > share else []
         for r in hot_rows.select("b0", "b1").collect():  # n-grams with more than a bucket's share of all tokens
             ids, c = np.frombuffer(r["b0"], np.uint64).reshape(-1, k - 1), np.frombuffer(r["b1"], np.int64)
             found += [(tuple(int(x) for x in i), int(n // share) + 1) for i, n in zip(ids, c)]
-        step = Order(k, buckets, Hot(found), share)
+        hot_words = Hot(found) if k == 2 else hot_words
+        step = Order(k, buckets, Hot(found), hot_words, share)
 
-        def ask(row, k=k, step=step):
-            b = Batch(load(row[3]))
-            return step.ask(row[1], b, lower_of(b, row, k - 1))
+        def ask(number, rows, step=step, orders=list(told_orders)):
+            b, p = evaluated(rows, orders)
+            return step.ask(number, b, p)
 
-        counted = by(learnt.mapInArrow(each_row(ask), _ROWS), "bucket").mapInArrow(each_group(2, step.tell), _ROWS)
-        counted = shared.written(counted, "katz-grams", partition_by="kind").select(*states.columns)
-        shared.release(spark)
+        asked = learnt.mapInArrow(each_row(lambda row, ask=ask: ask(row[1], [row])), _ROWS) if replies is None else by(learnt.unionByName(replies), "batch").mapInArrow(each_group(1, ask), _ROWS)
+        counted = shared.written(by(asked, "bucket").mapInArrow(each_group(2, step.tell), _ROWS), "katz-grams", partition_by="kind").select(*states.columns)
+        del asked
         if tables is not None:
             tables[k] = counted.filter(f"kind = {_GRAM}")
         histogram = sum(np.frombuffer(r["b0"], np.int64) for r in counted.filter(f"kind = {_STAT}").select("b0").collect()) + np.zeros(K + 1, np.int64)
@@ -533,25 +563,14 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
         hot = Hot([(name, 1) for name in sums])
         values = [sums[tuple(int(x) for x in row)] for row in hot.ids] if sums else []
         whole = (hot, np.array([v[0] for v in values], np.int64).reshape(-1, K + 1), np.array([v[1] for v in values], np.float64))
-        replied = by(learnt.unionByName(counted.filter(f"kind = {_GRAMS}")), "batch")
-
-        def evaluated(rows, k=k, step=step, turing=turing, whole=whole):
-            b = Batch(load(rows[0][3]))
-            return b, step.learn(b, rows[1:], lower_of(b, rows[0], k - 1), turing, whole)
-
-        if k < order:
-
-            def learn(number, rows, k=k, evaluated=evaluated):
-                b, p = evaluated(rows)
-                return [(_STATE, number, -1, rows[0][3], save(folders[k], {"p": p[b.grams(k)[1]]}))]
-
-            learnt = shared.written(replied.mapInArrow(each_group(1, learn), _ROWS), "katz-batches")
-            shared.release(spark)
-            hot_rows = counted.filter(f"kind = {_HOT}")
-        else:
+        told_orders.append((step, turing, whole))
+        mine = counted.filter(f"kind = {_GRAMS}").withColumn("kind", F.lit(_GRAMS + k * 10))
+        replies = mine if replies is None else replies.unionByName(mine)
+        hot_rows = counted.filter(f"kind = {_HOT}")
+        shared.release(spark)
 
-            def score(batches, evaluated=evaluated):
-                for _, rows in _grouped(batches, 1):
-                    yield result(*evaluated(rows))
+    def score(batches, orders=list(told_orders)):
+        for _, rows in _grouped(batches, 1):
+            yield result(*evaluated(rows, orders))
 
-            return replied.mapInArrow(score, scored)
+    return by(learnt.unionByName(replies), "batch").mapInArrow(score, scored)
