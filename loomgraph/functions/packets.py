@@ -58,17 +58,19 @@ def _mac(at: int) -> Column:
 
 
 def decoded(raw: DataFrame) -> DataFrame:
-    """Adds link_a, link_b (MAC of source and target), vlan, network_a, network_b, protocol (name), transport_a, transport_b and flags."""
+    """Adds link_a, link_b (MAC of source and target), vlan, network_a, network_b, protocol (name), transport_a, transport_b, icmp_type, icmp_id and flags."""
     base, ethernet = network(), F.col("link_type") == 1
     address = lambda four, six: F.when(version() == 4, _dotted(base + four)).when(version() == 6, bytes_at(base + six, 16))
     names = F.create_map(*[x for k, v in PROTOCOLS.items() for x in (F.lit(v).cast("bigint"), F.lit(k.upper()))])
     ports = protocol().isin(PROTOCOLS["tcp"], PROTOCOLS["udp"], PROTOCOLS["sctp"])
+    ping = protocol().isin(PROTOCOLS["icmp"], PROTOCOLS["icmp6"])
     bits = number(transport() + 13, 1)
     flags = F.when(protocol() == PROTOCOLS["tcp"], F.concat_ws("|", *[F.when(bits.bitwiseAND(b) != 0, F.lit(n)) for b, n in FLAGS.items()]))
     return raw.withColumns({
         "link_a": F.when(ethernet, _mac(6)), "link_b": F.when(ethernet, _mac(0)), "vlan": F.when(tagged(), number(F.lit(14), 2) % 4096),
         "network_a": address(12, 8), "network_b": address(16, 24), "protocol": F.try_element_at(names, protocol()),
         "transport_a": F.when(ports, number(transport(), 2)), "transport_b": F.when(ports, number(transport() + 2, 2)), "flags": flags,
+        "icmp_type": F.when(ping, number(transport(), 1)), "icmp_id": F.when(ping, number(transport() + 4, 2)),
     })
 
 
@@ -91,4 +93,4 @@ def rows(raw: DataFrame, mode: str = "L2") -> DataFrame:
     key = F.concat_ws("/", *layers, F.coalesce("protocol", F.lit("")), *both("transport_a", "transport_b"))
     return d.select(
         key.alias("flow_key"), F.when(first, "AB").otherwise("BA").alias("direction"), F.col("timestamp").alias("at"), F.octet_length("data").cast("bigint").alias("bytes"),
-        "flags", "link_a", "link_b", "network_a", "network_b", "protocol", "transport_a", "transport_b")
+        "flags", "link_a", "link_b", "network_a", "network_b", "protocol", "transport_a", "transport_b", "icmp_type", "icmp_id")

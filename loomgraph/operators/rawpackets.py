@@ -8,6 +8,7 @@ from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.packets import IPV4, IPV6, PROTOCOLS, bytes_at, network, number, protocol, tagged, transport, version
@@ -17,6 +18,9 @@ if TYPE_CHECKING:
     from loomgraph.operators.flows import Flows
     from loomgraph.plans.graph import Graph
 
+#: Packets that are kept of a flow.
+LIMIT = 10
+
 
 @dataclass
 class RawPackets:
@@ -104,3 +108,12 @@ def of_flows(flows: "Flows") -> RawPackets:
         raise ValueError("the graph has no raw packets")
     ids = flows.df.select(F.col("uuid").alias("flow_uuid")).distinct()
     return RawPackets(flows.graph, flows.graph.raw_packets.join(ids, "flow_uuid", "left_semi"))
+
+
+def captured(packets: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The packets that a capture keeps: the first *limit* of each flow in order of time, numbered from 1 as index.
+
+    Spark keeps the first ones of a flow in each task before the shuffle, so a busy flow doesn't meet in one task.
+    """
+    order = W.partitionBy("flow_uuid").orderBy("timestamp", "index")
+    return packets.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).withColumn("index", F.col("_n").cast("long")).drop("_n")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import flowids, packets, predicates
 from loomgraph.functions.predicates import Gt, Lt, Nee, Outside, metadata
-from loomgraph.operators import linkers, metrics
-from loomgraph.plans import mutation, topology, workflows
+from loomgraph.operators import linkers, metrics, rawpackets
+from loomgraph.plans import mutation, rules, topology, workflows
 from loomgraph.plans.queries import g, ids, query
 from loomgraph.sources import star
 from loomgraph.streaming import changes, flowtable
@@ -257,6 +257,37 @@ def flow_updates(s, d):
     return flowtable.updates(flowtable.packets_of_events(s.read.parquet(f"{d}/events.parquet")))
 
 
+#: With days in place of minutes, as events are hours apart: flows that begin with FIN or RST are held for eight hours.
+@query("""WITH e AS (SELECT user_id u, (epoch_us(ts)//1000) t, event_type IN ('click', 'error') AS fin, (epoch_us(ts)//1000) - lag((epoch_us(ts)//1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts)//1000), event_type) gap,
+ event_type FROM events), a AS (SELECT *, coalesce(gap > 86400000, true) AS idle, coalesce(gap >= 28800000, true) AS pause FROM e),
+b AS (SELECT *, sum(idle::INT) OVER (PARTITION BY u ORDER BY t, event_type ROWS UNBOUNDED PRECEDING) AS span FROM a),
+c AS (SELECT u, span, min(t) FILTER (NOT fin AND (idle OR pause)) AS lasting FROM b GROUP BY u, span),
+d AS (SELECT u, t, fin, event_type, sum((idle OR (pause AND (lasting IS NULL OR t <= lasting)))::INT) OVER (PARTITION BY u ORDER BY t, event_type ROWS UNBOUNDED PRECEDING) AS n FROM b JOIN c USING (u, span))
+SELECT u::VARCHAR AS flow_key, min(t) AS start, max(t) AS last, count(*) AS packets,
+ CASE arg_min(event_type, t) WHEN 'click' THEN 'TCP_FIN' WHEN 'error' THEN 'TCP_RST' ELSE 'TIMEOUT' END AS finish_type FROM d GROUP BY u, n""")
+def flow_table_held(s, d):
+    events = s.read.parquet(f"{d}/events.parquet")
+    flags = F.when(F.col("event_type") == "click", "FIN|ACK").when(F.col("event_type") == "error", "RST").otherwise("ACK")
+    rows = events.select(F.col("user_id").cast("string").alias("flow_key"), F.lit("AB").alias("direction"), F.expr(star.ms("ts")).alias("at"), F.lit(1).cast("long").alias("bytes"), flags.alias("flags"))
+    return flowtable.batch(rows, expire=DAY, hold=DAY // 3).select("flow_key", "start", "last", F.col("ab_packets").alias("packets"), "finish_type")
+
+
+@query("""WITH e AS (SELECT user_id k, (epoch_us(ts)//1000) t, event_type = 'view' AS ask FROM events WHERE event_type IN ('view', 'click')),
+ n AS (SELECT *, coalesce(sum((NOT ask)::INT) OVER (PARTITION BY k ORDER BY t, NOT ask ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS trip FROM e)
+SELECT k::VARCHAR AS flow_key, 1000000*min(t) FILTER (ask) AS asked, 1000000*max(t) FILTER (NOT ask) AS answered, 1000000*(max(t) FILTER (NOT ask) - min(t) FILTER (ask)) AS rtt
+ FROM n GROUP BY k, trip HAVING count(*) FILTER (ask) > 0 AND count(*) FILTER (NOT ask) > 0""")
+def round_trips(s, d):
+    events = s.read.parquet(f"{d}/events.parquet")
+    kind = F.when(F.col("event_type") == "view", flowtable.ECHO[0]).when(F.col("event_type") == "click", flowtable.ECHO_REPLY[0])
+    return flowtable.round_trips(events.select(F.col("user_id").cast("string").alias("flow_key"), F.expr(star.ms("ts")).alias("at"), F.lit("ICMP").alias("protocol"), kind.alias("icmp_type")))
+
+
+@query("""SELECT user_id::VARCHAR AS flow_uuid, (epoch_us(ts)//1000) AS timestamp, row_number() OVER w AS index FROM events WINDOW w AS (PARTITION BY user_id ORDER BY (epoch_us(ts)//1000), event_id) QUALIFY row_number() OVER w <= 10""")
+def packets_captured(s, d):
+    rows = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("flow_uuid"), F.expr(star.ms("ts")).alias("timestamp"), F.col("event_id").alias("index"))
+    return rawpackets.captured(rows)
+
+
 @query("SELECT uuid, CASE WHEN ta IN (1030, 1040) THEN 'ALPHA' WHEN tb=100 THEN 'BETA' WHEN tb=200 THEN 'GAMMA' END AS name FROM flows")
 def application_of_ports(s, d):
     name = flowids.application(F.col("transport.a"), F.col("transport.b"), {1030: "alpha", 1040: "alpha", 100: "beta", 200: "gamma"})
@@ -313,6 +344,14 @@ def mutation_merge(s, d):
     return mutation.merge(log, newer.unionByName(older)).filter("archived_at is null").select("id", "revision")
 
 
+@query(f"SELECT id, 1::BIGINT AS revision, seg AS segment, CASE WHEN nk < 5 THEN {NOW} END AS archived_at FROM nodes WHERE typ='customer' UNION ALL SELECT id, 2, 'ruled', NULL FROM nodes WHERE typ='customer' AND nk < 5")
+def rules_update(s, d):
+    graph = g(s, d)
+    found = graph.V().Has("Type", "customer", "NationKey", Lt(5))
+    log = rules.update(found, NOW, Segment=F.lit("ruled")).filter("metadata.Type = 'customer'")
+    return log.select("id", "revision", F.col("metadata.Segment").alias("segment"), "archived_at")
+
+
 @query("SELECT id, k%3<>0 AS live FROM nodes WHERE typ='host'")
 def mutation_sync(s, d):
     log = g(s, d).nodes.filter("metadata.Type = 'host'")

@@ -85,3 +85,18 @@ def test_topology_ids(spark):
     inner = named(space + "eth0veth")
     got = {r["id"]: r["tid"] for r in topology_ids(Graph(nodes, edges)).collect()}
     assert got == {"h": host, "ns": space, "br": named(host + "u-1ovsbridge"), "i": inner, "j": named(inner + "subdevice"), "f": "f", "k": "fixed"}
+
+
+def test_node_rules(spark):
+    from loomgraph.plans import rules as R
+
+    log = M.added(spark.createDataFrame([("a", ("host", "x", 1)), ("b", ("port", "y", 2))], "id string, metadata struct<Type:string,Name:string,MTU:long>"), 1)
+    declared = spark.createDataFrame([("fabric", "tor", 9), ("fabric", "tor", 7), ("host", "z", 5)], "Type string, Name string, MTU long")
+    once = R.create(log, declared, 10)
+    assert sorted((r["metadata"]["Name"], r["metadata"]["MTU"]) for r in once.filter("origin = 'rules'").collect()) == [("tor", 7), ("z", 5)]
+    assert R.create(once, declared, 20).count() == 4  # the same rules mean the same nodes
+    assert {r["metadata"]["Name"] for r in R.withdraw(once, declared.filter("Name = 'tor'"), 30).filter("archived_at is null").collect()} == {"x", "y", "z"}
+    found = Graph(once, once.limit(0)).V().Has("Type", "host")
+    after = R.update(found, 40, MTU=F.lit(5).cast("long"))
+    assert sorted((r["metadata"]["Name"], *live(after)[r["id"]]) for r in after.filter("archived_at is null").collect()) == [("tor", 1, 7), ("x", 2, 5), ("y", 1, 2), ("z", 1, 5)]
+    assert live(R.clear(found, 50, "MTU"))["a"] == (2, None)
