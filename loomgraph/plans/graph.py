@@ -7,9 +7,10 @@ flows, flow_metrics, raw_packets and sockets are further tables; see ``sources``
 
 from __future__ import annotations
 
+import copy
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
@@ -102,10 +103,16 @@ class Graph:
         length = timeparse.length_ms(duration)
         return self._sliced(Slice(0 if length is None else last - length, last, False))
 
+    def _with(self, **changes) -> "Graph":
+        """A copy with other values; tables that weren't used yet stay functions, and needn't exist."""
+        out = copy.copy(self)
+        out.__dict__.update(changes)
+        return out
+
     def _sliced(self, s: Slice) -> "Graph":
         if self.prune is None:
-            return replace(self, slice=s)
-        return replace(self, slice=s, **{name: (lambda name=name: self.prune(name, s)) for name in ("nodes", "edges", "flows", "flow_metrics")})
+            return self._with(slice=s)
+        return self._with(slice=s, **{name: (lambda name=name: self.prune(name, s)) for name in ("nodes", "edges", "flows", "flow_metrics")})
 
     At = Context
 
@@ -125,7 +132,7 @@ class Graph:
 
     def with_elements(self, nodes: DataFrame, edges: DataFrame) -> "Graph":
         """A graph of just these elements."""
-        return replace(self, nodes=nodes, edges=edges, slice=None, saved=self.saved)
+        return self._with(nodes=nodes, edges=edges, slice=None)
 
     def Elements(self) -> DataFrame:
         """All nodes and edges: kind, id."""

@@ -280,6 +280,28 @@ def test_store_rolls(spark, flows, tmp_path):
     assert len(store.roll("flows", 2)) == 2 and store.read("flows").count() == 2
 
 
+def test_store_rolls_by_rows_and_age(spark, tmp_path):
+    store, day = Store(spark, str(tmp_path / "s")), 86_400_000
+    store.write("flows", spark.createDataFrame([(f"f{i}{j}", i * day, i * day + j) for i in range(5) for j in range(i + 1)], "uuid string, start long, last long"))
+    assert store.roll_age("flows", 4 * day, 5 * day) == ["1970-01-01"] and store.read("flows").count() == 14
+    assert store.roll_rows("flows", 14) == [] and store.roll_rows("flows", 11) == ["1970-01-02", "1970-01-03"]
+    assert store.roll_rows("flows", 1) == ["1970-01-04"] and store.read("flows").count() == 5  # the newest day stays
+
+
+def test_cached_graph_of_a_store(spark, tmp_path):
+    base = "id string, host string, origin string, created_at long, updated_at long, deleted_at long, archived_at long, revision long, metadata struct<Type:string>"
+    day = 86_400_000
+    rows = [("a", "", "", day, day, None, 3 * day, 1, ("old",)), ("a", "", "", day, 3 * day, None, None, 2, ("new",)), ("b", "", "", day, day, 2 * day, 2 * day, 1, ("gone",))]
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("nodes", spark.createDataFrame(rows, base))
+    store.write("edges", spark.createDataFrame([(*rows[1], "a", "a")], base + ", parent string, child string"))
+    g = store.cached_graph()
+    assert ids(g.V()) == ["a"] and g.nodes.is_cached and n(g.E()) == 1
+    assert ids(g.V().Has("Type", "new")) == ["a"] and ids(g.Context(f"-{24}h", now_ms=int(2.5 * day)).V()) == ["a", "b"]
+    g.nodes.unpersist()
+    g.edges.unpersist()
+
+
 def test_sinks_and_helpers(spark, flows):
     text = sinks.dot(flows)
     assert '"a" -> "b"' in text and len(sinks.json_lines(flows.V().df).collect()) == 3
