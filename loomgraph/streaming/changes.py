@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,6 +128,16 @@ def follow(stream: DataFrame, log_path: str, checkpoint: str, *watchers: Subscri
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def timed(spark: SparkSession, graph: Callable[[], Graph], checkpoint: str, *alerts: Alert, every: str = "10 seconds"):
+    """Checks the alerts on a newly read graph every so often, whether or not elements change: results may depend on the time."""
+    def step(batch: DataFrame, epoch: int) -> None:
+        for alert in alerts:
+            alert.check(graph())
+
+    ticks = spark.readStream.format("rate").option("numPartitions", 1).load()
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def _path(spark, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())

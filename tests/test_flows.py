@@ -198,6 +198,19 @@ def test_changes_alerts_and_subscriptions(spark, tmp_path):
     assert ids(old.V()) == ["a"]
 
 
+def test_alerts_by_time(spark, flows, tmp_path):
+    import time
+
+    fired = []
+    alert = changes.Alert("hosts", lambda g: g.V().Has("Type", "host").df.select("id"), lambda name, d: fired.append((name, d.count())))
+    running = changes.timed(spark, lambda: flows, str(tmp_path / "c"), alert, every="1 second")
+    end = time.time() + 60
+    while time.time() < end and len([p for p in running.recentProgress if p["numInputRows"]]) < 3:
+        time.sleep(0.5)
+    running.stop()
+    assert fired == [("hosts", 1)]  # an unchanged result fires once
+
+
 def test_lives_of_an_element(spark):
     """Deleted and added again, an element begins at revision 1: it is live, with a creation time of its own."""
     rows = [("add", "node", "a", None, None, 100, 1, "{}"), ("update", "node", "a", None, None, 150, 2, "{}"), ("delete", "node", "a", None, None, 200, 3, "{}"), ("add", "node", "a", None, None, 300, 1, "{}"),
