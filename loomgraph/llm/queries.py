@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bitpack, chroma, decontaminate, katz, langid, neardup, packing, secrets, shared, suffixdedup, warc
+from loomgraph.llm import bitpack, chroma, decontaminate, katz, langid, neardup, packing, secrets, shared, spelling, suffixdedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,7 +63,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op5_katz_backoff, op6_chroma_fingerprints, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op5_katz_backoff, op6_chroma_fingerprints, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup, op11_spelling_variants)}
 #: Words, lower-cased in A-Z, of each document; distinct runs of three words; pairs that share one; what is reachable over links.
 OP7 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
@@ -91,4 +95,20 @@ kept AS (SELECT k.doc_id, string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER
 SELECT t.doc_id, (len(t.h) // 2)::BIGINT AS n_bytes, coalesce(g.removed, 0)::BIGINT AS n_removed, coalesce(g.n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
 FROM t LEFT JOIN (SELECT doc_id, sum(e - b) AS removed, count(*) AS n FROM s GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept ON kept.doc_id = t.doc_id"""
 
-ORACLES: dict[str, str] = {"op7_minhash_near_dedup": OP7, "op8_warc_bundles": OP8, "op10_suffix_array_dedup": OP10}
+#: CRC-32 of the bytes of '<doc_id>:<run>' by its table of 256 steps; near words are those that share a word with a hole at
+#: one place (replaced), or one of them is the other with a hole closed (inserted, deleted); forms are followed to their end.
+OP11 = """WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_transform(range(8), lambda i: 0::BIGINT), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n::BIGINT)) AS steps),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS h FROM k, t),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM d GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+o AS (SELECT word, n, i, substr(word, 1, i) AS l, substr(word, i + 2) AS r FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b, b.n AS b_n FROM o a JOIN o b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+ UNION SELECT o.word, v.word, v.n FROM o JOIN v ON v.word = o.l || o.r UNION SELECT v.word, o.word, o.n FROM o JOIN v ON v.word = o.l || o.r),
+g AS (SELECT a, count(*)::BIGINT AS n_near, min((-b_n, b)) AS best FROM p GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END::BIGINT AS form_n FROM v LEFT JOIN g ON g.a = v.word),
+c(word, z) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.z WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.z AS root, f.n, f.n_near, f.form_n FROM f JOIN c USING (word) JOIN f e ON e.word = c.z WHERE e.form IS NULL"""
+
+ORACLES: dict[str, str] = {"op7_minhash_near_dedup": OP7, "op8_warc_bundles": OP8, "op10_suffix_array_dedup": OP10, "op11_spelling_variants": OP11}
