@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bitpack, chroma, crosstoken, decontaminate, katz, langid, neardup, packing, secrets, shared, spelling, suffixdedup, warc
+from loomgraph.llm import bitpack, chroma, crosstoken, decontaminate, katz, langid, neardup, packing, quality, secrets, shared, spelling, suffixdedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -72,7 +72,14 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return crosstoken.summary(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op5_katz_backoff, op6_chroma_fingerprints, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup, op11_spelling_variants, op12_cross_tokenizer_alignment)}
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.filter(~quality.in_test()))
+    found = quality.score(docs, model)
+    return found.select("doc_id", quality.in_test().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_language_id, op4_best_fit_packing, op5_katz_backoff, op6_chroma_fingerprints, op7_minhash_near_dedup, op8_warc_bundles, op9_token_ids, op10_suffix_array_dedup, op11_spelling_variants, op12_cross_tokenizer_alignment, op13_quality_classifier)}
 #: Words, lower-cased in A-Z, of each document; distinct runs of three words; pairs that share one; what is reachable over links.
 OP7 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
