@@ -171,3 +171,99 @@ def katz(rows, order=3):
         score = sum(math.log10(p(tuple(padded[i - order + 1 : i]), padded[i])) for i in range(order - 1, len(padded)))
         out[d] = (held, len(w), sum((y,) in c for y in w), n, sum(math.log10((c[(y,)] + 1) / (n + v + 1)) for y in w), score)
     return out, sums
+
+
+# operator 11
+
+
+def spelling(rows):
+    """(word, form, root, n, n_near, form_n) of rows (doc_id, text)."""
+    import collections
+    import re
+    import zlib
+
+    seen = collections.Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            at = h % len(word)
+            seen[word[:at] + word[at + 1 :] if h % 97 == 0 else word] += 1
+    counts = {w: n for w, n in seen.items() if n >= 3 and len(w) >= 5}
+    near = collections.defaultdict(set)
+    for a in counts:
+        for b in counts:
+            if abs(len(a) - len(b)) <= 1 and a != b and one_edit(a, b):
+                near[a].add(b)
+    form = {}
+    for w in counts:
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= 2 * counts[w]:
+            form[w] = best
+    out = []
+    for w in counts:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, counts[w], len(near[w]), counts[form[w]] if w in form else None))
+    return out
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+# operator 12
+
+
+def aligned(texts):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of texts, by trying token against token."""
+    import collections
+    import hashlib
+    from itertools import accumulate
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_tool.encode_special_tokens = True
+    b_tool = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    shown = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
+
+    def one(text):
+        if not text:
+            return None
+        a, b = a_tool.encode(" " + text, add_special_tokens=False).ids, b_tool.encode(text)
+        bytes_a = [bytes(shown[c] for c in a_tool.id_to_token(i)) for i in a]
+        bytes_b = [bytes([int(b_tool.id_to_piece(i)[3:5], 16)]) if b_tool.is_byte(i) else b_tool.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if not b"".join(bytes_a) == b"".join(bytes_b) == (" " + text).encode():
+            return None
+        end_a, end_b = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
+        from_a, from_b = [0, *end_a], [0, *end_b]
+        links, first = [], 0
+        for i in range(len(a)):
+            while end_b[first] <= from_a[i]:
+                first += 1
+            j = first
+            while j < len(b) and from_b[j] < end_a[i]:
+                links.append((a[i], b[j]))
+                j += 1
+        groups, last = [], 0
+        for cut in sorted(set(end_a) & set(end_b)):
+            part = [",".join(str(x) for x, e in zip(ids, ends) if last < e <= cut) for ids, ends in ((a, end_a), (b, end_b))] if len(a) < 500 else None
+            groups.append("|".join(part) if part else None)
+            last = cut
+        told = hashlib.sha256(";".join(groups).encode()).hexdigest() if len(a) < 500 else None
+        return len(a), len(b), len(groups), links, told
+
+    rows = [one(t) for t in texts]
+    count = collections.Counter(x for r in rows if r for x in r[3])
+    most = collections.defaultdict(int)
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    return [(0, 0, 0, 0, 0, 0, "") if r is None else (*r[:3], len(r[3]), sum(count[x] == most[x[1]] for x in r[3]), sum(count[x] for x in r[3]), r[4]) for r in rows]
