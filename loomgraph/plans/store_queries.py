@@ -23,7 +23,7 @@ log AS (SELECT id, t AS created, t AS updated, NULL::BIGINT AS deleted, t+{30 *
 
 
 def _changed(s, d) -> History:
-    history = History(s, scratch(s, "orders"))
+    history = History(s, scratch(s, "orders"), folder_days=256)
     log = star.history(s, d).nodes
     history.put(log.filter("revision = 1").withColumn("archived_at", F.lit(None).cast("long")))
     history.put(log.filter("revision = 2"))  # closes the first revisions
