@@ -506,4 +506,4 @@ def flow_table_batch(s, d):
     return flowtable.batch(flowtable.packets_of_events(s.read.parquet(f"{d}/events.parquet"))).select("flow_key", "start", "last", "ab_packets", "ab_bytes", "ba_packets", "ba_bytes")
 
 
-from loomgraph.plans import more_queries, store_queries  # noqa: E402,F401  add to QUERIES and ORACLES
+from loomgraph.plans import more_queries, packet_queries, store_queries  # noqa: E402,F401  add to QUERIES and ORACLES

@@ -182,3 +182,47 @@ def history(spark: SparkSession, sf_dir: str) -> Graph:
     one = _elements(rows, id, at, _meta(Type="'order'", Key="o_orderkey", Status="'NEW'"), archived=later)
     two = _elements(rows, id, at, _meta(Type="'order'", Key="o_orderkey", Status="o_orderstatus"), updated=later, revision=2)
     return Graph(one.unionByName(two), lambda: edges(spark, sf_dir))
+
+
+def tunnelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw packets (timestamp, data, link_type): each line item sends one inside a tunnel of its kind, and large ones get a reply a second later.
+
+    By the line's number modulo 5: no tunnel, VXLAN, GRE with a key, MPLS in GRE, Geneve.  Tunnels run from the supplier's to the part's address,
+    what they carry from the order's address to 10.99.0.1, with the line's number as source port.
+    """
+    word = lambda n: f"lpad(hex({n}), 4, '0')"
+    address = lambda net, key: f"concat('0A', {net}, {word(f'{key} % 65536')})"
+    order = "concat('0A', lpad(hex(l_orderkey % 16777216), 6, '0'))"
+    ip4 = lambda protocol, a, b: f"concat('450000000000000040', '{protocol}', '0000', {a}, {b})"
+
+    def packet(forth: bool) -> str:
+        ends = (lambda a, b: (a, b)) if forth else (lambda a, b: (b, a))
+        ethernet = ", ".join(ends("'020000000001'", "'020000000002'")) + ", '0800'"
+        carried = ip4("06", *ends(order, "'0A630001'")) + ", " + ", ".join(ends(word("l_linenumber + 1024"), "'0050'")) + ", '00000001', '00000000', '5010', '000000000000'"
+        outer = lambda protocol: ip4(protocol, *ends(address("'C8'", "l_suppkey"), address("'C9'", "l_partkey")))
+        udp = lambda port: ", ".join(ends("'C350'", f"'{port}'")) + ", '00000000'"
+        vni = "lpad(hex(l_suppkey % 65536), 6, '0')"
+        kinds = [
+            f"concat({ethernet}, {carried})",
+            f"concat({ethernet}, {outer('11')}, {udp('12B5')}, '08000000', {vni}, '00', {ethernet}, {carried})",
+            f"concat({ethernet}, {outer('2F')}, '20000800', lpad(hex(l_suppkey), 8, '0'), {carried})",
+            f"concat({ethernet}, {outer('2F')}, '00008847', '00005140', {carried})",
+            f"concat({ethernet}, {outer('11')}, {udp('17C1')}, '00006558', {vni}, '00', {ethernet}, {carried})",
+        ]
+        return "unhex(case l_linenumber % 5 " + " ".join(f"when {i} then {k}" for i, k in enumerate(kinds)) + " end)"
+
+    rows = _table(spark, sf_dir, "lineitem")
+    at = ms("l_shipdate")
+    there = rows.selectExpr(f"{at} as timestamp", f"{packet(True)} as data", "1 as link_type")
+    return there.unionByName(rows.filter("l_quantity >= 25").selectExpr(f"{at} + 1000 as timestamp", f"{packet(False)} as data", "1 as link_type"))
+
+
+def fragmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw packets: a UDP datagram of each order from its customer, with a fragment of 16 bytes for each line; lines 3 come twice, urgent orders lose line 2."""
+    rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders").selectExpr("o_orderkey as l_orderkey", "o_custkey", "o_orderpriority", f"{ms('o_orderdate')} as at"), "l_orderkey")
+    rows = rows.withColumn("last", F.max("l_linenumber").over(W.partitionBy("l_orderkey"))).filter("not (l_linenumber = 2 and o_orderpriority = '1-URGENT')")
+    word = lambda n: f"lpad(hex({n}), 4, '0')"
+    bits = "(if(l_linenumber < last, 8192, 0) + (l_linenumber - 1) * 2)"
+    data = f"unhex(concat('0200000000010200000000020800', '45000024', {word('l_orderkey % 65536')}, {word(bits)}, '4011', '0000', '0A05', {word('o_custkey % 65536')}, '0A060001', repeat('AB', 16)))"
+    twice = rows.withColumn("copy", F.explode(F.when(F.col("l_linenumber") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return twice.selectExpr("at + l_linenumber + 10 * copy as timestamp", f"{data} as data", "1 as link_type")
