@@ -28,6 +28,12 @@ SLICE, MOST = 30, 10_000
 #: Node fields that hold interface metrics.
 NODE_FIELDS = ["LastUpdateMetric", "SFlow.LastUpdateMetric", "Ovs.LastUpdateMetric"]
 
+#: Counters of an interface metric.
+INTERFACE_COUNTERS = [
+    "Collisions", "Multicast", "RxBytes", "RxCompressed", "RxCrcErrors", "RxDropped", "RxErrors", "RxFifoErrors", "RxFrameErrors", "RxLengthErrors", "RxMissedErrors", "RxOverErrors", "RxPackets",
+    "TxAbortedErrors", "TxBytes", "TxCarrierErrors", "TxCompressed", "TxDropped", "TxErrors", "TxFifoErrors", "TxHeartbeatErrors", "TxPackets", "TxWindowErrors",
+]
+
 
 @dataclass
 class Metrics:
@@ -117,6 +123,15 @@ def of_nodes(nodes: "Nodes", field: str) -> Metrics:
     if field not in NODE_FIELDS and field not in [f.split(".")[0] for f in NODE_FIELDS]:
         raise ValueError(f"nodes have no metric {field}")
     found = nodes.fields.find(field if field in NODE_FIELDS else f"{field}.LastUpdateMetric")
+    if found is not None and isinstance(found[1], T.VariantType):  # open metadata: of the known counters those that a node lacks are 0
+        counters = INTERFACE_COUNTERS
+        read = F.try_variant_get(found[0], "$", "map<string,bigint>")
+        value = lambda name: F.try_element_at(F.col("_m"), F.lit(name))
+        points = nodes.df.select(F.col("id").alias("key"), read.alias("_m")).filter("_m is not null")
+        points = points.select("key", value("Start").alias("start"), value("Last").alias("last"), *[F.coalesce(value(c), F.lit(0)).alias(c) for c in counters]).dropDuplicates(["key", "start"])
+        if nodes.graph.slice is not None:
+            points = points.filter((F.col("start") > nodes.graph.slice.start) & (F.col("last") < nodes.graph.slice.last))
+        return Metrics(nodes.graph, points, counters)
     if found is None or not isinstance(found[1], T.StructType):
         raise KeyError(f"nodes have no metric {field}")
     column, kind = found

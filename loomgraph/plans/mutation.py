@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions import edits
 from loomgraph.functions.flowids import uuid5
 from loomgraph.plans.graph import Graph
 
@@ -73,6 +74,15 @@ def with_fields(metadata: str, **fields: Column) -> Column:
     return out
 
 
+def edit(log: DataFrame, ids: DataFrame, now: int, *ops: tuple) -> DataFrame:
+    """The log after edits (see ``functions.edits``) of the VARIANT metadata of live elements *ids* (column id); values may be Columns of the log.
+
+    All edits of a call are one revision, and none where they change nothing.
+    """
+    live = log.filter("archived_at is null").join(ids.select("id").distinct(), "id", "left_semi")
+    return update(log, edits.applied(live, "metadata", *ops).select("id", "metadata"), now)
+
+
 def delete(log: DataFrame, ids: DataFrame, now: int) -> DataFrame:
     """Closes the live rows of *ids* (column id)."""
     at = F.lit(now).cast("bigint")

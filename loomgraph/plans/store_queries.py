@@ -52,3 +52,18 @@ def store_at(s, d):
     base = star.graph(s, d)
     base.nodes, base.prune = history.live(), lambda table, slice_: history.slice(slice_.start, slice_.last)
     return base.Context(POINT).V().df.select("id", "revision")
+
+
+@query(f"""SELECT id, 2::BIGINT AS revision, CASE WHEN siz >= 25 THEN '{{"Large":true,"Size":'||siz||'}}' ELSE '{{"Size":'||siz||'}}' END AS box, 1::BIGINT AS tags, false AS branded FROM nodes WHERE typ='part'
+UNION ALL SELECT id, 1, NULL, NULL, NULL FROM nodes WHERE typ<>'part'""")
+def metadata_edits(s, d):
+    """Parts of a graph with open metadata get a box and a tag and lose their brand; large ones are marked in a second set of edits of the same revision time."""
+    log = star.graph(s, d).nodes.withColumn("metadata", F.parse_json(F.to_json("metadata")))
+    parts = log.filter("try_variant_get(metadata, '$.Type', 'string') = 'part'")
+    size = F.expr("try_variant_get(metadata, '$.Size', 'bigint')")
+    mark = F.when(size >= 25, True)
+    log = mutation.edit(log, parts, NOW, ("set", "Box.Size", size), ("set", "Box.Large", mark), ("append", "Tags", "boxed"), ("delete", "Brand"))
+    get = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    box = F.map_filter(get("$.Box", "map<string,string>"), lambda k, v: v.isNotNull())
+    text = F.when(box.isNotNull(), F.concat(F.lit("{"), F.when(F.map_contains_key(box, "Large"), F.lit('"Large":true,')).otherwise(""), F.lit('"Size":'), F.try_element_at(box, F.lit("Size")), F.lit("}")))
+    return log.filter("archived_at is null").select("id", "revision", text.alias("box"), F.size(get("$.Tags", "array<variant>")).cast("long").alias("tags"), F.when(text.isNotNull(), get("$.Brand", "string").isNotNull()).alias("branded"))
