@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,8 +58,12 @@ class Metrics:
             return self.df.agg(F.coalesce(F.sum(name), F.lit(0)).alias("sum"))
         return self.df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in self.counters], F.min("start").alias("start"), F.max("last").alias("last"))
 
-    def Aggregates(self, seconds: int = SLICE) -> "Metrics":
-        """One series ``Aggregated`` with a point for each bucket that a point fell into."""
+    def Aggregates(self, seconds: int = SLICE, ordered: bool = False) -> "Metrics":
+        """One series ``Aggregated`` with a point for each bucket that a point fell into.
+
+        Points of one series that overlap are added, each over its own buckets.  With *ordered* a series is folded one point after
+        another, as :func:`folded` says: what lies before the bucket that the points before have reached is lost.
+        """
         length = seconds * 1000
         if self.graph.slice is not None:
             first, last = self.graph.slice.start, self.graph.slice.last
@@ -69,7 +74,62 @@ class Metrics:
         steps = -(-(last - first) // length)
         if steps > MOST:
             raise ValueError(f"more than {MOST} buckets")
-        return Metrics(self.graph, bucketed(self.df, self.counters, first, last, length, steps), self.counters)
+        return Metrics(self.graph, (folded if ordered else bucketed)(self.df, self.counters, first, last, length, steps), self.counters)
+
+
+def folded(points: DataFrame, counters: list[str], first: int, last: int, length: int, steps: int) -> DataFrame:
+    """The rows of :func:`bucketed`, by an ordered fold of each series (by start, last, counters).
+
+    A series has a bucket that it has reached.  Of a point what lies before that bucket is dropped; its part inside is counted, and the bucket moves on
+    with what is left.  A point that lies wholly before the bucket, or counts nothing, ends its series.  Where a part is cut off to zero in
+    the bucket where it begins, the whole rest counts there.
+
+    Series are sorted inside the partitions of a shuffle by key, and read as a stream that carries the bucket from row to row: a long series takes
+    time of one task, but no memory.  Sums of a batch's buckets go on, and are added up with partial sums.
+    """
+    n = len(counters)
+
+    def split(v: list[int], s: int, e: int, cut: int):
+        """The parts (counters, start, last) before and after a time."""
+        if cut <= s:
+            return None, (v, s, e)
+        if cut >= e or s == e:
+            return (v, s, e), None
+        part = [int(float(x) * (float(cut - s) / float(e - s))) for x in v]
+        return (part, s, cut), ([x - y for x, y in zip(v, part)], cut, e)
+
+    def run(frames):
+        key, j = None, 0
+        for frame in frames:
+            sums: dict[int, list[int]] = {}
+            for k, s, e, *v in frame.itertuples(index=False, name=None):
+                if k != key:
+                    key, j = k, 0
+                rest = (v, s, e)
+                while rest is not None and j < steps:
+                    low = first + j * length
+                    high = min(low + length, last)
+                    own = rest
+                    _, here = split(*own, low)
+                    if here is None or not any(here[0]):
+                        j = steps  # no later bucket can take it
+                        break
+                    part, after = split(*here, high)
+                    if part is None:
+                        j = max(j + 1, min((here[1] - first) // length, steps))
+                        continue
+                    if not any(part[0]) and low <= own[1] < high:
+                        part, after = own, None
+                    held = sums.setdefault(j, [0] * n)
+                    for i, x in enumerate(part[0]):
+                        held[i] += x
+                    rest = after if after is not None and any(after[0]) else None
+            yield pd.DataFrame([(i, *held) for i, held in sums.items()], columns=["i", *counters])
+
+    rows = points.filter("start is not null and last is not null").select("key", F.col("start").cast("long"), F.col("last").cast("long"), *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counters])
+    parts = rows.repartition("key").sortWithinPartitions("key", "start", "last", *counters).mapInPandas(run, "i long, " + ", ".join(f"`{c}` long" for c in counters))
+    out = parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in counters])
+    return out.select(F.lit("Aggregated").alias("key"), (first + F.col("i") * length).alias("start"), F.least(first + (F.col("i") + 1) * length, F.lit(max(last, first + length))).alias("last"), *counters)
 
 
 def bucketed(points: DataFrame, counters: list[str], first: int, last: int, length: int, steps: int) -> DataFrame:
