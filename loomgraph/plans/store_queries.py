@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.plans import mutation
+from loomgraph.plans import mutation, topology
 from loomgraph.plans.queries import query
 from loomgraph.sources import star
 from loomgraph.sources.history import History
@@ -67,3 +67,21 @@ def metadata_edits(s, d):
     box = F.map_filter(get("$.Box", "map<string,string>"), lambda k, v: v.isNotNull())
     text = F.when(box.isNotNull(), F.concat(F.lit("{"), F.when(F.map_contains_key(box, "Large"), F.lit('"Large":true,')).otherwise(""), F.lit('"Size":'), F.try_element_at(box, F.lit("Size")), F.lit("}")))
     return log.filter("archived_at is null").select("id", "revision", text.alias("box"), F.size(get("$.Tags", "array<variant>")).cast("long").alias("tags"), F.when(text.isNotNull(), get("$.Brand", "string").isNotNull()).alias("branded"))
+
+
+def _uuid5(text: str, rows: str) -> str:
+    """SQL that gives (id, tid, typ, nam) with tid as the name-based UUID (version 5) of a text of *rows*."""
+    h = f"sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode({text}))"
+    return f"SELECT id, substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||substr('89ab', (('0x'||substr(h,17,1))::INT & 3) + 1, 1)||substr(h,18,3)||'-'||substr(h,21,12) AS tid FROM (SELECT *, {h} AS h FROM {rows})"
+
+
+#: Regions are given ids; what they own is named by its owner's id, its name and its type, down to the customers.
+@query(f"""WITH top AS (SELECT id, 'root/'||id AS tid FROM nodes WHERE typ='region'),
+ second AS ({_uuid5("owner || nam || typ", "(SELECT nodes.id, nam, typ, top.tid AS owner FROM nodes JOIN edges ON child = nodes.id JOIN top ON top.id = parent WHERE typ = 'nation')")}),
+ third AS ({_uuid5("owner || nam || typ", "(SELECT nodes.id, nam, typ, second.tid AS owner FROM nodes JOIN edges ON child = nodes.id JOIN second ON second.id = parent WHERE typ = 'customer')")})
+SELECT * FROM top UNION ALL SELECT * FROM second UNION ALL SELECT * FROM third UNION ALL SELECT id, tid FROM nodes WHERE typ='host'""")
+def topology_ids_owned(s, d):
+    graph = star.graph(s, d)
+    root = F.when(F.col("metadata.Type") == "region", F.concat(F.lit("root/"), F.col("id"))).otherwise(F.col("metadata.TID"))
+    graph.nodes = graph.nodes.withColumn("metadata", F.col("metadata").withField("TID", root))
+    return topology.topology_ids(graph)
