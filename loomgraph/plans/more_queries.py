@@ -9,7 +9,8 @@ from loomgraph.functions.predicates import Gt, Lt, Nee, Outside, metadata
 from loomgraph.operators import linkers, metrics, rawpackets
 from loomgraph.plans import mutation, rules, topology, workflows
 from loomgraph.plans.queries import g, ids, query
-from loomgraph.sources import star
+from loomgraph.sources import pcap, star
+from loomgraph.sources.store import scratch
 from loomgraph.streaming import changes, flowtable
 
 DAY = 86_400_000
@@ -227,11 +228,26 @@ def packets_decoded(s, d):
     return packets.decoded(star.with_packets(s, d).raw_packets).select(F.col("flow_uuid").alias("uuid"), "network_a", "network_b", "protocol", "transport_a", "transport_b")
 
 
-@query("""WITH p AS (SELECT least(na,nb) a, greatest(na,nb) b, na <= nb AS f, proto, CASE WHEN na<=nb THEN ta ELSE tb END pa, CASE WHEN na<=nb THEN tb ELSE ta END pb, s FROM flows)
-SELECT a||'/'||b||'/'||proto||'/'||pa||'/'||pb AS flow_key, sum(f::INT)::BIGINT AS ab_packets, sum(1-f::INT)::BIGINT AS ba_packets FROM p GROUP BY 1""")
+#: Packets of each flow by direction.
+OF_PACKETS = """WITH p AS (SELECT least(na,nb) a, greatest(na,nb) b, na <= nb AS f, proto, CASE WHEN na<=nb THEN ta ELSE tb END pa, CASE WHEN na<=nb THEN tb ELSE ta END pb, s FROM flows)
+SELECT a||'/'||b||'/'||proto||'/'||pa||'/'||pb AS flow_key, sum(f::INT)::BIGINT AS ab_packets, sum(1-f::INT)::BIGINT AS ba_packets FROM p GROUP BY 1"""
+
+
+@query(OF_PACKETS)
 def flow_table_of_packets(s, d):
-    rows = packets.rows(star.with_packets(s, d).raw_packets, mode="L3")
-    return flowtable.batch(rows).groupBy("flow_key").agg(F.sum("ab_packets").alias("ab_packets"), F.sum("ba_packets").alias("ba_packets"))
+    return _by_direction(star.with_packets(s, d).raw_packets)
+
+
+def _by_direction(raw):
+    return flowtable.batch(packets.rows(raw, mode="L3")).groupBy("flow_key").agg(F.sum("ab_packets").alias("ab_packets"), F.sum("ba_packets").alias("ba_packets"))
+
+
+@query(OF_PACKETS)
+def flow_table_of_captures(s, d):
+    """The same packets written to capture files and replayed from them."""
+    folder = scratch(s, "captures")
+    pcap.save(star.with_packets(s, d).raw_packets, folder)
+    return _by_direction(pcap.read(s, folder))
 
 
 EVENTS = """e AS (SELECT user_id::VARCHAR k, (epoch_us(ts)//1000) t, CAST(round(value*100) AS BIGINT) v, event_type IN ('view','click') ab,

@@ -254,7 +254,6 @@ def save(raw: DataFrame, folder: str, link_type: int = 1, size: int = FILE) -> D
     def run(batches):
         part, n, out, count, have = TaskContext.get().partitionId(), 0, None, 0, 0
         where, top = _place(folder)
-        where.create_dir(top, recursive=True)
 
         def moved() -> pa.RecordBatch:
             out.close()
@@ -277,6 +276,8 @@ def save(raw: DataFrame, folder: str, link_type: int = 1, size: int = FILE) -> D
         if out is not None:
             yield moved()
 
+    where, top = _place(folder)
+    where.create_dir(top, recursive=True)  # there is a folder to read even if there are no packets
     path = scratch(raw.sparkSession, "capture-files")
     _rows(raw, link_type).mapInArrow(run, "path string, packets long, length long").write.parquet(path)
     return raw.sparkSession.read.schema("path string, packets long, length long").parquet(path)
