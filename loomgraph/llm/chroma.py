@@ -4,11 +4,13 @@ A recording is a row of 8-bit samples at 8 kHz.  Frames of FRAME samples every H
 octaves of twelve pitches; a frame's pitch classes are smoothed over five frames and scaled to whole numbers.
 Sixteen filters over an integral image of 16 frames give two bits each (Gray code), one packed integer for each
 place.  Everything before the thresholds is whole or done element by element, so equal samples give equal integers.
+A recording of fewer than LEAST samples is played over and over until it has LEAST, so each one that isn't empty has VOTES integers.
 
 Two recordings match at an offset where at least VOTES of their integers are equal, the overlap is at least half
 of the shorter one, and on average no more than ERRORS of 32 bits differ in the overlap.  Every offset with so many
-votes is checked.  Groups are the components of the matches; recordings with equal integers are one from the start,
-those with fewer than VOTES integers match only so, and those too short for one integer stand alone.
+votes is checked.  Groups are the components of the matches; recordings with equal integers are one from the start, and empty
+ones stand alone.  Each recording of a group is aligned with another one of it: by the confirmed match that has the fewest bit
+errors for its overlap, at the best of the match's offsets.
 
 A first pass votes only with each value's smallest and largest recording; what it confirms is a match, and united
 recordings leave the quadratic part.  The second pass votes with all pairs of recordings of different groups that
@@ -34,6 +36,8 @@ LOWEST, SMOOTH = 440.0, (1, 3, 4, 3, 1)
 #: A frame's pitch classes add up to about this.
 SCALE = 12_000
 VOTES, ERRORS = 4, 5
+#: Samples of VOTES integers.
+LEAST = FRAME + HOP * (len(SMOOTH) - 1 + WIDTH - 1 + VOTES - 1)
 #: Occurrences of a value in a block.
 BLOCK = 1000
 #: Frames that are in memory as numbers at once.
@@ -122,7 +126,9 @@ def ratios(image: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """The packed integers of one recording."""
+    """The packed integers of one recording; a short one is repeated."""
+    if 0 < len(samples) < LEAST:
+        samples = np.resize(samples, LEAST)
     image = chroma(pitches(samples))
     if len(image) < WIDTH:
         return np.zeros(0, np.int32)
@@ -155,22 +161,37 @@ def errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return high - low, int(np.bitwise_count(a[low:high].view(np.uint32) ^ b[low + offset : high + offset].view(np.uint32)).sum())
 
 
+def best(a: np.ndarray, b: np.ndarray, offsets: list[int]) -> tuple[int, int, int] | None:
+    """Of the offsets with few enough bit errors the one with the fewest for its overlap, with overlap and bit errors."""
+    found = ((x, *errors(a, b, x)) for x in offsets)
+    fit = [(x, overlap, bits) for x, overlap, bits in found if 2 * overlap >= min(len(a), len(b)) and bits <= ERRORS * overlap]
+    return min(fit, key=lambda f: (f[2] / f[1], -f[1], abs(f[0]), f[0]), default=None)
+
+
 def confirmed(votes: DataFrame, known: DataFrame) -> DataFrame:
-    """The (a, b) of votes (a, b, shift) whose bit errors are few enough at one of the offsets; integers are joined once for each pair."""
+    """Rows (a, b, shift, overlap, bits) of the votes (a, b, shift) with a match, at its best offset; integers are joined once for each pair."""
 
     def run(batches):
         for batch in batches:
-            keep = []
             ours, theirs = batch.column(3), batch.column(4)
-            for i, offsets in enumerate(batch.column(2).to_pylist()):
-                a, b = ours[i].values.to_numpy(), theirs[i].values.to_numpy()
-                found = (errors(a, b, x) for x in offsets)
-                keep.append(any(2 * overlap >= min(len(a), len(b)) and bits <= ERRORS * overlap for overlap, bits in found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = [best(ours[i].values.to_numpy(), theirs[i].values.to_numpy(), offsets) for i, offsets in enumerate(batch.column(2).to_pylist())]
+            keep = pa.array([f is not None for f in found], pa.bool_())
+            told = list(zip(*(f for f in found if f is not None))) or [[]] * 3
+            columns = [batch.column(0).filter(keep), batch.column(1).filter(keep), *(pa.array(x, pa.int32()) for x in told)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shift", "overlap", "bits"])
 
     side = lambda n, items: known.select(F.col("print").alias(n), F.col("items").alias(items))
     rows = votes.groupBy("a", "b").agg(F.collect_list("shift").alias("shifts")).join(side("a", "_a"), "a").join(side("b", "_b"), "b")
-    return rows.select("a", "b", "shifts", "_a", "_b").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "shifts", "_a", "_b").mapInArrow(run, "a long, b long, shift int, overlap int, bits int")
+
+
+def aligned(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (print, best_with, best_shift, best_overlap, best_bits): each print's best link; place p lies over place p + shift of the other."""
+    ends = F.array(F.struct(F.col("a").alias("print"), F.col("b").alias("other"), F.col("shift").alias("at")), F.struct(F.col("b").alias("print"), F.col("a").alias("other"), (-F.col("shift")).alias("at")))
+    rows = links.select(F.explode(ends).alias("e"), "overlap", "bits").select("e.print", F.struct((F.col("bits") / F.col("overlap")).alias("rate"), (-F.col("overlap")).alias("short"), "e.other", "e.at", "overlap", "bits").alias("x"))
+    one = rows.groupBy("print").agg(F.min("x").alias("x"))
+    other = known.select(F.col("print").alias("other"), F.col("least").alias("best_with"))
+    return one.select("print", "x.other", F.col("x.at").alias("best_shift"), F.col("x.overlap").alias("best_overlap"), F.col("x.bits").alias("best_bits")).join(other, "other").drop("other")
 
 
 def runs(known: DataFrame) -> DataFrame:
@@ -216,11 +237,15 @@ def crossing(posts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def groups(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each recording: its number of integers, the group's smallest doc_id, and the recordings in the group."""
+    """A row for each recording: its number of integers, the group's smallest doc_id, the recordings in the group, and its alignment.
+
+    The alignment is the doc_id of another recording of the group (aligned_with), and the shift in places, the overlap and the bit errors
+    with it; null for a recording without others.  Copies with equal integers are aligned with the smallest doc_id of them, and that one, if nothing else matches, with the largest.
+    """
     spark = recordings.sparkSession
     shared.tune(spark)
     rows = shared.written(prints(recordings).select("doc_id", F.size("items").alias("n_items"), F.when(F.size("items") > 0, F.xxhash64("items")).alias("print"), "items"), "prints")
-    known = rows.filter("n_items > 0").groupBy("print").agg(F.first("items").alias("items"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    known = rows.filter("n_items > 0").groupBy("print").agg(F.first("items").alias("items"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("copies"))
     known = shared.written(known, "distinct-prints")
     posts = runs(known)
     links = shared.written(confirmed(stars(posts), known), "links")
@@ -229,9 +254,16 @@ def groups(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
     rooted = posts.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     more = shared.written(confirmed(crossing(rooted, block), known), "links")
     shared.release(spark)
-    roots = components.connected(links.unionByName(more))
+    links = links.unionByName(more)
+    roots = components.connected(links)
     of = known.drop("items").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     whole = of.groupBy("root").agg(F.min("least").alias("group_id"), F.sum("copies").alias("recordings"))
-    of = shared.written(of.join(whole, "root").select("print", "group_id", "recordings"), "print-groups")
-    out = rows.filter("n_items > 0").join(of, "print").select("doc_id", "n_items", "group_id", "recordings")
-    return out.unionByName(rows.filter("n_items = 0").select("doc_id", "n_items", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("recordings")))
+    of = of.join(whole, "root").select("print", "least", "most", "copies", "group_id", "recordings").join(aligned(links, known), "print", "left")
+    of = shared.written(of, "print-groups")
+    first = F.col("doc_id").eqNullSafe(F.col("least"))
+    copy = ~first | (F.col("copies") > 1) & F.col("best_shift").isNull()
+    told = {"aligned_with": ("best_with", F.when(first, F.col("most")).otherwise(F.col("least"))), "shift": ("best_shift", F.lit(0)), "overlap": ("best_overlap", F.col("n_items")), "bit_errors": ("best_bits", F.lit(0))}
+    told = [F.when(copy, same).otherwise(F.col(match)).alias(name) for name, (match, same) in told.items()]
+    out = rows.filter("n_items > 0").join(of, "print").select("doc_id", "n_items", "group_id", "recordings", *told)
+    alone = rows.filter("n_items = 0").select("doc_id", "n_items", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("recordings"))
+    return out.unionByName(alone, allowMissingColumns=True)

@@ -14,6 +14,8 @@ DIR = "/root/testdata/sf0.001"
 
 
 def plain_fingerprint(samples):
+    """Recordings of fewer than 1,664 samples are repeated."""
+    samples = [samples[k % len(samples)] for k in range(max(1664, len(samples)))] if samples else samples
     table = chroma.TABLES.astype(int).tolist()
     energy = []
     for at in range(0, len(samples) - chroma.FRAME + 1, chroma.HOP):
@@ -77,6 +79,33 @@ def plain_groups(rows):
     return sorted(map(str, out))
 
 
+def check_alignments(got, recordings):
+    """Each alignment is a match of two recordings of a group, at the best of all offsets with votes enough; all recordings with others have one."""
+    items = {}
+    for d, s in recordings:
+        items.setdefault(d, []).append(chroma.fingerprint(np.frombuffer(s or b"", np.uint8)).tolist())
+    group = {(r["doc_id"], r["n_items"]): r["group_id"] for r in got}
+    for r in got:
+        if r["recordings"] == 1 or r["aligned_with"] is None:
+            assert r["aligned_with"] is r["shift"] is r["overlap"] is r["bit_errors"] is None
+            assert r["recordings"] == 1
+            continue
+        seen = set()
+        for a in (x for x in items[r["doc_id"]] if len(x) == r["n_items"]):
+            for b in items[r["aligned_with"]]:
+                fit = []
+                for shift, n in Counter(q - p for p, u in enumerate(a) for q, v in enumerate(b) if u == v).items():
+                    over = [(p, p + shift) for p in range(len(a)) if 0 <= p + shift < len(b)]
+                    bits = sum(((a[p] ^ b[q]) & 0xFFFFFFFF).bit_count() for p, q in over)
+                    if n >= chroma.VOTES and len(over) * 2 >= min(len(a), len(b)) and bits <= chroma.ERRORS * len(over):
+                        fit.append((bits / len(over), -len(over), abs(shift), shift, bits))
+                if fit:
+                    least = min(fit)[:3]
+                    seen |= {(x[3], -x[1], x[4]) for x in fit if x[:3] == least}
+        assert (r["shift"], r["overlap"], r["bit_errors"]) in seen
+        assert r["group_id"] in {g for (d, _), g in group.items() if d == r["aligned_with"]}
+
+
 def melody(rng, seconds):
     t = np.arange(2000)
     return np.concatenate([np.rint(128 + 90 * np.sin(2 * math.pi * t * rng.uniform(440, 3000) / chroma.RATE)) for _ in range(seconds * 4)]).astype(np.uint8)
@@ -86,11 +115,11 @@ def melody(rng, seconds):
 def recordings():
     rng, noise = random.Random(6), np.random.default_rng(6)
     songs = [melody(rng, 2) for _ in range(4)]
-    rows = [(i, s.tobytes()) for i, s in enumerate(songs)]
+    rows, short = [(i, s.tobytes()) for i, s in enumerate(songs)], songs[3][:1280].tobytes()
     rows += [(10 + i, np.clip(s + noise.integers(-3, 4, len(s)), 0, 255).astype(np.uint8).tobytes()) for i, s in enumerate(songs)]  # near copies
     rows += [(20, songs[0][64 * 40 :].tobytes()), (21, songs[1][: 64 * 150].tobytes()), (22, np.concatenate([songs[2], songs[3]]).tobytes())]  # parts and joins
     rows += [(30 + i, np.clip(songs[0] + noise.integers(-2, 3, len(songs[0])), 0, 255).astype(np.uint8).tobytes()) for i in range(12)]  # one large group
-    return rows + [(50, rows[0][1]), (50, rows[1][1]), (None, rows[1][1]), (None, noise.bytes(9000)), (51, None), (52, b""), (53, noise.bytes(1471)), (54, noise.bytes(1472)), (55, bytes(3000)), (56, bytes(6000))]
+    return rows + [(50, rows[0][1]), (50, rows[1][1]), (None, rows[1][1]), (None, noise.bytes(9000)), (51, None), (52, b""), (53, noise.bytes(1471)), (54, noise.bytes(1472)), (55, bytes(3000)), (56, bytes(6000)), *((k, short) for k in (60, 61, 61, None)), (62, b"a"), (63, b"a"), (64, b"abc")]
 
 
 def test_integers():
@@ -98,14 +127,20 @@ def test_integers():
     texts = ["some words of a text that is long enough, or so " * 40]
     for s in (rng.bytes(1471), rng.bytes(1472), rng.bytes(2100), bytes(1600), texts[0].encode(), melody(random.Random(2), 1).tobytes()[:3000]):
         assert chroma.fingerprint(np.frombuffer(s, np.uint8)).tolist() == plain_fingerprint(s)
-    assert len(plain_fingerprint(rng.bytes(1472))) == 1
+    for n in (1, 2, 50, 256, 1663, 1664):
+        s = rng.bytes(n)
+        assert chroma.fingerprint(np.frombuffer(s, np.uint8)).tolist() == plain_fingerprint(s) and len(plain_fingerprint(s)) == chroma.VOTES
+    assert plain_fingerprint(b"") == chroma.fingerprint(np.zeros(0, np.uint8)).tolist() == []
 
 
 @pytest.mark.parametrize("block", [2, chroma.BLOCK])
 def test_groups_of_recordings(spark, recordings, block):
     frame = spark.createDataFrame(recordings, "doc_id long, samples binary")
     expected = plain_groups([(d, chroma.fingerprint(np.frombuffer(s or b"", np.uint8)).tolist()) for d, s in recordings])
-    assert sorted(str(tuple(r)) for r in chroma.groups(frame, block).collect()) == expected
+    got = chroma.groups(frame, block).collect()
+    assert sorted(str(tuple(r)[:4]) for r in got) == expected
+    check_alignments(got, recordings)
+    assert {(r["group_id"], r["recordings"]) for r in got if r["doc_id"] in (60, 61)} == {(60, 4)} and any(r["shift"] not in (None, 0) and r["bit_errors"] for r in got)
     sizes = Counter(x.split(", ", 2)[2] for x in expected)
     assert max(sizes.values()) >= 14 and len(sizes) > 4
 
@@ -119,12 +154,15 @@ def test_pairs_that_no_star_proposes(spark):
     frame = spark.createDataFrame(list(known.items()), "print long, items array<int>")
     assert chroma.confirmed(chroma.stars(posts), frame).collect() == []
     for block in (1, 3, 1000):
-        assert [tuple(r) for r in chroma.confirmed(chroma.crossing(posts, block), frame).collect()] == [(2, 3)]
+        assert [tuple(r) for r in chroma.confirmed(chroma.crossing(posts, block), frame).collect()] == [(2, 3, 0, 9, sum((x ^ y).bit_count() for x, y in zip(known[2], known[3])))]
 
 
 def test_op6(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
-    got = sorted(str(tuple(r)) for r in queries.QUERIES["op6_chroma_fingerprints"](spark, DIR).collect())
+    found = queries.QUERIES["op6_chroma_fingerprints"](spark, DIR).collect()
+    check_alignments(found, [(d, (t or "").encode()) for d, t in rows])
+    assert all(r["n_items"] >= chroma.VOTES for r in found if dict(rows)[r["doc_id"]])
+    got = sorted(str(tuple(r)[:4]) for r in found)
     assert got == plain_groups([(d, chroma.fingerprint(np.frombuffer((t or "").encode(), np.uint8)).tolist()) for d, t in rows])
     assert len(got) == len(rows) and any(not x.endswith(" 1)") for x in got)
 
