@@ -14,14 +14,18 @@ stored as a table before anything is read, which commits the bundles named in it
 
 Null html is an empty payload.  A null page_id is kept as null and is a response only if no record
 of the group has an id.  Rows that repeat a page_id with the same payload are all written alike
-(all response if that id is the smallest).  An empty table gives no bundle.  Other columns are ignored.
+(all response if that id is the smallest).  A record's id names the page and, by a name-based UUID, its address and payload, so
+pages that share a page_id, or have none, have ids of their own; rows that are equal in all three are the same record and share
+one.  A revisit refers to the response with the smallest page_id and, of these, address.  An empty table gives no bundle.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,9 +49,14 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, revisit: bool) -> tuple[str, bytes]:
-    """One WARC record and its id; a revisit keeps the payload's length in its HTTP header."""
-    name = f"<urn:page:{'' if page_id is None else page_id}>"
+def name_of(page_id: int | None, url: str | None, sha1: bytes) -> str:
+    """A record's id."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([page_id, url, sha1.hex()]))}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: str | None) -> tuple[str, bytes]:
+    """One WARC record and its id; one that refers to another is a revisit, and keeps the payload's length in its HTTP header."""
+    name, revisit = name_of(page_id, url, sha1), refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}", "WARC-Date: 1970-01-01T00:00:00Z"]
@@ -55,7 +64,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, re
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -143,22 +152,22 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, frame: int = FRAME,
     shared.tune(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
-    groups = rows.filter(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = rows.filter(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
     groups = shared.written(groups.filter("n > 1").drop("n"), "warc-groups")
-    role = rows.join(groups, ["sha1", "size"], "left").select("page_id", "url", "payload", "sha1", "first")
+    role = rows.join(groups, ["sha1", "size"], "left").select("page_id", "url", "payload", "sha1", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
 
     def save(batches):
         part, out, uri, n = TaskContext.get().partitionId(), None, "", 0
         for batch in batches:
             index = []
-            for page_id, url, payload, sha1, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, sha1, first, first_url in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or out.total >= bundle:
                     if out is not None:
                         out.close()
                     uri, stream = files.create(folder, f"pages-{part:06d}-{n:03d}")
                     out, n = Bundle(stream, frame), n + 1
                 revisit = first is not None and page_id != first
-                name, data = record(page_id, url, payload, sha1, first, revisit)
+                name, data = record(page_id, url, payload, sha1, name_of(first, first_url, sha1) if revisit else None)
                 index.append((page_id, name, uri, *out.add(data), len(data)))
             columns = list(zip(*index)) if index else [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -178,7 +187,7 @@ def read(index: DataFrame) -> DataFrame:
     """
 
     def number(name: str | None) -> int | None:
-        digits = name[len("<urn:page:") : -1] if name else ""
+        digits = name[len("<urn:page:") :].partition(":")[0] if name else ""
         return int(digits) if digits else None
 
     def rows_of(data: bytes, path: str) -> pa.RecordBatch:

@@ -423,7 +423,9 @@ def test_op8(spark):
         assert got == brute.warc([(i, h) for i, _, h in rows], least)
         for r in index.collect():
             headers, _ = next(warc.parse(warc.fetch(r["path"], r["frame"], r["record_offset"], r["record_length"])))
-            assert headers["WARC-Record-ID"] == r["record_id"] == f"<urn:page:{r['page_id']}>"
+            assert headers["WARC-Record-ID"] == r["record_id"] and r["record_id"].startswith(f"<urn:page:{r['page_id']}:")
+            refers = headers.get("WARC-Refers-To")
+            assert refers is None or refers in {x["record_id"] for x in index.collect() if x["page_id"] == got[r["page_id"]][3]}
     real = spark.read.parquet(f"{DIR}/pages.parquet")
     got = {r["page_id"]: tuple(r)[1:] for r in queries.op8_warc_bundles(spark, DIR).collect()}
     assert got == brute.warc([(r["page_id"], r["html"]) for r in real.collect()])
@@ -431,6 +433,13 @@ def test_op8(spark):
     twice = spark.createDataFrame([(None, "u", "n"), (1, "u", "s"), (1, "u", "s"), (2, "u", "s")], "page_id long, url string, html string")
     kinds = sorted((str(r["page_id"]), r["record_type"]) for r in warc.read(warc.write(twice, shared.new_path(spark, "w"))).collect())
     assert kinds == [("1", "response"), ("1", "response"), ("2", "revisit"), ("None", "response")]
+    alike = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (1, None, "b"), (1, "", "b"), (None, "u", "a"), (None, "u", "c"), (None, None, "d"), (2, "u", "b"), (2, "u", "b")], "page_id long, url string, html string")
+    index = warc.write(alike, shared.new_path(spark, "w")).collect()
+    assert len(index) == 9 and len({r["record_id"] for r in index}) == 8  # only rows that are equal share one
+    parsed = [next(warc.parse(warc.fetch(r["path"], r["frame"], r["record_offset"], r["record_length"])))[0] for r in index]
+    refers = [x["WARC-Refers-To"] for x in parsed if x["WARC-Type"] == "revisit"]
+    ids = {x["WARC-Record-ID"]: x for x in parsed}
+    assert len(refers) == 3 and all(ids[x]["WARC-Type"] == "response" for x in refers) and sum("WARC-Target-URI" not in ids[x] for x in refers) == 2
 
 
 def test_op8_reads_frames_in_many_tasks(spark):
