@@ -41,6 +41,11 @@ def ip(key: str, net: int) -> str:
     return f"concat('10.{net}.', cast({key} div 256 % 256 as string), '.', cast({key} % 256 as string))"
 
 
+def _address_from(first: int, n: str) -> str:
+    """Hex digits of the n-th address from a first one on: different for numbers below 2**32."""
+    return f"lpad(hex(({first}L + {n}) % 4294967296L), 8, '0')"
+
+
 def _elements(df: DataFrame, id: str, created: str, metadata: str, *more: str, updated: str | None = None, archived: str = "null", revision: int = 1) -> DataFrame:
     """SQL texts, so that a frame costs one call."""
     return df.selectExpr(
@@ -218,11 +223,14 @@ def tunnelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw packets: a UDP datagram of each order from its customer, with a fragment of 16 bytes for each line; lines 3 come twice, urgent orders lose line 2."""
+    """Raw packets: a UDP datagram of each order from its customer, with a fragment of 16 bytes for each line; lines 3 come twice, urgent orders lose line 2.
+
+    The datagram's id has the low 16 bits of the order's key, its target the others (10.6.0.1 and up), so that no two orders share a datagram.
+    """
     rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders").selectExpr("o_orderkey as l_orderkey", "o_custkey", "o_orderpriority", f"{ms('o_orderdate')} as at"), "l_orderkey")
     rows = rows.withColumn("last", F.max("l_linenumber").over(W.partitionBy("l_orderkey"))).filter("not (l_linenumber = 2 and o_orderpriority = '1-URGENT')")
     word = lambda n: f"lpad(hex({n}), 4, '0')"
     bits = "(if(l_linenumber < last, 8192, 0) + (l_linenumber - 1) * 2)"
-    data = f"unhex(concat('0200000000010200000000020800', '45000024', {word('l_orderkey % 65536')}, {word(bits)}, '4011', '0000', '0A05', {word('o_custkey % 65536')}, '0A060001', repeat('AB', 16)))"
+    data = f"unhex(concat('0200000000010200000000020800', '45000024', {word('l_orderkey % 65536')}, {word(bits)}, '4011', '0000', '0A05', {word('o_custkey % 65536')}, {_address_from(0x0A060001, 'l_orderkey div 65536')}, repeat('AB', 16)))"
     twice = rows.withColumn("copy", F.explode(F.when(F.col("l_linenumber") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return twice.selectExpr("at + l_linenumber + 10 * copy as timestamp", f"{data} as data", "1 as link_type")
