@@ -385,6 +385,7 @@ def mutation_unlink(s, d):
 @query(f"""SELECT 'order/'||o_orderkey AS id, epoch_ms(o_orderdate) AS created_at, CASE WHEN o_orderstatus IN ('F','P') THEN epoch_ms(o_orderdate)+10*{DAY} END AS deleted_at FROM orders
 UNION ALL SELECT 'order/'||o_orderkey, epoch_ms(o_orderdate)+20*{DAY}, NULL FROM orders WHERE o_orderstatus='P'""")
 def changes_revisions(s, d):
+    star.dealt(s, d, "orders")
     rows, at = s.read.parquet(f"{d}/orders.parquet"), star.ms("o_orderdate")
     change = lambda rows, op, after, revision: rows.selectExpr(
         f"'{op}' as op", "'node' as kind", "concat('order/', cast(o_orderkey as string)) as id", "cast(null as string) as parent", "cast(null as string) as child",

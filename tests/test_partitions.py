@@ -20,7 +20,7 @@ def small_parts(spark, monkeypatch):
         spark.conf.unset(key)
 
 
-@pytest.mark.parametrize("name,tables", [("tcp_segments", ["lineitem"])])
+@pytest.mark.parametrize("name,tables", [("tcp_segments", ["lineitem"]), ("changes_revisions", ["orders"])])
 def test_more_input_makes_more_tasks_and_the_same_rows(spark, small_parts, name, tables):
     con = duckdb.connect()
     for t in tables:
