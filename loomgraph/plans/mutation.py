@@ -55,12 +55,12 @@ def update(log: DataFrame, changes: DataFrame, now: int) -> DataFrame:
     same = F.to_json(F.struct(F.col("metadata"))).eqNullSafe(F.to_json(F.struct(F.col("_new").alias("metadata"))))
     live = log.filter("archived_at is null").join(changes.select("id", F.col("metadata").alias("_new"), F.lit(True).alias("_hit")), "id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False)) & ~same
-    marked = live.withColumn("_change", hit)
-    kept = marked.filter("not _change").select(*log.columns)
     at = F.lit(now).cast("bigint")
-    old = marked.filter("_change").withColumn("archived_at", at).select(*log.columns)
-    new = marked.filter("_change").withColumns({"metadata": F.col("_new"), "updated_at": at, "revision": F.col("revision") + 1}).select(*log.columns)
-    return log.filter("archived_at is not null").unionByName(kept).unionByName(old).unionByName(new)
+    row = lambda **new: F.struct(*[new.get(c, F.col(c)).alias(c) for c in log.columns])
+    # a changed row becomes two; the join is run once for all of them
+    both = F.array(row(archived_at=at), row(metadata=F.col("_new"), updated_at=at, revision=F.col("revision") + 1))
+    rows = live.select(F.explode(F.when(hit, both).otherwise(F.array(row()))).alias("_row")).select("_row.*")
+    return log.filter("archived_at is not null").unionByName(rows)
 
 
 def with_fields(metadata: str, **fields: Column) -> Column:

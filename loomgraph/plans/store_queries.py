@@ -58,6 +58,7 @@ def store_at(s, d):
 UNION ALL SELECT id, 1, NULL, NULL, NULL FROM nodes WHERE typ<>'part'""")
 def metadata_edits(s, d):
     """Parts of a graph with open metadata get a box and a tag and lose their brand; large ones are marked in a second set of edits of the same revision time."""
+    star.dealt(s, d, "customer", "supplier", "part", "orders")
     log = star.graph(s, d).nodes.withColumn("metadata", F.parse_json(F.to_json("metadata")))
     parts = log.filter("try_variant_get(metadata, '$.Type', 'string') = 'part'")
     size = F.expr("try_variant_get(metadata, '$.Size', 'bigint')")

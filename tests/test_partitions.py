@@ -1,9 +1,10 @@
-"""Shuffles that are dealt by the size of the tables."""
+"""Shuffles that are dealt by the size of the tables, and updates that join once."""
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.plans import mutation
 from loomgraph.plans.queries import ORACLES, QUERIES
 from loomgraph.sources import star
 
@@ -31,3 +32,11 @@ def test_more_input_makes_more_tasks_and_the_same_rows(spark, small_parts, name,
     rows = ours.withColumn("_task", F.spark_partition_id()).collect()
     assert len({r["_task"] for r in rows}) > 8  # four without
     assert sorted(str(tuple(r[c] for c in columns)) for r in rows) == sorted(str(r) for r in theirs.fetchall())
+
+def test_an_update_joins_once(spark):
+    log = mutation.added(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, x int").select("id", F.struct("x").alias("metadata")), 5)
+    changes = spark.createDataFrame([("a", 1), ("b", 7)], "id string, x int").select("id", F.struct("x").alias("metadata"))
+    out = mutation.update(log, changes, 9)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    assert sorted(map(tuple, out.select("id", "revision", "updated_at", "archived_at", "metadata.x").collect()), key=str) == [
+        ("a", 1, 5, None, 1), ("b", 1, 5, 9, 2), ("b", 2, 9, None, 7), ("c", 1, 5, None, 3)]
