@@ -22,7 +22,7 @@ def copied(tmp_path_factory):
     return con, str(top)
 
 
-@pytest.mark.parametrize("name", ["ip_datagrams", "ip_reassembled"])
+@pytest.mark.parametrize("name", ["ip_datagrams", "ip_reassembled", "tunnel_flows"])
 def test_keys_with_equal_low_bits(spark, copied, name):
     con, top = copied
     ours, theirs = QUERIES[name](spark, top), con.execute(ORACLES[name])
