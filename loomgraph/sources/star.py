@@ -181,13 +181,14 @@ def with_packets(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph with a raw packet for each flow: Ethernet, IPv4 and the first eight bytes of TCP or UDP."""
     def packets() -> DataFrame:
         byte = lambda n: f"lpad(hex({n}), 2, '0')"
-        address = lambda c: " , ".join(byte(f"cast(split_part({c}, '.', {i}) as int)") for i in (1, 2, 3, 4))
+        rows = flows(spark, sf_dir).selectExpr("uuid", "start", "network.a as na", "network.b as nb", "transport.protocol as protocol", "transport.a as ta", "transport.b as tb")
+        address = lambda c: f"array_join(transform(split({c}, '[.]'), x -> {byte('cast(x as int)')}), '')"
         word = lambda c: f"lpad(hex({c}), 4, '0')"
         data = (
-            "unhex(concat('020000000001', '020000000002', '0800', '450000000000000040', if(transport.protocol = 'TCP', '06', '11'), '0000'"
-            + f", {address('network.a')}, {address('network.b')}, {word('transport.a')}, {word('transport.b')}, '00000000'))"
+            "unhex(concat('020000000001', '020000000002', '0800', '450000000000000040', if(protocol = 'TCP', '06', '11'), '0000'"
+            + f", {address('na')}, {address('nb')}, {word('ta')}, {word('tb')}, '00000000'))"
         )
-        return flows(spark, sf_dir).selectExpr("uuid as flow_uuid", "start as timestamp", "0L as index", f"{data} as data", "1 as link_type")
+        return rows.selectExpr("uuid as flow_uuid", "start as timestamp", "0L as index", f"{data} as data", "1 as link_type")
 
     base = graph(spark, sf_dir)
     base.raw_packets = packets()
