@@ -235,6 +235,7 @@ SELECT a||'/'||b||'/'||proto||'/'||pa||'/'||pb AS flow_key, sum(f::INT)::BIGINT
 
 @query(OF_PACKETS)
 def flow_table_of_packets(s, d):
+    star.dealt(s, d, "lineitem", "orders")
     return _by_direction(star.with_packets(s, d).raw_packets)
 
 
@@ -245,6 +246,7 @@ def _by_direction(raw):
 @query(OF_PACKETS)
 def flow_table_of_captures(s, d):
     """The same packets written to capture files and replayed from them."""
+    star.dealt(s, d, "lineitem", "orders")
     folder = scratch(s, "captures")
     pcap.save(star.with_packets(s, d).raw_packets, folder)
     return _by_direction(pcap.read(s, folder))

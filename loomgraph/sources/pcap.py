@@ -159,7 +159,8 @@ def _synchronised(ranges: DataFrame, split: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(max(1, min(TASKS, rows.count())))
+    """A task for each row.  At least two: of a single one Spark takes all packets to be where they belong, and sorts them in one task."""
+    return rows.repartition(max(2, min(TASKS, rows.count())))
 
 
 def packets(files: DataFrame, split: int = SPLIT) -> DataFrame:
