@@ -13,8 +13,10 @@ ones stand alone.  Each recording of a group is aligned with another one of it:
 errors for its overlap, at the best of the match's offsets.
 
 A first pass votes only with each value's smallest and largest recording; what it confirms is a match, and united
-recordings leave the quadratic part.  The second pass votes with all pairs of recordings of different groups that
-share a value; a value's occurrences are dealt into blocks, and each pair of blocks is a key of its own.  Equal
+recordings leave the quadratic part.  The second pass compares all recordings of different groups that share a value.
+Either all the integers that meet at an offset are of values with few occurrences: then the pairs of these are counted
+as votes.  Or one of them is of a value with more: then a task that holds the integers of two blocks of that value's
+recordings checks every offset at which it meets, and tells only the matches that unite groups.  Equal
 integers that follow each other are one occurrence with a length: two such runs vote for each offset at which they
 overlap, as often as their integers meet there.
 """
@@ -40,6 +42,8 @@ VOTES, ERRORS = 4, 5
 LEAST = FRAME + HOP * (len(SMOOTH) - 1 + WIDTH - 1 + VOTES - 1)
 #: Occurrences of a value in a block.
 BLOCK = 1000
+#: Occurrences of a value whose pairs are rows; recordings with one of more in a block, and integers that are compared at once.
+FEW, TILE, CELLS = 32, 250, 1 << 18
 #: Frames that are in memory as numbers at once.
 CHUNK = 8192
 #: Filters (kind, first pitch class, pitch classes, frames), and the thresholds of (1 + A) / (1 + B).
@@ -161,11 +165,35 @@ def errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return high - low, int(np.bitwise_count(a[low:high].view(np.uint32) ^ b[low + offset : high + offset].view(np.uint32)).sum())
 
 
+def voted(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """All offsets with votes enough."""
+    order = np.argsort(b, kind="stable")
+    first, last = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    votes = np.zeros(len(a) + len(b), np.int64)
+    ends = np.concatenate([[0], np.cumsum(last - first)])
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CELLS, "right")) - 1)
+        n = (last - first)[at:to]
+        p = np.repeat(np.arange(at, to), n)
+        q = order[np.repeat(first[at:to] - ends[at:to], n) + np.arange(ends[at], ends[to])]
+        votes += np.bincount(q - p + len(a), minlength=len(votes))
+        at = to
+    return (np.flatnonzero(votes >= VOTES) - len(a)).tolist()
+
+
 def best(a: np.ndarray, b: np.ndarray, offsets: list[int]) -> tuple[int, int, int] | None:
-    """Of the offsets with few enough bit errors the one with the fewest for its overlap, with overlap and bit errors."""
-    found = ((x, *errors(a, b, x)) for x in offsets)
-    fit = [(x, overlap, bits) for x, overlap, bits in found if 2 * overlap >= min(len(a), len(b)) and bits <= ERRORS * overlap]
-    return min(fit, key=lambda f: (f[2] / f[1], -f[1], abs(f[0]), f[0]), default=None)
+    """If one of the offsets has few enough bit errors: of all with votes enough the one with the fewest for its overlap, with overlap and bit errors."""
+
+    def fit(offsets):
+        for x in offsets:
+            overlap, bits = errors(a, b, x)
+            if 2 * overlap >= min(len(a), len(b)) and bits <= ERRORS * overlap:
+                yield x, overlap, bits
+
+    if next(fit(offsets), None) is None:
+        return None
+    return min(fit(voted(a, b)), key=lambda f: (f[2] / f[1], -f[1], abs(f[0]), f[0]), default=None)
 
 
 def confirmed(votes: DataFrame, known: DataFrame) -> DataFrame:
@@ -217,10 +245,10 @@ def counted(pairs: DataFrame) -> DataFrame:
 
 
 def stars(posts: DataFrame) -> DataFrame:
-    """Votes of each value's occurrences with its smallest and its largest recording; of a run only its first integer's."""
+    """Votes of each value's occurrences with its smallest and its largest recording, these two with each other once; of a run only its first integer's."""
     one = F.struct("print", "pos")
     ends = posts.groupBy("value").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.print <> high.print")
-    rows = posts.join(ends, "value").select("print", "pos", F.explode(F.array("low", "high")).alias("e")).filter("print <> e.print")
+    rows = posts.join(ends, "value").filter(one != F.col("low")).select("print", "pos", F.explode(F.array("low", "high")).alias("e")).filter("print <> e.print")
     ours = F.col("print") < F.col("e.print")
     return counted(rows.select(F.least("print", "e.print").alias("a"), F.greatest("print", "e.print").alias("b"), F.when(ours, F.col("e.pos") - F.col("pos")).otherwise(F.col("pos") - F.col("e.pos")).alias("shift"), F.lit(1).alias("votes")))
 
@@ -236,6 +264,105 @@ def crossing(posts: DataFrame, block: int = BLOCK) -> DataFrame:
     return counted(pairs.selectExpr("a", "b", "q - p + d as shift", "least(m, n - d) - greatest(0, -d) as votes"))
 
 
+def common(posts: DataFrame) -> DataFrame:
+    """The runs of values that several recordings have, with the number of their runs (n); dealt out once by value."""
+    posts = posts.repartition(shared.partitions(posts.sparkSession), "value")
+    several = posts.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("low"), F.max("print").alias("high")).filter("low <> high")
+    return posts.join(several.select("value", "n"), "value")
+
+
+class Tile:
+    """Recordings of one or two blocks that have a value: their integers one after another with room around them, and the value's runs; shorter recordings first."""
+
+    def __init__(self, table: pa.Table):
+        names, roots, own = (table[c].to_numpy() for c in ("print", "root", "own"))
+        items, at, length = (table[c].to_pylist() if c != "items" else [x.values.to_numpy().view(np.uint32) for x in table[c]] for c in ("items", "at", "length"))
+        sizes = np.array([len(x) for x in items])
+        order = np.lexsort((names, sizes))
+        self.names, self.own, self.sizes, self.root = names[order], own[order], sizes[order], roots[order].copy()
+        self.items = [items[k] for k in order]
+        self.room = int(self.sizes[-1])
+        self.flat = np.concatenate([np.zeros(self.room, np.uint32), *self.items, np.zeros(self.room, np.uint32)])
+        self.base = self.room + np.cumsum(self.sizes) - self.sizes
+        self.row = np.repeat(np.arange(len(order)), [len(at[k]) for k in order])
+        self.at = np.array([x for k in order for x in at[k]], np.int64)
+        self.length = np.array([x for k in order for x in length[k]], np.int64)
+        self.runs = np.searchsorted(self.row, np.arange(len(order) + 1))
+
+    def offsets(self, a: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Later recordings of other groups, and offsets at which the value meets that of *a* and the overlap is long enough."""
+        fit = self.root != self.root[a]
+        if cross:
+            fit &= self.own != self.own[a]
+        fit[: a + 1] = False
+        rows = np.flatnonzero(fit)
+        mine = np.flatnonzero(fit[self.row])
+        size, width = int(self.sizes[a]), int(self.sizes[a]) + self.room
+        place = np.cumsum(fit) - 1
+        met = np.zeros(len(rows) * width, bool)
+        for run in range(self.runs[a], self.runs[a + 1]):
+            m = self.length[run]
+            each = m + self.length[mine] - 1
+            low = place[self.row[mine]] * width + self.at[mine] - self.at[run] + 1 - m + size
+            met[np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())] = True
+        found = np.flatnonzero(met)
+        b, offset = rows[found // width], found % width - size
+        overlap = np.minimum(size, self.sizes[b] - offset) - np.maximum(0, -offset)
+        keep = (2 * overlap >= size) & (overlap >= VOTES)
+        return b[keep], offset[keep]
+
+    def fitting(self, a: int, b: np.ndarray, offset: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Recordings and offsets that match *a*.  Every other place is compared first: its bit errors alone exceed the limit mostly."""
+        ours, size = self.items[a], int(self.sizes[a])
+        windows = np.lib.stride_tricks.sliding_window_view(self.flat, size)
+        low, high = np.maximum(0, -offset).astype(np.int32), np.minimum(size, self.sizes[b] - offset).astype(np.int32)
+        start, limit, columns = self.base[b] + offset, ERRORS * (high - low), np.arange(size, dtype=np.int32)
+        step = max(1, CELLS // size)
+        for at in range(0, len(b), step):
+            left = np.arange(at, min(at + step, len(b)))
+            for every in (2, 1):
+                place = columns[::every]
+                inside = (place >= low[left, None]) & (place < high[left, None])
+                differ = windows[:, ::every][start[left]] ^ ours[::every]
+                keep = (np.bitwise_count(differ) * inside).sum(axis=1, dtype=np.int64) <= limit[left]
+                if every == 1:
+                    keep &= ((differ == 0) & inside).sum(axis=1) >= VOTES
+                left = left[keep]
+                if not len(left):
+                    break
+            yield from zip(b[left].tolist(), offset[left].tolist())
+
+    def links(self, cross: bool) -> Iterator[tuple[int, int, int, int, int]]:
+        """Matches (a, b, shift, overlap, bits) that unite groups."""
+        for a in range(len(self.names)):
+            for b, offset in self.fitting(a, *self.offsets(a, cross)):
+                if self.root[a] != self.root[b]:
+                    self.root[self.root == self.root[b]] = self.root[a]
+                    shift, overlap, bits = best(self.items[a].view(np.int32), self.items[b].view(np.int32), [offset])
+                    one, two = int(self.names[a]), int(self.names[b])
+                    yield (one, two, shift, overlap, bits) if one < two else (two, one, -shift, overlap, bits)
+
+
+def frequent(posts: DataFrame, known: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rows (a, b, shift, overlap, bits): matches of recordings of different groups at offsets where values of the posts (value, print, pos, length, root) meet.
+
+    A value's recordings are dealt into blocks; each pair of blocks is checked by one task, and told by matches that unite their groups.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        found = list(zip(*Tile(table).links(table["i"][0].as_py() != table["j"][0].as_py()))) or [[]] * 5
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(found, [pa.int64()] * 2 + [pa.int32()] * 3)], ["a", "b", "shift", "overlap", "bits"])
+
+    values = posts.groupBy("value").agg(F.countDistinct("print").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    blocks = values.select("value", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
+    rows = posts.groupBy("value", "print", "root").agg(F.collect_list("pos").alias("at"), F.collect_list("length").alias("length")).join(blocks, "value")
+    rows = rows.groupBy("print", "root").agg(F.collect_list(F.struct("value", "blocks", "at", "length")).alias("values")).join(known.select("print", "items"), "print")
+    rows = rows.select("print", "root", "items", F.explode("values").alias("v")).select("print", "root", "items", "v.*").withColumn("own", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    rows = rows.select("value", "i", "j", "own", "print", "root", "at", "length", "items").repartition(shared.partitions(posts.sparkSession), "value", "i", "j")
+    return rows.groupBy("value", "i", "j").applyInArrow(run, "a long, b long, shift int, overlap int, bits int")
+
+
 def groups(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each recording: its number of integers, the group's smallest doc_id, the recordings in the group, and its alignment.
 
@@ -247,14 +374,17 @@ def groups(recordings: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = shared.written(prints(recordings).select("doc_id", F.size("items").alias("n_items"), F.when(F.size("items") > 0, F.xxhash64("items")).alias("print"), "items"), "prints")
     known = rows.filter("n_items > 0").groupBy("print").agg(F.first("items").alias("items"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("copies"))
     known = shared.written(known, "distinct-prints")
-    posts = runs(known)
+    posts = shared.written(common(runs(known)), "posts")
+    shared.release(spark)
     links = shared.written(confirmed(stars(posts), known), "links")
     roots = components.connected(links)
     shared.release(spark)
     rooted = posts.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    more = shared.written(confirmed(crossing(rooted, block), known), "links")
+    few = min(block, FEW)
+    links = links.unionByName(shared.written(confirmed(crossing(rooted.filter(F.col("n") <= few), block), known), "links"))
+    shared.release(spark)
+    links = links.unionByName(shared.written(frequent(rooted.filter(F.col("n") > few), known, min(block, TILE)), "links"))
     shared.release(spark)
-    links = links.unionByName(more)
     roots = components.connected(links)
     of = known.drop("items").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     whole = of.groupBy("root").agg(F.min("least").alias("group_id"), F.sum("copies").alias("recordings"))

@@ -176,3 +176,39 @@ def test_runs_vote_as_their_integers_do(spark):
     expected = {(a, b, s) for a in known for b in known if a < b for s, n in Counter(q - p for p, u in enumerate(known[a]) for q, v in enumerate(known[b]) if u == v).items() if n >= chroma.VOTES}
     for block in (2, 1000):
         assert {tuple(r) for r in chroma.crossing(posts, block).collect()} == expected and expected
+
+
+def test_frequent_values_make_no_rows_of_pairs(spark):
+    """Many recordings share four integers that their first and last ones have elsewhere; those that match are found whether their values are joined as rows or compared in tasks."""
+    rng = random.Random(12)
+    other = lambda n: [rng.randrange(1 << 31) for _ in range(n)]
+    known = {k: other(3 + k % 3) + [7, 7, 8, 7, 9] + other(9) for k in range(2, 300)} | {1: [v for x in (7, 8, 9) for v in (x, *other(9))], 300: [v for x in (7, 8, 9) for v in (x, *other(8))]}
+    for k in range(10, 20):  # near copies of others, some of them shifted
+        known[k + 100] = known[k][k % 2 :] + other(k % 2)
+        known[k + 100][5] ^= 3 if k % 3 else 0
+    frame = spark.createDataFrame(list(known.items()), "print long, items array<int>")
+    posts = chroma.common(chroma.runs(frame)).withColumn("root", F.col("print"))
+    voted = {(a, b): chroma.best(*(np.array(known[k], np.int32) for k in (a, b)), chroma.voted(*(np.array(known[k], np.int32) for k in (a, b)))) for a in known for b in known if a < b}
+    expected = {(*k, *v) for k, v in voted.items() if v}
+    assert len(expected) >= 10
+    for few, tile in ((32, 250), (2, 3), (0, 50)):
+        rows = chroma.crossing(posts.filter(F.col("n") <= few))
+        found = chroma.confirmed(rows, frame).unionByName(chroma.frequent(posts.filter(F.col("n") > few), frame, tile))
+        assert {tuple(r) for r in found.collect()} == expected
+    # 300 recordings, 45,000 pairs of them
+    assert chroma.crossing(posts.filter(F.col("n") <= chroma.FEW)).count() < 300
+
+
+def test_all_offsets_of_a_match():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = rng.integers(0, 3, rng.integers(1, 40)).astype(np.int32), rng.integers(0, 3, rng.integers(1, 40)).astype(np.int32)
+        votes = Counter(q - p for p, u in enumerate(a.tolist()) for q, v in enumerate(b.tolist()) if u == v)
+        assert chroma.voted(a, b) == sorted(s for s, n in votes.items() if n >= chroma.VOTES)
+
+
+def test_stars_count_an_integer_once(spark):
+    """Two recordings that are first and last in the values they share meet in three integers, which isn't enough."""
+    known = {1: [11, 12, 13, 14, 15, 16], 2: [11, 12, 13, 14 ^ 1, 15 ^ 64, 16 ^ 32], 3: [31, 32, 33, 34, 35, 36], 4: [31, 32, 33, 34, 35 ^ 64, 36 ^ 64]}
+    frame = spark.createDataFrame(list(known.items()), "print long, items array<int>")
+    assert [tuple(r) for r in chroma.stars(chroma.runs(frame)).collect()] == [(3, 4, 0)]
