@@ -11,7 +11,8 @@ of h is discounted, its counts are taken over c(h) + 1; without any training tex
 Counts live in a table for each order, partitioned by bucket of the word or of the history.  Texts are
 handled in batches of about TEXT bytes, whose word numbers are files in the shared folder.  For each order, from
 the lowest, a batch asks each bucket for what it needs as one row of packed numbers, with its own counts
-to be added and the probabilities of the next lower order, and gets one row back: ids and counts of
+to be added and the probabilities of the next lower order (where the bucket can't add these up itself, as it holds all n-grams
+of a nearest word that isn't split), and gets one row back: ids and counts of
 its distinct words, then counts of its distinct n-grams and each history's sums.  From these it evaluates
 the order at every token, which the next order takes as its lower one.  So an n-gram costs a few
 bytes in a shuffle, once for each batch and not for each occurrence; a frequent one is added up inside
@@ -313,8 +314,22 @@ def _coded(values: np.ndarray) -> tuple[bytes, bytes]:
 class Order:
     """The exchange of one order: what a batch asks, what a bucket tells, and what a batch makes of it."""
 
-    def __init__(self, k: int, buckets: int, hot: Hot, words_: Hot, share: float):
-        self.k, self.buckets, self.hot, self.words, self.share = k, buckets, hot, words_, share
+    def __init__(self, k: int, buckets: int, hot: Hot, words_: Hot, share: float, below: GoodTuring | None = None):
+        self.k, self.buckets, self.hot, self.words, self.share, self.below = k, buckets, hot, words_, share, below
+
+    def whole(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Histories whose n-grams, and those of their shorter histories, lie in one bucket: their nearest word isn't split."""
+        return self.words.find(columns[:1]) < 0 if self.below is not None else np.zeros(len(columns[0]), bool)
+
+    def lower(self, names: list[np.ndarray], h: np.ndarray, w: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """P of the next lower order for n-grams in training, from their counts: histories by name, each n-gram's history, word and count."""
+        shorter = numbered(names[: self.k - 2])[h]
+        _, sample, gram = np.unique(shorter * np.uint64(int(w.max()) + 1) + w, return_index=True, return_inverse=True)
+        count = np.bincount(gram, weights=total).astype(np.int64)
+        of = shorter[sample].astype(np.int64)
+        sums = np.stack([np.bincount(of, weights=count)] + [np.bincount(of, weights=count == r) for r in range(1, K + 1)], axis=1).astype(np.int64)
+        history = History(self.below, sums[:, 0], sums[:, 1:], np.zeros(len(sums)))
+        return (self.below.discounted(count) / np.maximum(history.total, 1)[of])[gram]
 
     def of_batch(self, batch: Batch):
         inverse, first = batch.grams(self.k)
@@ -327,13 +342,14 @@ class Order:
     def ask(self, number: int, batch: Batch, lower: np.ndarray) -> list[tuple]:
         inverse, first, columns, w, before, order, cut = self.of_batch(batch)
         count = np.bincount(inverse, weights=batch.train, minlength=len(first)).astype(np.int64)
+        # of n-grams that don't occur in training here nobody needs the lower probability
+        lower = np.where((count > 0) & ~self.whole(columns), lower[first], 0.0)
         out = []
         for b in range(self.buckets):
             mine = order[cut[b] : cut[b + 1]]
             if len(mine):
                 heads = _heads(before[mine])
-                # of n-grams that don't occur in training here nobody needs the lower probability
-                values, codes = _coded(np.where(count[mine] > 0, lower[first[mine]], 0.0))
+                values, codes = _coded(lower[mine])
                 head = struct.pack("<II", len(heads), len(mine)) + pack(_lengths(heads, len(mine)).astype(np.uint32))
                 out.append((_GRAM, number, b, head, _columns([c[mine[heads]] for c in columns]), pack(w[mine]), pack(narrow(count[mine])), struct.pack("<I", len(values)) + values + codes))
         return out
@@ -365,6 +381,9 @@ class Order:
         total = np.add.reduceat(np.concatenate(counts)[order], place)
         lower = np.maximum.reduceat(np.concatenate(lowers)[order], place)
         h = (uniq // np.uint64(len(words_))).astype(np.int64)
+        own = self.whole(names)[h]
+        if own.any():
+            lower = np.where(own, self.lower(names, h, uniq % np.uint64(len(words_)), total), lower)
         begin = _heads(h)
         seen = total > 0
         sums = np.zeros((len(begin), K + 1), np.int64)
@@ -542,7 +561,7 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
             ids, c = np.frombuffer(r["b0"], np.uint64).reshape(-1, k - 1), np.frombuffer(r["b1"], np.int64)
             found += [(tuple(int(x) for x in i), int(n // share) + 1) for i, n in zip(ids, c)]
         hot_words = Hot(found) if k == 2 else hot_words
-        step = Order(k, buckets, Hot(found), hot_words, share)
+        step = Order(k, buckets, Hot(found), hot_words, share, told_orders[-1][1] if told_orders else None)
 
         def ask(number, rows, step=step, orders=list(told_orders)):
             b, p = evaluated(rows, orders)
