@@ -51,27 +51,23 @@ _STATE, _WORD, _WORDS, _GRAM, _GRAMS, _STAT, _SPLIT, _HOT = range(8)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers by bytes of equal weight, compressed."""
+    """Numbers by bytes of equal weight, up to the highest that isn't 0 everywhere, compressed."""
     values = np.ascontiguousarray(values)
     size = values.dtype.itemsize
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, size).T.tobytes())
+    whole = values.view(f"u{size}")
+    width = max(1, (int(whole.max()).bit_length() + 7) // 8) if len(whole) else 1
+    each, planes = values.view(np.uint8).reshape(-1, size), np.empty((width, len(values)), np.uint8)
+    for i in range(width):
+        planes[i] = each[:, i]
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
-
-
-def narrow(values: np.ndarray) -> np.ndarray:
-    """Counts as the smallest of two widths."""
-    return values.astype(np.uint32) if not len(values) or int(values.max()) < 1 << 32 else values.astype(np.uint64)
-
-
-def _counts(data: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = len(raw) // n if n else 4
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(np.uint32 if size == 4 else np.uint64).reshape(-1).astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    for i, plane in enumerate(planes):
+        out[:, i] = plane
+    return out.view(kind).reshape(-1)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -95,6 +91,26 @@ def _grouped(batches, key: int):
         yield last, held
 
 
+def _sorted(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of numbers that aren't negative, and where in it each value begins."""
+    name = name.astype(np.uint64)
+    bits = np.uint64(max(1, len(name) - 1).bit_length())
+    if not len(name) or int(name.max()).bit_length() + int(bits) > 64:
+        order = np.argsort(name, kind="stable")
+        return order, _heads(name[order])
+    # number and place in one value: values are sorted much faster than places
+    keys = np.sort((name << bits) | np.arange(len(name), dtype=np.uint64))
+    return (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), _heads(keys >> bits)
+
+
+def _distinct(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each value, in order of the values, and the number of each place's value."""
+    order, heads = _sorted(name)
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.repeat(np.arange(len(heads)), _lengths(heads, len(order)))
+    return order[heads], inverse
+
+
 class GoodTuring:
     """Discounts by counts of counts n[1] .. n[K + 1]; a ratio that isn't between 0 and 1 gives way to absolute discounting."""
 
@@ -189,13 +205,14 @@ def _word_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def numbered(columns: list[np.ndarray]) -> np.ndarray:
-    """Equal rows of the columns get equal numbers from 0, in order of the first column, then the next."""
-    out = np.unique(columns[0], return_inverse=True)[1].astype(np.uint64)
+def numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first of equal rows of the columns, in order of the first column, then the next, and each row's number in that order."""
+    columns = [c + np.uint64(1) for c in columns]  # START is 0
+    first, out = _distinct(columns[0])
     for column in columns[1:]:
-        values, inverse = np.unique(column, return_inverse=True)
-        out = np.unique(out * np.uint64(max(1, len(values))) + inverse.astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
-    return out
+        values, inverse = _distinct(column)
+        first, out = _distinct(out * max(1, len(values)) + inverse)
+    return first, out
 
 
 class Batch:
@@ -208,24 +225,24 @@ class Batch:
         self.held = self.flags >= 2
         self.train = np.repeat(~self.held, self.count)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.count)
-        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each token's k-gram, in order of its history's, and the first token of each."""
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each token's k-gram, in order of its history's, the first token of each, and its history's number, 0 at a text's start."""
         if k == 1:
-            return self.tokens.astype(np.int64), np.empty(0, np.int64)
+            return self.tokens.astype(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         if k not in self.known:
             history = np.zeros(len(self.tokens), np.int64)
             history[1:] = self.grams(k - 1)[0][:-1] + 1
             history[self.starts] = 0
-            name = history * np.int64(len(self.word_ids)) + self.tokens
-            order = np.argsort(name, kind="stable")
-            heads = _heads(name[order])
-            inverse = np.empty(len(name), np.int64)
-            inverse[order] = np.repeat(np.arange(len(heads)), _lengths(heads, len(name)))
-            self.known[k] = inverse, order[heads]
+            first, inverse = _distinct(history * np.int64(len(self.word_ids)) + self.tokens)
+            self.known[k] = inverse, first, history[first]
         return self.known[k]
 
+    def nearest(self, at: np.ndarray) -> np.ndarray:
+        """The number of the word before each of the tokens *at*; one more than the last word's before a text's start."""
+        return np.where(self.place[at] > 0, self.tokens[at - 1], len(self.word_ids))
+
     def histories(self, at: np.ndarray, k: int) -> list[np.ndarray]:
         """Ids of the k - 1 words before the tokens *at*, the nearest first; START before a text's start."""
         out = []
@@ -269,10 +286,10 @@ class Hot:
         return np.where(hit, at, -1)
 
 
-def _dealt(columns: list[np.ndarray], w: np.ndarray, buckets: int, hot: Hot, words_: Hot) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams by bucket, then by the history's nearest word, then as they were; where each bucket ends.
+def _buckets(columns: list[np.ndarray], w: np.ndarray, buckets: int, hot: Hot, words_: Hot) -> np.ndarray:
+    """The bucket of each n-gram.
 
-    The bucket is that of the nearest word, so that a bucket names few of these.  A word with more than a bucket's share
+    It is that of the nearest word, so that a bucket names few of these.  A word with more than a bucket's share
     is split by the words before it, and a history with more than that by its successor.
     """
     part = lambda of, seed, parts: words.mix(of + np.uint64(seed)) % parts
@@ -285,9 +302,7 @@ def _dealt(columns: list[np.ndarray], w: np.ndarray, buckets: int, hot: Hot, wor
         at = hot.find(columns)
         found = at >= 0
         sub[found] += np.uint64(1 << 32) + part(w[found], 99, hot.parts[at[found]])
-        bucket = (words.mix(_name(columns[:1]) + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((columns[0], bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+        return (words.mix(_name(columns[:1]) + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _heads(h: np.ndarray) -> np.ndarray:
@@ -303,12 +318,16 @@ def _histogram(counts: np.ndarray) -> np.ndarray:
 
 
 def _columns(columns: list[np.ndarray]) -> bytes:
-    return pack(np.concatenate(columns).astype(np.uint64))
+    return pack(np.concatenate(columns) + np.uint64(1))  # START is 0
 
 
-def _coded(values: np.ndarray) -> tuple[bytes, bytes]:
+def _coded(values: np.ndarray) -> bytes:
+    """Values of which many are equal; nothing if all are 0."""
+    if not values.any():
+        return b""
     uniq, inverse = np.unique(values, return_inverse=True)
-    return pack(uniq), pack(inverse.astype(np.uint32))
+    codes = pack(uniq)
+    return struct.pack("<I", len(codes)) + codes + pack(inverse.astype(np.uint32))
 
 
 class Order:
@@ -323,67 +342,82 @@ class Order:
 
     def lower(self, names: list[np.ndarray], h: np.ndarray, w: np.ndarray, total: np.ndarray) -> np.ndarray:
         """P of the next lower order for n-grams in training, from their counts: histories by name, each n-gram's history, word and count."""
-        shorter = numbered(names[: self.k - 2])[h]
-        _, sample, gram = np.unique(shorter * np.uint64(int(w.max()) + 1) + w, return_index=True, return_inverse=True)
+        shorter = numbered(names[: self.k - 2])[1][h]
+        sample, gram = _distinct(shorter * (int(w.max()) + 1) + w)
         count = np.bincount(gram, weights=total).astype(np.int64)
-        of = shorter[sample].astype(np.int64)
+        of = shorter[sample]
         sums = np.stack([np.bincount(of, weights=count)] + [np.bincount(of, weights=count == r) for r in range(1, K + 1)], axis=1).astype(np.int64)
         history = History(self.below, sums[:, 0], sums[:, 1:], np.zeros(len(sums)))
         return (self.below.discounted(count) / np.maximum(history.total, 1)[of])[gram]
 
-    def of_batch(self, batch: Batch):
-        inverse, first = batch.grams(self.k)
-        columns = batch.histories(first, self.k)
-        w = batch.word_ids[batch.tokens[first]]
-        # a history's grams lie together: numbered by the local history, which is the same as by its ids
-        before = np.where(batch.place[first] > 0, batch.grams(self.k - 1)[0][np.maximum(first - 1, 0)] + 1, 0)
-        return inverse, first, columns, w, before, *_dealt(columns, w, self.buckets, self.hot, self.words)
+    def of_batch(self, batch: Batch) -> tuple[np.ndarray, ...]:
+        """N-grams of the tokens, the first token of each and its history; n-grams by bucket, then by the history's nearest word, then as they were; where each bucket ends."""
+        inverse, first, before = batch.grams(self.k)
+        near, names = batch.nearest(first), np.append(batch.word_ids, START)
+        # only words that may be split have to be looked at by n-gram
+        single = _buckets([names], names, self.buckets, Hot([]), Hot([]))
+        odd = self.words.find([names]) >= 0
+        if len(self.hot.parts):
+            odd |= np.isin(names, self.hot.ids[:, 0])
+        bucket = single[near]
+        at = np.flatnonzero(odd[near])
+        bucket[at] = _buckets(batch.histories(first[at], self.k), batch.word_ids[batch.tokens[first[at]]], self.buckets, self.hot, self.words)
+        by_id = np.empty(len(names), np.int64)
+        by_id[np.argsort(names)] = np.arange(len(names))
+        order, _ = _sorted(bucket * len(names) + by_id[near])
+        return inverse, first, before, order, np.append(0, np.cumsum(np.bincount(bucket, minlength=self.buckets)))
+
+    def needs(self, batch: Batch) -> np.ndarray:
+        """The tokens whose probability of the next lower order is asked with: the first of each n-gram that its bucket can't add up."""
+        first = batch.grams(self.k)[1]
+        return first[~self.whole([np.append(batch.word_ids, START)])[batch.nearest(first)]]
 
     def ask(self, number: int, batch: Batch, lower: np.ndarray) -> list[tuple]:
-        inverse, first, columns, w, before, order, cut = self.of_batch(batch)
-        count = np.bincount(inverse, weights=batch.train, minlength=len(first)).astype(np.int64)
+        """Rows for the buckets; *lower* is P of the next lower order by token, needed at those of :meth:`needs`."""
+        inverse, first, before, order, cut = self.of_batch(batch)
+        count = np.bincount(inverse[batch.train], minlength=len(first))
         # of n-grams that don't occur in training here nobody needs the lower probability
-        lower = np.where((count > 0) & ~self.whole(columns), lower[first], 0.0)
+        value, at = np.zeros(len(first)), inverse[self.needs(batch)]
+        value[at] = np.where(count[at] > 0, lower[first[at]], 0.0)
         out = []
         for b in range(self.buckets):
             mine = order[cut[b] : cut[b + 1]]
             if len(mine):
                 heads = _heads(before[mine])
-                values, codes = _coded(lower[mine])
-                head = struct.pack("<II", len(heads), len(mine)) + pack(_lengths(heads, len(mine)).astype(np.uint32))
-                out.append((_GRAM, number, b, head, _columns([c[mine[heads]] for c in columns]), pack(w[mine]), pack(narrow(count[mine])), struct.pack("<I", len(values)) + values + codes))
+                head = struct.pack("<II", len(heads), len(mine)) + pack(_lengths(heads, len(mine)))
+                w = batch.word_ids[batch.tokens[first[mine]]]
+                out.append((_GRAM, number, b, head, _columns(batch.histories(first[mine[heads]], self.k)), pack(w), pack(count[mine]), _coded(value[mine])))
         return out
 
     def tell(self, bucket: int, rows: list[tuple]) -> list[tuple]:
-        sizes, heads, ws, counts, lowers, repeats = [], [], [], [], [], []
+        sizes, heads, ws, counts, repeats = [], [], [], [], []
         for r in rows:
-            n_heads, n = struct.unpack_from("<II", r[3])
-            lengths = unpack(r[3][8:], "u4").astype(np.int64)
-            (size,) = struct.unpack_from("<I", r[7])
-            sizes.append((n_heads, n))
-            heads.append(unpack(r[4], "u8").reshape(self.k - 1, -1))
-            repeats.append(lengths)
+            sizes.append(struct.unpack_from("<II", r[3]))
+            repeats.append(unpack(r[3][8:], "i8"))
+            heads.append(unpack(r[4], "u8").reshape(self.k - 1, -1) - np.uint64(1))
             ws.append(unpack(r[5], "u8"))
-            counts.append(_counts(r[6], n))
-            lowers.append(unpack(r[7][4 : 4 + size], "f8")[unpack(r[7][4 + size :], "u4")])
+            counts.append(unpack(r[6], "i8"))
         columns = list(np.concatenate(heads, axis=1))
-        of_head = numbered(columns)
-        _, sample = np.unique(of_head, return_index=True)
+        sample, of_head = numbered(columns)
         names = [c[sample] for c in columns]
         w = np.concatenate(ws)
-        words_, of_word = np.unique(w, return_inverse=True)
-        label = np.repeat(of_head, np.concatenate(repeats)) * np.uint64(len(words_)) + of_word.astype(np.uint64)
-        order = np.argsort(label, kind="stable")
-        place = _heads(label[order])
-        uniq = label[order[place]]
-        inverse = np.empty(len(label), np.int64)
-        inverse[order] = np.repeat(np.arange(len(place)), _lengths(place, len(label)))
-        total = np.add.reduceat(np.concatenate(counts)[order], place)
-        lower = np.maximum.reduceat(np.concatenate(lowers)[order], place)
-        h = (uniq // np.uint64(len(words_))).astype(np.int64)
+        sample, of_word = _distinct(w)
+        words_ = w[sample]
+        label = np.repeat(of_head, np.concatenate(repeats)) * len(words_) + of_word
+        sample, inverse = _distinct(label)
+        h, w = np.divmod(label[sample], len(words_))
+        total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+        lower, at = np.zeros(len(sample)), 0
+        for r, (_, n) in zip(rows, sizes):
+            if r[7]:
+                (size,) = struct.unpack_from("<I", r[7])
+                value = unpack(r[7][4 : 4 + size], "f8")[unpack(r[7][4 + size :], "u4")]
+                told = np.flatnonzero(value)
+                lower[inverse[at + told]] = value[told]  # whoever tells it tells the same
+            at += n
         own = self.whole(names)[h]
         if own.any():
-            lower = np.where(own, self.lower(names, h, uniq % np.uint64(len(words_)), total), lower)
+            lower = np.where(own, self.lower(names, h, w, total), lower)
         begin = _heads(h)
         seen = total > 0
         sums = np.zeros((len(begin), K + 1), np.int64)
@@ -393,16 +427,16 @@ class Order:
         followed = np.add.reduceat(np.where(seen, lower, 0.0), begin)
         out, row_at, head_at = [], 0, 0
         for r, lengths, (n_heads, n) in zip(rows, repeats, sizes):
-            own = of_head[head_at : head_at + n_heads].astype(np.int64)
+            own = of_head[head_at : head_at + n_heads]
             told = total[inverse[row_at : row_at + n]]
             # who backs off from a history needs what follows it
             backs = np.add.reduceat((told == 0).astype(np.int64), np.cumsum(lengths) - lengths) > 0
-            out.append((_GRAMS, r[1], bucket, pack(narrow(told)), pack(sums[own].T.reshape(-1)), pack(np.where(backs, followed[own], 0.0))))
+            out.append((_GRAMS, r[1], bucket, pack(told), pack(sums[own].T.reshape(-1)), pack(np.where(backs, followed[own], 0.0))))
             row_at, head_at = row_at + n, head_at + n_heads
         model = np.flatnonzero(seen)
         runs = _heads(h[model])
-        of_w = words_[(uniq % np.uint64(len(words_))).astype(np.int64)]
-        out.append((_GRAM, -1, bucket, _columns([c[h[model][runs]] for c in names]), pack(_lengths(runs, len(model)).astype(np.uint32)), pack(of_w[model]), pack(narrow(total[model]))))
+        of_w = words_[w]
+        out.append((_GRAM, -1, bucket, _columns([c[h[model][runs]] for c in names]), pack(_lengths(runs, len(model))), pack(of_w[model]), pack(total[model])))
         out.append((_STAT, -1, bucket, _histogram(total).tobytes()))
         for x in np.flatnonzero(self.hot.find(names) >= 0):
             out.append((_SPLIT, -1, bucket, np.array([c[x] for c in names], np.uint64).tobytes(), sums[x].tobytes(), np.float64(followed[x]).tobytes()))
@@ -411,23 +445,28 @@ class Order:
             out.append((_HOT, -1, bucket, np.stack([of_w[large], *[c[h[large]] for c in names]], axis=1).astype(np.uint64).tobytes(), total[large].tobytes()))
         return out
 
-    def learn(self, batch: Batch, replies: list[tuple], lower: np.ndarray, turing: GoodTuring, whole: tuple[Hot, np.ndarray, np.ndarray]) -> np.ndarray:
-        """P of each token, by this order or backed off to *lower*, that of the order below."""
-        inverse, first, columns, w, before, order, cut = self.of_batch(batch)
+    def learn(self, batch: Batch, replies: list[tuple], lower: np.ndarray, turing: GoodTuring, whole: tuple[Hot, np.ndarray, np.ndarray], at: np.ndarray | None = None) -> np.ndarray:
+        """P of the tokens *at*, of all without them, by this order or backed off to *lower*, their P by the order below; only tokens that aren't in training back off."""
+        inverse, first, before, order, cut = self.of_batch(batch)
         total, c, alpha = np.zeros(len(first), np.int64), np.zeros(len(first)), np.ones(len(first))
         hot, hot_sums, hot_followed = whole
         for r in replies:
             mine = order[cut[r[2]] : cut[r[2] + 1]]
-            total[mine] = _counts(r[3], len(mine))
+            total[mine] = unpack(r[3], "i8")
             heads = _heads(before[mine])
-            sums, followed = unpack(r[4], "i8").reshape(K + 1, -1).T.copy(), unpack(r[5], "f8").copy()
-            at = hot.find([x[mine[heads]] for x in columns])
-            sums[at >= 0], followed[at >= 0] = hot_sums[at[at >= 0]], hot_followed[at[at >= 0]]
+            sums, followed = unpack(r[4], "i8").reshape(K + 1, -1).T, unpack(r[5], "f8")
+            if len(hot.parts):
+                split = hot.find(batch.histories(first[mine[heads]], self.k))
+                sums, known = sums.copy(), split >= 0
+                sums[known], followed[known] = hot_sums[split[known]], hot_followed[split[known]]
             history = History(turing, sums[:, 0], sums[:, 1:], followed)
             each = _lengths(heads, len(mine))
             c[mine], alpha[mine] = np.repeat(np.maximum(history.total, 1), each), np.repeat(history.alpha, each)
         direct = turing.discounted(total) / np.maximum(c, 1)
-        return np.where(total[inverse] > 0, direct[inverse], alpha[inverse] * lower)
+        gram = inverse if at is None else inverse[at]
+        p, back = direct[gram], np.flatnonzero(total[gram] == 0)
+        p[back] = alpha[gram[back]] * lower[back]
+        return p
 
 
 def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, batch_bytes: int = TEXT, tables: dict | None = None) -> DataFrame:
@@ -468,11 +507,11 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
         s = load(row[3])
         count = np.bincount(s["tokens"], weights=np.repeat(s["flags"] < 2, s["count"].astype(np.int64)), minlength=len(s["hashes"])).astype(np.int64)
         by_bucket, cut = _word_order(s["hashes"], buckets)
-        return [(_WORD, row[1], b, pack(s["hashes"][mine]), pack(narrow(count[mine]))) for b in range(buckets) if len(mine := by_bucket[cut[b] : cut[b + 1]])]
+        return [(_WORD, row[1], b, pack(s["hashes"][mine]), pack(count[mine])) for b in range(buckets) if len(mine := by_bucket[cut[b] : cut[b + 1]])]
 
     def tell_words(bucket, rows):
         hashes = [unpack(r[3], "u8") for r in rows]
-        counts = [_counts(r[4], len(x)) for r, x in zip(rows, hashes)]
+        counts = [unpack(r[4], "i8") for r in rows]
         uniq, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
         rank = np.empty(len(uniq), np.uint64)
@@ -482,9 +521,9 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
         for r, x in zip(rows, hashes):
             mine = inverse[at : at + len(x)]
             at += len(x)
-            out.append((_WORDS, r[1], bucket, pack(ids[mine]), pack(narrow(total[mine]))))
+            out.append((_WORDS, r[1], bucket, pack(ids[mine]), pack(total[mine])))
         seen = total > 0
-        out.append((_WORD, -1, bucket, pack(uniq[seen]), pack(ids[seen]), pack(narrow(total[seen]))))
+        out.append((_WORD, -1, bucket, pack(uniq[seen]), pack(ids[seen]), pack(total[seen])))
         out.append((_STAT, -1, bucket, np.array([total.sum(), seen.sum(), *_histogram(total)], np.int64).tobytes()))
         return out
 
@@ -504,7 +543,7 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
         for r in rows[1:]:
             mine = by_bucket[cut[r[2]] : cut[r[2] + 1]]
             s["word_ids"][mine] = unpack(r[3], "u8")
-            s["word_counts"][mine] = _counts(r[4], len(mine))
+            s["word_counts"][mine] = unpack(r[4], "i8")
         return [(_STATE, number, -1, save(folders[1], s))]
 
     learnt = shared.written(by(states.unionByName(told.filter(f"kind = {_WORDS}")), "batch").mapInArrow(each_group(1, learn_words), _ROWS), "katz-batches")
@@ -517,7 +556,7 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
     # words with more than a bucket's share are histories that are split; at most one for each bucket
     def large(row):
         ids = unpack(row[4], "u8")
-        c = _counts(row[5], len(ids))
+        c = unpack(row[5], "i8")
         return [(_HOT, -1, row[2], ids[c > share].tobytes(), c[c > share].tobytes())] if (c > share).any() else []
 
     hot_rows = told.filter(f"kind = {_WORD}").mapInArrow(each_row(large), _ROWS) if order > 1 else None
@@ -547,12 +586,11 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
     told_orders: list[tuple[Order, GoodTuring, tuple]] = []
     replies = None
 
-    def evaluated(rows: list[tuple], orders: list[tuple]) -> tuple[Batch, np.ndarray]:
-        """A batch and P of each of its tokens, order by order from the lowest."""
-        b = Batch(load(rows[0][3]))
-        p = unigrams.p(b.word_counts)[b.tokens]
-        for step, turing, whole in orders:
-            p = step.learn(b, [r for r in rows[1:] if r[0] == _GRAMS + step.k * 10], p, turing, whole)
+    def begun(row: tuple) -> tuple[Batch, np.ndarray]:
+        """A batch and P, by the last order but one, of its tokens that aren't in training: no others back off."""
+        b = Batch(load(row[3]))
+        p = np.ones(len(b.tokens))
+        p[~b.train] = load(row[4])["p"] if row[4] else unigrams.p(b.word_counts)[b.tokens[~b.train]]
         return b, p
 
     for k in range(2, order + 1):
@@ -562,14 +600,32 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
             found += [(tuple(int(x) for x in i), int(n // share) + 1) for i, n in zip(ids, c)]
         hot_words = Hot(found) if k == 2 else hot_words
         step = Order(k, buckets, Hot(found), hot_words, share, told_orders[-1][1] if told_orders else None)
-
-        def ask(number, rows, step=step, orders=list(told_orders)):
-            b, p = evaluated(rows, orders)
-            return step.ask(number, b, p)
-
-        asked = learnt.mapInArrow(each_row(lambda row, ask=ask: ask(row[1], [row])), _ROWS) if replies is None else by(learnt.unionByName(replies), "batch").mapInArrow(each_group(1, ask), _ROWS)
-        counted = shared.written(by(asked, "bucket").mapInArrow(each_group(2, step.tell), _ROWS), "katz-grams", partition_by="kind").select(*states.columns)
+        folders.append(shared.new_path(spark, "katz-lower"))
+
+        def ask_first(row, step=step):
+            b = Batch(load(row[3]))
+            return [(_STATE, row[1], row[1] % buckets, row[3]), *step.ask(row[1], b, unigrams.p(b.word_counts)[b.tokens])]
+
+        def ask(number, rows, step=step, last=told_orders[-1:], folder=folders[-1]):
+            b, p = begun(rows[0])
+            below, turing, whole = last[0]
+            at = np.concatenate([np.flatnonzero(~b.train), step.needs(b)])
+            p[at] = below.learn(b, rows[1:], p[at], turing, whole, at)
+            state = (_STATE, number, number % buckets, rows[0][3], save(folder, {"p": p[~b.train]}))
+            return [state, *step.ask(number, b, p)]
+
+        def tell(bucket, rows, step=step):
+            asked = [r for r in rows if r[0] != _STATE]
+            return [r for r in rows if r[0] == _STATE] + (step.tell(bucket, asked) if asked else [])
+
+        asked = learnt.mapInArrow(each_row(ask_first), _ROWS) if replies is None else by(learnt.unionByName(replies), "batch").mapInArrow(each_group(1, ask), _ROWS)
+        counted = shared.written(by(asked, "bucket").mapInArrow(each_group(2, tell), _ROWS), "katz-grams", partition_by="kind")
+        counted_at, counted = counted._loomgraph_path, counted.select(*states.columns)
         del asked
+        if replies is not None:  # what the batches made of them is in their files
+            shared.removed(spark, replies_at)
+            if k > 3:
+                shared.removed(spark, folders[-2])
         if tables is not None:
             tables[k] = counted.filter(f"kind = {_GRAM}")
         histogram = sum(np.frombuffer(r["b0"], np.int64) for r in counted.filter(f"kind = {_STAT}").select("b0").collect()) + np.zeros(K + 1, np.int64)
@@ -583,13 +639,15 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
         values = [sums[tuple(int(x) for x in row)] for row in hot.ids] if sums else []
         whole = (hot, np.array([v[0] for v in values], np.int64).reshape(-1, K + 1), np.array([v[1] for v in values], np.float64))
         told_orders.append((step, turing, whole))
-        mine = counted.filter(f"kind = {_GRAMS}").withColumn("kind", F.lit(_GRAMS + k * 10))
-        replies = mine if replies is None else replies.unionByName(mine)
+        replies, replies_at = counted.filter(f"kind = {_GRAMS}"), f"{counted_at}/kind={_GRAMS}"
+        learnt = counted.filter(f"kind = {_STATE}")
         hot_rows = counted.filter(f"kind = {_HOT}")
         shared.release(spark)
 
-    def score(batches, orders=list(told_orders)):
+    def score(batches, last=told_orders[-1]):
+        top, turing, whole = last
         for _, rows in _grouped(batches, 1):
-            yield result(*evaluated(rows, orders))
+            b, p = begun(rows[0])
+            yield result(b, top.learn(b, rows[1:], p, turing, whole))
 
     return by(learnt.unionByName(replies), "batch").mapInArrow(score, scored)
