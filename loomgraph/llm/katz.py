@@ -11,10 +11,11 @@ of h is discounted, its counts are taken over c(h) + 1; without any training tex
 Counts live in a table for each order, partitioned by bucket of the word or of the history.  Texts are
 handled in batches of about TEXT bytes, whose word numbers are files in the shared folder.  For each order, from
 the lowest, a batch asks each bucket for what it needs as one row of packed numbers, with its own counts
-to be added and the probabilities of the next lower order (where the bucket can't add these up itself, as it holds all n-grams
-of a nearest word that isn't split), and gets one row back: ids and counts of
+to be added and the probabilities of the next lower order (as counts of its words, if these are the unigrams; not where the
+bucket can add these up itself, as it holds all n-grams of a nearest word that isn't split), and gets one row back: ids and counts of
 its distinct words, then counts of its distinct n-grams and each history's sums.  From these it evaluates
-the order at every token, which the next order takes as its lower one.  So an n-gram costs a few
+the order once, at what isn't in training, as nothing else backs off, and at n-grams of split words, whose buckets want
+it.  What the next order backs off to is kept in a file.  So an n-gram costs a few
 bytes in a shuffle, once for each batch and not for each occurrence; a frequent one is added up inside
 the batches beforehand.  A history with more than a bucket's share of all tokens is split over several
 buckets by its successor; what is left of it for the driver is one row of sums for each part, a few for each bucket.
@@ -216,7 +217,7 @@ def numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Batch:
-    """A batch's tokens with the ids of their words."""
+    """A batch's tokens as numbers of its words, which are in order of their ids."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.__dict__.update(arrays)
@@ -243,6 +244,11 @@ class Batch:
         """The number of the word before each of the tokens *at*; one more than the last word's before a text's start."""
         return np.where(self.place[at] > 0, self.tokens[at - 1], len(self.word_ids))
 
+    def backing(self, k: int) -> np.ndarray:
+        """The k-grams that have a token that isn't in training: no other tokens back off to them."""
+        inverse, first, _ = self.grams(k)
+        return np.flatnonzero(np.bincount(inverse[~self.train], minlength=len(first)))
+
     def histories(self, at: np.ndarray, k: int) -> list[np.ndarray]:
         """Ids of the k - 1 words before the tokens *at*, the nearest first; START before a text's start."""
         out = []
@@ -333,8 +339,8 @@ def _coded(values: np.ndarray) -> bytes:
 class Order:
     """The exchange of one order: what a batch asks, what a bucket tells, and what a batch makes of it."""
 
-    def __init__(self, k: int, buckets: int, hot: Hot, words_: Hot, share: float, below: GoodTuring | None = None):
-        self.k, self.buckets, self.hot, self.words, self.share, self.below = k, buckets, hot, words_, share, below
+    def __init__(self, k: int, buckets: int, hot: Hot, words_: Hot, share: float, below: GoodTuring | None = None, unigrams: Unigrams | None = None):
+        self.k, self.buckets, self.hot, self.words, self.share, self.below, self.unigrams = k, buckets, hot, words_, share, below, unigrams
 
     def whole(self, columns: list[np.ndarray]) -> np.ndarray:
         """Histories whose n-grams, and those of their shorter histories, lie in one bucket: their nearest word isn't split."""
@@ -362,9 +368,7 @@ class Order:
         bucket = single[near]
         at = np.flatnonzero(odd[near])
         bucket[at] = _buckets(batch.histories(first[at], self.k), batch.word_ids[batch.tokens[first[at]]], self.buckets, self.hot, self.words)
-        by_id = np.empty(len(names), np.int64)
-        by_id[np.argsort(names)] = np.arange(len(names))
-        order, _ = _sorted(bucket * len(names) + by_id[near])
+        order, _ = _sorted(bucket * len(names) + near)
         return inverse, first, before, order, np.append(0, np.cumsum(np.bincount(bucket, minlength=self.buckets)))
 
     def needs(self, batch: Batch) -> np.ndarray:
@@ -372,21 +376,24 @@ class Order:
         first = batch.grams(self.k)[1]
         return first[~self.whole([np.append(batch.word_ids, START)])[batch.nearest(first)]]
 
-    def ask(self, number: int, batch: Batch, lower: np.ndarray) -> list[tuple]:
-        """Rows for the buckets; *lower* is P of the next lower order by token, needed at those of :meth:`needs`."""
+    def ask(self, number: int, batch: Batch, lower: np.ndarray | None) -> list[tuple]:
+        """Rows for the buckets; *lower* is P of the next lower order by token, needed at those of :meth:`needs`, and not at all with unigrams."""
         inverse, first, before, order, cut = self.of_batch(batch)
         count = np.bincount(inverse[batch.train], minlength=len(first))
-        # of n-grams that don't occur in training here nobody needs the lower probability
-        value, at = np.zeros(len(first)), inverse[self.needs(batch)]
-        value[at] = np.where(count[at] > 0, lower[first[at]], 0.0)
+        value = np.zeros(len(first))
+        if self.unigrams is None:
+            # of n-grams that don't occur in training here nobody needs the lower probability
+            at = inverse[self.needs(batch)]
+            value[at] = np.where(count[at] > 0, lower[first[at]], 0.0)
         out = []
         for b in range(self.buckets):
             mine = order[cut[b] : cut[b + 1]]
             if len(mine):
                 heads = _heads(before[mine])
                 head = struct.pack("<II", len(heads), len(mine)) + pack(_lengths(heads, len(mine)))
-                w = batch.word_ids[batch.tokens[first[mine]]]
-                out.append((_GRAM, number, b, head, _columns(batch.histories(first[mine[heads]], self.k)), pack(w), pack(count[mine]), _coded(value[mine])))
+                w = batch.tokens[first[mine]]
+                below = _coded(value[mine]) if self.unigrams is None else pack(batch.word_counts[np.unique(w)])
+                out.append((_GRAM, number, b, head, _columns(batch.histories(first[mine[heads]], self.k)), pack(batch.word_ids[w]), pack(count[mine]), below))
         return out
 
     def tell(self, bucket: int, rows: list[tuple]) -> list[tuple]:
@@ -407,14 +414,21 @@ class Order:
         sample, inverse = _distinct(label)
         h, w = np.divmod(label[sample], len(words_))
         total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-        lower, at = np.zeros(len(sample)), 0
+        lower, of_unigram, at = np.zeros(len(sample)), np.zeros(len(words_), np.int64), 0
         for r, (_, n) in zip(rows, sizes):
-            if r[7]:
+            # whoever tells a value tells the same
+            if self.unigrams is not None:  # counts of the row's words, in order of their ids
+                told = np.zeros(len(words_), bool)
+                told[of_word[at : at + n]] = True
+                of_unigram[told] = unpack(r[7], "i8")
+            elif r[7]:
                 (size,) = struct.unpack_from("<I", r[7])
                 value = unpack(r[7][4 : 4 + size], "f8")[unpack(r[7][4 + size :], "u4")]
                 told = np.flatnonzero(value)
-                lower[inverse[at + told]] = value[told]  # whoever tells it tells the same
+                lower[inverse[at + told]] = value[told]
             at += n
+        if self.unigrams is not None:
+            lower = self.unigrams.p(of_unigram)[w]
         own = self.whole(names)[h]
         if own.any():
             lower = np.where(own, self.lower(names, h, w, total), lower)
@@ -431,7 +445,9 @@ class Order:
             told = total[inverse[row_at : row_at + n]]
             # who backs off from a history needs what follows it
             backs = np.add.reduceat((told == 0).astype(np.int64), np.cumsum(lengths) - lengths) > 0
-            out.append((_GRAMS, r[1], bucket, pack(told), pack(sums[own].T.reshape(-1)), pack(np.where(backs, followed[own], 0.0))))
+            n_of = sums[own].T
+            n_of[1:] = np.where(backs, n_of[1:], np.minimum(n_of[1:], 1))
+            out.append((_GRAMS, r[1], bucket, pack(told), pack(n_of.reshape(-1)), pack(followed[own[backs]]), pack(backs)))
             row_at, head_at = row_at + n, head_at + n_heads
         model = np.flatnonzero(seen)
         runs = _heads(h[model])
@@ -454,7 +470,8 @@ class Order:
             mine = order[cut[r[2]] : cut[r[2] + 1]]
             total[mine] = unpack(r[3], "i8")
             heads = _heads(before[mine])
-            sums, followed = unpack(r[4], "i8").reshape(K + 1, -1).T, unpack(r[5], "f8")
+            sums, followed = unpack(r[4], "i8").reshape(K + 1, -1).T, np.zeros(len(heads))
+            followed[unpack(r[6], bool)] = unpack(r[5], "f8")
             if len(hot.parts):
                 split = hot.find(batch.histories(first[mine[heads]], self.k))
                 sums, known = sums.copy(), split >= 0
@@ -544,6 +561,11 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
             mine = by_bucket[cut[r[2]] : cut[r[2] + 1]]
             s["word_ids"][mine] = unpack(r[3], "u8")
             s["word_counts"][mine] = unpack(r[4], "i8")
+        # n-grams in order of the words' ids pack well
+        by_id = np.argsort(s["word_ids"])
+        place = np.empty(len(by_id), np.uint32)
+        place[by_id] = np.arange(len(by_id), dtype=np.uint32)
+        s["word_ids"], s["word_counts"], s["tokens"] = s["word_ids"][by_id], s["word_counts"][by_id], place[s["tokens"]]
         return [(_STATE, number, -1, save(folders[1], s))]
 
     learnt = shared.written(by(states.unionByName(told.filter(f"kind = {_WORDS}")), "batch").mapInArrow(each_group(1, learn_words), _ROWS), "katz-batches")
@@ -586,11 +608,16 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
     told_orders: list[tuple[Order, GoodTuring, tuple]] = []
     replies = None
 
-    def begun(row: tuple) -> tuple[Batch, np.ndarray]:
-        """A batch and P, by the last order but one, of its tokens that aren't in training: no others back off."""
+    def begun(row: tuple, k: int) -> tuple[Batch, np.ndarray]:
+        """A batch and P by order *k*, as it was kept, of its tokens that aren't in training."""
         b = Batch(load(row[3]))
-        p = np.ones(len(b.tokens))
-        p[~b.train] = load(row[4])["p"] if row[4] else unigrams.p(b.word_counts)[b.tokens[~b.train]]
+        of_gram = unigrams.p(b.word_counts)
+        if k > 1:
+            of_gram = np.ones(len(b.grams(k)[1]))
+            kept = load(row[4])
+            of_gram[b.backing(k)] = kept["p"][kept["codes"]]
+        p, held = np.ones(len(b.tokens)), np.flatnonzero(~b.train)
+        p[held] = of_gram[b.grams(k)[0][held]]
         return b, p
 
     for k in range(2, order + 1):
@@ -599,19 +626,20 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
             ids, c = np.frombuffer(r["b0"], np.uint64).reshape(-1, k - 1), np.frombuffer(r["b1"], np.int64)
             found += [(tuple(int(x) for x in i), int(n // share) + 1) for i, n in zip(ids, c)]
         hot_words = Hot(found) if k == 2 else hot_words
-        step = Order(k, buckets, Hot(found), hot_words, share, told_orders[-1][1] if told_orders else None)
+        step = Order(k, buckets, Hot(found), hot_words, share, *((told_orders[-1][1], None) if told_orders else (None, unigrams)))
         folders.append(shared.new_path(spark, "katz-lower"))
 
         def ask_first(row, step=step):
-            b = Batch(load(row[3]))
-            return [(_STATE, row[1], row[1] % buckets, row[3]), *step.ask(row[1], b, unigrams.p(b.word_counts)[b.tokens])]
+            return [(_STATE, row[1], row[1] % buckets, row[3]), *step.ask(row[1], Batch(load(row[3])), None)]
 
         def ask(number, rows, step=step, last=told_orders[-1:], folder=folders[-1]):
-            b, p = begun(rows[0])
             below, turing, whole = last[0]
-            at = np.concatenate([np.flatnonzero(~b.train), step.needs(b)])
+            b, p = begun(rows[0], below.k - 1)
+            kept = b.grams(below.k)[1][b.backing(below.k)]
+            at = np.concatenate([kept, step.needs(b)])
             p[at] = below.learn(b, rows[1:], p[at], turing, whole, at)
-            state = (_STATE, number, number % buckets, rows[0][3], save(folder, {"p": p[~b.train]}))
+            values, codes = np.unique(p[kept], return_inverse=True)
+            state = (_STATE, number, number % buckets, rows[0][3], save(folder, {"p": values, "codes": codes.astype(np.uint32)}))
             return [state, *step.ask(number, b, p)]
 
         def tell(bucket, rows, step=step):
@@ -647,7 +675,7 @@ def train_and_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str
     def score(batches, last=told_orders[-1]):
         top, turing, whole = last
         for _, rows in _grouped(batches, 1):
-            b, p = begun(rows[0])
+            b, p = begun(rows[0], top.k - 1)
             yield result(b, top.learn(b, rows[1:], p, turing, whole))
 
     return by(learnt.unionByName(replies), "batch").mapInArrow(score, scored)

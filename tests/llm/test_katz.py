@@ -62,6 +62,32 @@ def test_training_tokens_need_no_lower_order():
         assert np.array_equal(step.learn(b, replies, np.where(b.train, np.nan, 0.05), turing, none), every)
 
 
+def test_unigrams_are_told_by_word():
+    """Bigrams are asked with the counts of their distinct words in place of a probability each; what comes of it is the same."""
+    rng = random.Random(8)
+    both = list(batches(rng))
+    turing, empty = katz.GoodTuring([30, 12, 7, 4, 3, 2]), katz.Hot([])
+    none = (empty, np.zeros((0, katz.K + 1), np.int64), np.zeros(0))
+    total = sum(np.bincount(b.tokens[b.train], minlength=20) for b in both)
+    unigrams = katz.Unigrams(int(total.sum()), int((total > 0).sum()), katz._histogram(total).tolist())
+    lower = []
+    for b in both:
+        b.word_counts = total
+        lower.append(unigrams.p(total)[b.tokens])
+
+    def order(*told_by):
+        step = katz.Order(2, 6, empty, empty, 1e9, None, *told_by)
+        rows = [r for n, b in enumerate(both) for r in step.ask(n, b, None if told_by else lower[n])]
+        told = [x for bucket in range(6) for x in step.tell(bucket, [r for r in rows if r[2] == bucket])]
+        p = [step.learn(b, [x for x in told if x[0] == katz._GRAMS and x[1] == n], lower[n], turing, none) for n, b in enumerate(both)]
+        return p, sum(len(r[7]) for r in rows)
+
+    sent, size = order()
+    own, small = order(unigrams)
+    assert all(np.array_equal(x, y) for x, y in zip(sent, own))
+    assert small < size * 0.6, (small, size)
+
+
 def test_numbers_survive_packing():
     for values in ([], [0], [255, 256, 0], [2**64 - 1, 3], list(range(300))):
         x = np.array(values, np.uint64)
